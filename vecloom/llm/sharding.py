@@ -23,6 +23,7 @@ from .common import Table, pick
 BITS, LEVELS = 12, 5
 """Bits of the key that one pass resolves; passes that each of the two hashes can take."""
 _TOP = -(2**63)
+_KEPT = -(2 ** (64 - BITS * LEVELS))  # the lowest bits of a hash take no part
 
 
 def _digit(level: int) -> Column:
@@ -120,7 +121,7 @@ def shard(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64(text).alias("k1"),
+        F.xxhash64(text).bitwiseAND(F.lit(_KEPT)).alias("k1"),
         F.xxhash64("doc_id", F.monotonically_increasing_id()).alias("k2"),
         *names,
     )
