@@ -18,8 +18,49 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_docs(spark, sf_dir), n_shards=24, law="bytes")
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import BASE, POLICIES, apply_policy, ledger
+
+    rows = apply_policy(ledger(_docs(spark, sf_dir)), POLICIES["2"])
+    failed = F.col("rule_bits").bitwiseAND(F.lit(BASE.mask)) != 0
+    return rows.withColumn("base_failed", failed).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": op5_sharding,
+    "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op10_quality_rules": r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS k, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d
+), g AS (
+  SELECT k, unnest(range(1, len(ws) - 3)) AS i, ws FROM w WHERE len(ws) >= 5
+), h AS (
+  SELECT k, i, count(*) OVER (PARTITION BY k, ws[i:i+4]) AS c FROM g
+), r AS (
+  SELECT k, count(DISTINCT p) AS n FROM (SELECT k, unnest(range(i, i + 5)) AS p FROM h WHERE c > 1) GROUP BY k
+), m AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_words,
+         length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+         (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
+         len(ls) AS n_lines, length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_upper,
+         length(text) - length(regexp_replace(text, '[a-z]', '', 'g')) AS n_lower
+  FROM w LEFT JOIN r USING (k)
+), f AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR (10 * n_symbols > n_words AND n_words > 0) OR word_chars < 2 * n_words
+            OR word_chars > 20 * n_words OR 100 * n_dup_lines > 50 * n_lines
+            OR (10 * n_upper > 6 * (n_upper + n_lower) AND n_upper + n_lower > 20)) AS kept
+FROM f
+""",
+}
