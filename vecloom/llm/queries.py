@@ -12,6 +12,12 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(_docs(spark, sf_dir))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard
 
@@ -52,6 +58,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_language_id": op4_language_id,
     "op5_sharding": op5_sharding,
     "op8_exact_top_k": op8_exact_top_k,
     "op10_quality_rules": op10_quality_rules,
