@@ -1,0 +1,70 @@
+import hashlib
+import random
+import re
+
+from vecloom.llm import pii
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def brute(text):
+    """Spans of each base kind, straight from the contract."""
+    only = lambda s: re.sub("[^0-9]", "", s)
+    rules = [
+        (EMAIL, lambda m: True),
+        (IP, lambda m: all(int(p) <= 255 for p in m.split("."))),
+        (CARD, lambda m: 16 <= len(only(m)) <= 19 and luhn(only(m))),
+        (PHONE, lambda m: 8 <= len(only(m)) <= 15),
+    ]
+    return [[m.span() for m in rx.finditer(text or "") if ok(m[0])] for rx, ok in rules]
+
+
+def texts():
+    rng = random.Random(3)
+    card = "4111111111111111"
+    parts = ["a@b.c", "x.y+z@m-1.example.com", "@", ".", "_", "%", "+", "1.2.3.4", "256.1.1.1", "1.2.3.4.5.6.7.8", "é", "日本", " ", "  ", "-", "4111 1111 1111 1111", card, "0" * 16, "1" * 20, "+1 (499) 555-6503", "+12", "+1-2", "(", ")", "7", "42", "\n", 'token = "1eb9c654e721b4f812088970e66a6345cee33dd6"', "😀"]
+    return ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 14))) for _ in range(600)] + ["", None, "9" * 30_000, "a" * 30_000 + "@", "1 2 " * 9000, "+1 " * 5000, "a@b" + ".c" * 9000, "x@y.zz " * 3000, "1." * 9000]
+
+
+def test_base_spans_equal_brute_force(spark):
+    rows = list(enumerate(texts())) + [(None, "a@b.c")] * 2
+    got = pii.summarise(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    by = {r.doc_id: r for r in got if r.doc_id is not None}
+    assert len(got) == len(rows)
+    for i, t in rows[:-2]:
+        want = brute(t)
+        said = ",".join(f"{k}:{a}:{b}" for k, spans in zip(pii.BASE, want, strict=True) for a, b in spans)
+        r = by[i]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [len(w) for w in want], repr(t)[:300]
+        assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest(), repr(t)[:300]
+        assert r.spans == said or r.spans.startswith(said)
+
+
+def test_secrets_are_found_and_clean_text_left_alone(spark):
+    secret = 'said. token = "1eb9c654e721b4f812088970e66a6345cee33dd6" and so on'
+    rows = [(i, secret if i % 3 == 0 else "plain words here, 12 of them. Is 3.14 a number?") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.summarise(pii.find(df)).collect()}
+    at = secret.index("1eb")
+    assert all(got[i] == (f"secret:{at}:{at + 40}" if i % 3 == 0 else "") for i in range(60))
+
+
+def test_redaction_and_odd_tables(spark):
+    rows = [(1, "write to a@b.co, or +1 (499) 555-6503.", "en"), (2, None, None), (None, "nothing", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {(r.doc_id, r.text, r.lang) for r in pii.redact(df).collect()}
+    assert got == {(1, "write to <EMAIL>, or <PHONE>.", "en"), (2, None, None), (None, "nothing", "x")}
+    assert pii.summarise(pii.find(df.limit(0))).count() == 0
+    clash = df.withColumnRenamed("lang", "TEXT")
+    assert pii.summarise(pii.find(clash)).count() == 3

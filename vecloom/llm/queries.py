@@ -24,6 +24,12 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_docs(spark, sf_dir), n_shards=24, law="bytes")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find, summarise
+
+    return summarise(find(_docs(spark, sf_dir)))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import BASE, POLICIES, apply_policy, ledger
 
@@ -61,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_sharding": op5_sharding,
     "op8_exact_top_k": op8_exact_top_k,
+    "op9_pii": op9_pii,
     "op10_quality_rules": op10_quality_rules,
 }
 
