@@ -24,6 +24,12 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(_docs(spark, sf_dir), n_shards=24, law="bytes")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(_docs(spark, sf_dir))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import find, summarise
 
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_language_id": op4_language_id,
     "op5_sharding": op5_sharding,
+    "op7_license_scan": op7_license_scan,
     "op8_exact_top_k": op8_exact_top_k,
     "op9_pii": op9_pii,
     "op10_quality_rules": op10_quality_rules,
