@@ -52,6 +52,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import remove
+
+    return remove(_docs(spark, sf_dir), keep_bytes=False).drop("kept")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -74,6 +80,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_repeats": op1_repeats,
     "op2_mixing": op2_mixing,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_language_id": op4_language_id,
