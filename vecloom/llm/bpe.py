@@ -247,6 +247,20 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
     return documents(docs).mapInArrow(run, "doc_id long, ids array<int>, offsets array<long>")
 
 
+def tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """doc_id, n_tokens, ids, exact (the ids decode to the text's bytes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(vocabulary)
+        for batch in batches:
+            for first, texts in chunks(batch.column(1).to_pylist()):
+                ids = list(c.encode(texts))
+                exact = [c.decode(x) == t.encode() for x, t in zip(ids, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(exact)], ["doc_id", "n_tokens", "ids", "exact"])
+
+    return documents(docs).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, exact boolean")
+
+
 def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, bytes of (doc_id, ids)."""
 

@@ -8,6 +8,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 WORD = r"[^\x20\x09-\x0D]+"
 """A word of the mixing and quality contracts, as a Java, Python and RE2 pattern."""
@@ -66,3 +67,27 @@ def drop_path(spark: SparkSession, path: str) -> None:
 def drop_all(tables: Iterable[Table]) -> None:
     for t in tables:
         t.drop()
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """did, th of each row: its doc_id (-1 for null) and a hash of its text, which name its text exactly."""
+    d = documents(docs)
+    return d.select(F.coalesce("doc_id", F.lit(-1)).alias("did"), F.xxhash64("text").alias("th"))
+
+
+def allot(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``docs`` with, in all, c rows for each (did, th, m, c) of ``keys``, m being the rows that share
+    the key: dropped where c is 0 or the key is absent, repeated where it asks for more than there are."""
+    names = docs.columns
+    plain = [f"c{i}" for i in range(len(names))]
+    rows = docs.toDF(*plain)
+    at = {n: plain[names.index(n) if n in names else [x.lower() for x in names].index(n)] for n in ("doc_id", "text")}
+    rows = rows.withColumn("did", F.coalesce(F.col(at["doc_id"]).cast("long"), F.lit(-1))).withColumn("th", F.xxhash64(F.col(at["text"]).cast("string")))
+    met = rows.join(keys.where("c > 0").select("did", "th", "m", "c").hint("merge"), ["did", "th"])
+    out = met.where("m = 1").select(*plain, F.col("c").alias("k"))
+    if not keys.where("m > 1 AND c > 0").isEmpty():  # rows that are equal share out what their key gets
+        turn = F.row_number().over(Window.partitionBy("did", "th").orderBy(F.lit(1)))
+        shared = met.where("m > 1").withColumn("turn", turn).withColumn("k", F.floor(F.col("c") / F.col("m")) + (F.col("turn") <= F.col("c") % F.col("m")).cast("long"))
+        out = out.union(shared.where("k > 0").select(*plain, "k"))
+    repeated = out.withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("k")))).select(*plain)
+    return repeated.toDF(*names)

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, documents, drop_all
+from .common import Table, allot, documents, drop_all
 from .graph import components
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -328,9 +328,8 @@ def settle(docs: DataFrame, reps: DataFrame, groups: DataFrame) -> Table:
     return out
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, n_links (other documents of similarity THRESHOLD or more, copies included),
-    n_linked_texts (distinct other sets among them), n_copies, kept (one row of each class)."""
+def classes(docs: DataFrame) -> DataFrame:
+    """A row for each document: doc_id, th (hash of its text), class_id, n_links, n_linked_texts, n_copies, kept."""
     hashed = documents(docs).withColumn("th", F.xxhash64("text"))
     every = Table(hashed.mapInArrow(_embedded, "doc_id long, th long, id long, n int, sketch binary").withColumn("rid", F.monotonically_increasing_id()), "sets")
     named = every.df.where(F.col("id").isNotNull())
@@ -345,14 +344,28 @@ def join(docs: DataFrame) -> DataFrame:
     each = reps.df.select("id", "copies", "low").join(true.df, "id", "left").join(counts, "id", "left").withColumn("root", F.coalesce("root", "id"))
     lowest = each.groupBy("root").agg(F.min("low").alias("class_id"))
     known = Table(each.join(lowest, "root").select("id", "root", "class_id", "copies", F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("linked", F.lit(0)).alias("linked")), "classes").df
-    rows = every.df.select("rid", "doc_id", "id").join(known, "id", "left")
+    rows = every.df.select("rid", "doc_id", "th", "id").join(known, "id", "left")
     # One row of a class stays: the one of smallest doc_id, then row number; minima combine on the map side.
     first = rows.where(F.col("root").isNotNull()).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "rid")).alias("m")).select(F.col("m.rid").alias("rid"), F.lit(True).alias("first"))
     return rows.join(first, "rid", "left").select(
         "doc_id",
+        "th",
         F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce(F.col("linked") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("texts", F.lit(0)).cast("long").alias("n_linked_texts"),
         F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"),
         (F.col("root").isNull() | F.coalesce("first", F.lit(False))).alias("kept"),
     )
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id, n_links (other documents of similarity THRESHOLD or more, copies included),
+    n_linked_texts (distinct other sets among them), n_copies, kept (one row of each class)."""
+    return classes(docs).drop("th")
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay: one of each class, and all that are in none."""
+    found = classes(docs).select(F.coalesce("doc_id", F.lit(-1)).alias("did"), "th", "kept")
+    keys = Table(found.groupBy("did", "th").agg(F.count("*").alias("m"), F.sum(F.col("kept").cast("long")).alias("c")), "kept")
+    return allot(docs, keys.df)

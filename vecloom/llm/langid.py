@@ -217,3 +217,12 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     # The text stays in the worker: only the id comes back with the answer.
     found = annotate(d, model)
     return found.select("doc_id", F.coalesce(remainder() == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def known(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are not rejected."""
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    where = names.index("text")
+    found = annotate(plain.withColumn(f"c{where}", F.col(f"c{where}").cast("string")), model or train(docs), f"c{where}")
+    return found.where(~F.col("rejected")).drop("lang_pred", "score", "rejected").toDF(*names)

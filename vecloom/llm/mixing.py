@@ -25,19 +25,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, Table, drop_all, pick
+from .common import WORD, Table, allot, drop_all, pick
 
 RANGES = 2048
 MAX_ITERATIONS = 80
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size in words, u in [0, 1)."""
+    """doc_id, th (hash of the text), source, size in words, u in [0, 1)."""
     d = pick(docs, doc_id="doc_id", text="text", source="source")
     text = F.col("text").cast("string")
     h = F.xxhash64(F.lit(7), F.col("doc_id").cast("long"), text)
     return d.select(
         F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64(text).alias("th"),
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         ((F.shiftrightunsigned(h, 12) + F.lit(0.5)) / F.lit(float(2**52))).alias("u"),
@@ -116,8 +117,8 @@ def solve(sizes: DataFrame, wanted: DataFrame, most: float, tolerance: float = 1
     return state
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """doc_id, source, size, source_size, target, rate, taken (words, repeats counted) of every document."""
+def shares(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """doc_id, th, source, size, source_size, target, rate, taken (words, repeats counted) of every document."""
     spark_docs = Table(sized(docs), "sized")
     d = spark_docs.df
     by_size = Table(d.groupBy("source", "size").agg(F.count("*").alias("n")), "sizes")
@@ -133,13 +134,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     rated = (
         d.alias("s")
         .join(multipliers.alias("t"), same)
-        .select("s.doc_id", "s.source", "s.size", "s.u", "t.sid", "t.source_size", "t.target", "t.mean", "t.m")
+        .select("s.doc_id", "s.th", "s.source", "s.size", "s.u", "t.sid", "t.source_size", "t.target", "t.mean", "t.m")
         .withColumn("rate", rate)
         .withColumn("whole", F.floor("rate"))
         .withColumn("part", F.col("rate") - F.col("whole"))
         .withColumn("turn", F.when(F.col("part") > 0, F.col("u") / F.col("part")))
         .withColumn("range", F.when(F.col("turn").isNull(), RANGES).otherwise(F.floor(F.col("turn") / (F.col("turn") + 1) * RANGES)).cast("int"))
-        .select("doc_id", "source", "size", "sid", "source_size", "target", "rate", "whole", "turn", "range")
+        .select("doc_id", "th", "source", "size", "sid", "source_size", "target", "rate", "whole", "turn", "range")
     )
     rated = Table(rated, "rated").df
     ranges = rated.groupBy("sid", "range").agg(F.first("target").alias("target"), F.sum(F.col("whole") * F.col("size")).alias("held"), F.sum("size").alias("words"))
@@ -154,6 +155,20 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     drawn = rated.join(ranges, (F.col("sid") == F.col("sid2")) & (F.col("range") == F.col("range2")))
     left = F.col("left") - F.coalesce(F.sum("size").over(turn), F.lit(0))
     extra = F.when(F.col("turn").isNull(), F.lit(0)).otherwise(F.greatest(F.lit(0), F.least(F.col("size"), left)))
-    out = drawn.select("doc_id", "source", "size", "source_size", "target", "rate", (F.col("whole") * F.col("size") + extra).cast("long").alias("taken"))
+    out = drawn.select("doc_id", "th", "source", "size", "source_size", "target", "rate", (F.col("whole") * F.col("size") + extra).cast("long").alias("taken"))
     drop_all([spark_docs, by_size, solved])
     return out
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """doc_id, source, size, source_size, target, rate, taken (words, repeats counted) of every document."""
+    return shares(docs, weights, share, most).drop("th")
+
+
+def resample(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """The mix itself: the rows of ``docs``, with all their columns, each as often as it is taken; the one
+    document of a source that is taken in part stays if at least half of it is."""
+    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0)
+    found = shares(docs, weights, share, most).select(F.coalesce("doc_id", F.lit(-1)).alias("did"), "th", copies.cast("long").alias("copies"))
+    keys = Table(found.groupBy("did", "th").agg(F.count("*").alias("m"), F.sum("copies").alias("c")), "copies")
+    return allot(docs, keys.df)
