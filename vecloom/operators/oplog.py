@@ -51,7 +51,8 @@ def numbered(rows: DataFrame, key: str, name: str, parts: int = 64) -> DataFrame
     return cut.withColumn("_place", place).join(F.broadcast(starts), "_part").select(*rows.columns, (F.col("_start") + F.col("_place")).cast("long").alias(name))
 
 
-def last_of_batch(batch: DataFrame, key: str = "doc_id", position: str = "pos") -> DataFrame:
-    """A batch's surviving entries: of equal ids the last, earlier ones dropped whole, in input order."""
-    rest = [c for c in batch.columns if c != key]
-    return batch.groupBy(key).agg(F.max_by(F.struct(*rest), position).alias("row")).select(key, "row.*")
+def last_of_batch(batch: DataFrame, keys: Sequence[str] = ("doc_id",), position: str = "pos") -> DataFrame:
+    """A batch's surviving entries: of equal ids the last, earlier ones dropped whole with their metadata.
+    Several batches go at once if their number is one of the keys."""
+    rest = [c for c in batch.columns if c not in keys]
+    return batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), position).alias("row")).select(*keys, "row.*")

@@ -1,6 +1,452 @@
-"""Driver queries over the reference operators, with DuckDB SQL for each."""
+"""Driver queries over the operators, each with the SQL that DuckDB runs on the same tables.
+
+The corpus is ``embeddings`` with metadata from ``documents`` and ``labels``; the mutation log is
+``events``: errors delete, views update metadata, the rest upsert; seq is event_id + 1.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .database import Collection, Database
+from .functions.distance import distance, rounded
+from .operators import ann, evaluate, maintenance, oplog, search
+from .plans import planner
+from .plans.filters import And, Eq, Exists, Filter, In, Range, compile
+from .sources import vectorfiles
+from .streaming import apply as stream
+from .types import CollectionSchema, CompactionParams, FieldSchema, FieldType, MetadataSchema, Metric, SegmentParams
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+META = MetadataSchema(
+    (
+        FieldSchema(0, "lang", FieldType.STRING, True),
+        FieldSchema(1, "source", FieldType.STRING, True),
+        FieldSchema(2, "n_chars", FieldType.INT64, True),
+        FieldSchema(3, "quality", FieldType.INT64, True),
+        FieldSchema(4, "toxic", FieldType.INT64, True),
+    )
+)
+K, JOIN_QUERIES = 10, 20
+CAPACITY = 256
+COMPACTION = CompactionParams(num_levels=4, level_count_multiplier=2, tombstone_threshold=0.2)
+
+
+# ---- tables ----
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, embedding and the metadata fields, null where missing."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "lang", "source", "n_chars")
+    labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("vec_id"), F.col("quality").cast("long").alias("quality"), F.col("toxic").cast("long").alias("toxic"))
+    return _table(spark, sf_dir, "embeddings").select("vec_id", "embedding").join(docs, "vec_id", "left").join(labels, "vec_id", "left")
+
+
+def ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mutation log: seq, op, doc_id, v, kind (every write), amount (purchases only)."""
+    e = _table(spark, sf_dir, "events")
+    kind = F.col("event_type")
+    return e.select(
+        (F.col("event_id") + 1).alias("seq"),
+        F.when(kind == "error", "delete").when(kind == "view", "update_metadata").otherwise("upsert").alias("op"),
+        F.col("user_id").alias("doc_id"),
+        F.when(~kind.isin("error", "view"), F.col("value")).alias("v"),
+        F.when(kind != "error", kind).alias("kind"),
+        F.when(kind == "purchase", F.col("value")).alias("amount"),
+    )
+
+
+def _query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[float]:
+    return list(_table(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()[0])
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="vecloom-")
+    return f"{root}/vecloom-{uuid.uuid4().hex}"
+
+
+# ---- search ----
+
+
+def _knn(metric: Metric, zero: bool = False) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+        q = _query_vector(spark, sf_dir)
+        hits = search.nearest(vectors, [0.0] * len(q) if zero else q, K, metric, "vec_id", "embedding")
+        return hits.select("vec_id", rounded(F.col("score")).alias("score"))
+
+    return run
+
+
+def _knn_sql_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search in SQL expressions alone: a TakeOrderedAndProject over higher-order functions."""
+    q = F.array(*[F.lit(x) for x in _query_vector(spark, sf_dir)])
+    scored = _table(spark, sf_dir, "embeddings").select("vec_id", distance(Metric.L2, F.col("embedding"), q).alias("score"))
+    return scored.orderBy("score", "vec_id").limit(K).select("vec_id", rounded(F.col("score")).alias("score"))
+
+
+def knn_include_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = search.nearest(corpus(spark, sf_dir), _query_vector(spark, sf_dir), K, Metric.L2, "vec_id", "embedding")
+    return hits.select("vec_id", rounded(F.col("score")).alias("score"), *[f.name for f in META.fields])
+
+
+def knn_include_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = search.nearest(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), _query_vector(spark, sf_dir), K, Metric.L2, "vec_id", "embedding")
+    return hits.select("vec_id", F.posexplode("embedding").alias("pos", "val")).select("vec_id", F.col("pos").cast("long").alias("pos"), F.col("val").cast("double").alias("val"))
+
+
+def _filtered(expr: Filter) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        base = corpus(spark, sf_dir).where(compile(expr, META, None)).select("vec_id", "embedding")
+        hits = search.nearest(base, _query_vector(spark, sf_dir), K, Metric.L2, "vec_id", "embedding")
+        return hits.select("vec_id", rounded(F.col("score")).alias("score"))
+
+    return run
+
+
+FILTERS: dict[str, tuple[Filter, str]] = {
+    "filter_eq": (Eq(0, "en"), "lang = 'en'"),
+    "filter_in": (In(1, ("src1", "src2", "src3")), "source IN ('src1', 'src2', 'src3')"),
+    "filter_range": (Range(2, 500, 1500), "n_chars BETWEEN 500 AND 1500"),
+    "filter_range_open": (Range(2, gte=2000), "n_chars >= 2000"),
+    "filter_exists": (Exists(3), "quality IS NOT NULL"),
+    "filter_and": (And((Eq(0, "en"), Range(2, lte=3000), Exists(3))), "lang = 'en' AND n_chars <= 3000 AND quality IS NOT NULL"),
+    "filter_and_empty": (And(()), "true"),
+    "filter_type_mismatch": (Eq(2, "500"), "false"),
+    "filter_unknown_field": (Exists(99), "false"),
+}
+
+
+def filter_match_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of each filter, and the strategy the planner takes where there is an index."""
+    base = corpus(spark, sf_dir)
+    out = None
+    for name, (expr, _) in FILTERS.items():
+        one = base.where(compile(expr, META, None)).agg(F.count("*").alias("n_matched")).withColumn("name", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    chosen = F.when(F.col("n_matched") <= planner.EXACT_LIMIT, "exact").otherwise("post_filter")
+    return out.select("name", "n_matched", chosen.alias("strategy"))
+
+
+def _knn_join(metric: Metric) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+        queries = vectors.where(F.col("vec_id") < JOIN_QUERIES).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+        found = search.nearest_join(queries, vectors, K, metric, "vec_id", "embedding")
+        return found.select("query_id", F.col("id").alias("vec_id"), F.col("rank").cast("long").alias("rank"), rounded(F.col("score")).alias("score"))
+
+    return run
+
+
+def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = _table(spark, sf_dir, "embeddings").where(F.col("vec_id") == 7)
+    return one.select("vec_id", F.posexplode("embedding").alias("pos", "val")).select("vec_id", F.col("pos").cast("long").alias("pos"), F.col("val").cast("double").alias("val"))
+
+
+def ann_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index search of the join's queries: 16 of 32 lists, re-ranked exactly."""
+    vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    queries = vectors.where(F.col("doc_id") < JOIN_QUERIES).select(F.col("doc_id").alias("query_id"), "vector")
+    index = ann.fit(vectors, 32, Metric.L2)
+    return ann.search_many(index, vectors, queries, K, 16).select("query_id", "id", "rank", rounded(F.col("score")).alias("score"))
+
+
+def ann_post_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index candidates, over-fetched, semi-joined with a filter's matches."""
+    vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    queries = vectors.where(F.col("doc_id") == 0).select(F.col("doc_id").alias("query_id"), "vector")
+    found = ann.search_many(ann.fit(vectors, 32, Metric.L2), vectors, queries, planner.over_fetch(K), 32)
+    match = corpus(spark, sf_dir).where(compile(FILTERS["filter_eq"][0], META, None)).select(F.col("vec_id").alias("id"))
+    return found.join(match, "id", "left_semi").orderBy("score", "id").limit(K).select("query_id", F.col("id").alias("vec_id"), rounded(F.col("score")).alias("score"))
+
+
+# ---- mutations ----
+
+
+def live_state_after_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oplog.fold(ops(spark, sf_dir), "v", ["kind", "amount"]).select("doc_id", "v", "kind", "amount", "birth")
+
+
+def live_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oplog.fold(ops(spark, sf_dir), "v").agg(F.count("*").alias("n_live"))
+
+
+def deleted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = ops(spark, sf_dir)
+    return o.select("doc_id").distinct().join(oplog.fold(o, "v"), "doc_id", "left_anti").select("doc_id")
+
+
+def metadata_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose amount came from an earlier write than their kind."""
+    return oplog.fold(ops(spark, sf_dir), "v", ["kind", "amount"]).where("amount IS NOT NULL AND kind <> 'purchase'").select("doc_id", "kind", "amount")
+
+
+def batch_dedup_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "events")
+    batch = e.select(F.floor(F.col("event_id") / 500).cast("long").alias("batch"), F.col("user_id").alias("doc_id"), F.col("event_id").alias("pos"), "value")
+    return oplog.last_of_batch(batch, ("batch", "doc_id"), "pos")
+
+
+def _live_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, embedding of live documents; an upsert's vector is that of event_id modulo the vectors."""
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    n = vectors.count()
+    o = ops(spark, sf_dir).withColumn("v", F.when(F.col("op") == "upsert", (F.col("seq") - 1) % n))
+    return oplog.fold(o, "v").select("doc_id", F.col("v").alias("vec_id")).join(vectors, "vec_id").select("doc_id", "vec_id", "embedding")
+
+
+def knn_after_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = search.nearest(_live_vectors(spark, sf_dir), _query_vector(spark, sf_dir), K, Metric.L2, "doc_id", "embedding")
+    return hits.select("doc_id", "vec_id", rounded(F.col("score")).alias("score"))
+
+
+def doc_ord_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oplog.births(ops(spark, sf_dir)).select("doc_id", "seq", "doc_ord")
+
+
+# ---- maintenance: every upsert takes the next slot, CAPACITY slots make a segment ----
+
+
+def _slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = ops(spark, sf_dir)
+    up = oplog.numbered(o.where("op = 'upsert'").select("seq", "doc_id"), "seq", "slot")
+    last = oplog.fold(o.withColumn("s", F.when(F.col("op") == "upsert", F.col("seq"))), "s").select("doc_id", F.col("s").alias("live_seq"))
+    seg = F.floor(F.col("slot") / CAPACITY)
+    return up.join(last, "doc_id", "left").select(
+        seg.cast("int").alias("seg_id"), (F.col("slot") % CAPACITY).alias("internal_id"), (seg % COMPACTION.num_levels).cast("int").alias("level"), F.coalesce(F.col("seq") != F.col("live_seq"), F.lit(True)).alias("dead")
+    )
+
+
+def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintenance.segment_stats(_slots(spark, sf_dir))
+
+
+def segment_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stats(spark, sf_dir).select("seg_id", "level", "num_vectors", "tombstones", "live", rounded(F.col("ratio")).alias("ratio"))
+
+
+def tombstone_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _slots(spark, sf_dir).where("dead").select("seg_id", "internal_id")
+
+
+def compaction_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintenance.eligible_levels(_stats(spark, sf_dir), COMPACTION).select("level", "segments", rounded(F.col("worst")).alias("worst"))
+
+
+def compaction_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintenance.candidates(_stats(spark, sf_dir), COMPACTION, 16)
+
+
+# ---- evaluation ----
+
+
+def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of a search that sees only even ids, against the true neighbours."""
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    queries = vectors.where(F.col("vec_id") < JOIN_QUERIES).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = [evaluate.hits_to_ids(search.nearest_join(queries, c, K, Metric.L2, "vec_id", "embedding")).withColumnRenamed("ids", n) for c, n in ((vectors, "truth"), (vectors.where("vec_id % 2 = 0"), "result"))]
+    return found[0].join(found[1], "query_id", "left").select("query_id", F.round(evaluate.recall_at_k(F.col("truth"), F.coalesce("result", F.array().cast("array<bigint>")), K), 6).alias("recall"))
+
+
+def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.percentiles(_table(spark, sf_dir, "events"), "value", (50.0, 95.0, 99.0))
+
+
+def latency_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "events")
+    return e.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("avg"), *[evaluate.percentile(e, "value", p).alias(f"p{p}") for p in (50, 95, 99)])
+
+
+def vector_multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many vectors are held by how many live documents."""
+    return evaluate.multiplicity(_live_vectors(spark, sf_dir), "embedding").groupBy(F.col("n").alias("held_by")).agg(F.count("*").alias("n_vectors"))
+
+
+# ---- end to end ----
+
+
+def fvecs_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _shared_folder(spark)
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector")).orderBy("vec_id").coalesce(1)  # one file, in order
+    vectorfiles.write_vectors(rows, path, "fvecs")
+    back = vectorfiles.read_fvecs(spark, f"{path}/part-00000.fvecs")
+    return back.select("idx", F.posexplode("vector").alias("pos", "val")).select(F.col("idx").alias("vec_id"), F.col("pos").cast("long").alias("pos"), F.col("val").cast("double").alias("val"))
+
+
+def _collection(spark: SparkSession, dim: int, meta: MetadataSchema) -> Collection:
+    return Database(spark, _shared_folder(spark)).create_collection(CollectionSchema("c", dim, Metric.L2, SegmentParams(segment_capacity=300), metadata_schema=meta))
+
+
+def collection_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bulk ingest with metadata into segments, then a filtered search of the snapshot."""
+    q = _query_vector(spark, sf_dir)
+    c = _collection(spark, len(q), META)
+    c.ingest(corpus(spark, sf_dir).withColumnRenamed("embedding", "vector").withColumn("doc_id", F.col("vec_id").cast("string")))
+    hits = c.search_df(q, K, FILTERS["filter_and"][0], include_metadata=True)
+    return hits.select(F.col("doc_id").cast("long").alias("vec_id"), rounded(F.col("score")).alias("score"), "metadata.n_chars", "metadata.quality")
+
+
+def streaming_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log read as a stream of three files and folded batch by batch into snapshots of a collection."""
+    meta = MetadataSchema((FieldSchema(0, "kind", FieldType.STRING), FieldSchema(1, "amount", FieldType.FLOAT64)))
+    c = _collection(spark, 1, meta)
+    o = ops(spark, sf_dir)
+    vector = F.when(F.col("op") == "upsert", F.array((F.col("seq") % 1000).cast("float")))
+    typed = o.select("seq", "op", F.col("doc_id").cast("string").alias("doc_id"), vector.alias("vector"), F.struct("kind", "amount", F.lit(None).cast("boolean").alias("_")).alias("meta"))
+    folder = _shared_folder(spark)
+    last = o.agg(F.max("seq")).first()[0] or 0
+    for i in range(3):
+        typed.where((F.col("seq") > last * i // 3) & (F.col("seq") <= last * (i + 1) // 3)).coalesce(1).write.mode("append").parquet(f"{folder}/ops")
+    source = spark.readStream.schema(typed.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/ops")
+    query = stream.start(c, f"{folder}/progress", once=True, source=source)
+    query.awaitTermination()
+    return c.rows().select(F.col("doc_id").cast("long").alias("doc_id"), F.col("vector")[0].cast("long").alias("v"), "meta.kind", "meta.amount")
+
+
+QUERIES: dict[str, Query] = {
+    "knn_l2": _knn(Metric.L2),
+    "knn_cosine": _knn(Metric.COSINE),
+    "knn_dot": _knn(Metric.DOT),
+    "knn_cosine_zero_query": _knn(Metric.COSINE, zero=True),
+    "knn_l2_sql": _knn_sql_engine,
+    "knn_include_metadata": knn_include_metadata,
+    "knn_include_vector": knn_include_vector,
+    **{name: _filtered(expr) for name, (expr, _) in FILTERS.items()},
+    "filter_match_count": filter_match_count,
+    "knn_join_l2": _knn_join(Metric.L2),
+    "knn_join_cosine": _knn_join(Metric.COSINE),
+    "knn_join_dot": _knn_join(Metric.DOT),
+    "point_lookup": point_lookup,
+    "ann_ivf": ann_ivf,
+    "ann_post_filter": ann_post_filter,
+    "live_state_after_ops": live_state_after_ops,
+    "live_count": live_count,
+    "deleted_ids": deleted_ids,
+    "metadata_merge": metadata_merge,
+    "batch_dedup_last_wins": batch_dedup_last_wins,
+    "knn_after_mutations": knn_after_mutations,
+    "doc_ord_assignment": doc_ord_assignment,
+    "segment_stats": segment_stats,
+    "tombstone_set": tombstone_set,
+    "compaction_triggers": compaction_triggers,
+    "compaction_candidates": compaction_candidates,
+    "recall_at_k": recall_at_k,
+    "latency_percentiles": latency_percentiles,
+    "latency_by_type": latency_by_type,
+    "vector_multiplicity": vector_multiplicity,
+    "fvecs_roundtrip": fvecs_roundtrip,
+    "collection_search": collection_search,
+    "streaming_apply": streaming_apply,
+}
+
+
+# ---- SQL ----
+
+_E = "SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings"
+_SCORE = {
+    Metric.L2: "list_distance(a.e, q.e)",
+    Metric.COSINE: "CASE WHEN sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(q.e, q.e)) = 0 THEN 1.0 ELSE 1.0 - list_inner_product(a.e, q.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(q.e, q.e))) END",
+    Metric.DOT: "0.0 - list_inner_product(a.e, q.e)",
+}
+_CORPUS = "SELECT v.vec_id, v.embedding::DOUBLE[] AS e, lang, source, n_chars, quality::BIGINT AS quality, toxic::BIGINT AS toxic FROM embeddings v LEFT JOIN documents d ON d.doc_id = v.vec_id LEFT JOIN labels l ON l.doc_id = v.vec_id"
+_OPS = """SELECT event_id + 1 AS seq, CASE event_type WHEN 'error' THEN 'delete' WHEN 'view' THEN 'update_metadata' ELSE 'upsert' END AS op,
+  user_id AS doc_id, CASE WHEN event_type NOT IN ('error', 'view') THEN value END AS v,
+  CASE WHEN event_type <> 'error' THEN event_type END AS kind, CASE WHEN event_type = 'purchase' THEN value END AS amount FROM events"""
+
+
+def _top(metric: Metric, base: str = _E, where: str = "true", query: str = "SELECT e FROM (" + _E + ") WHERE vec_id = 0", columns: str = "") -> str:
+    return f"WITH a AS ({base}), q AS ({query}), s AS (SELECT a.*, {_SCORE[metric]} AS s FROM a, q WHERE {where}) SELECT vec_id, round(s, 6) + 0.0 AS score{columns} FROM s ORDER BY s, vec_id LIMIT {K}"
+
+
+def _join_sql(metric: Metric) -> str:
+    return f"""WITH a AS ({_E}), q AS ({_E} WHERE vec_id < {JOIN_QUERIES}),
+s AS (SELECT q.vec_id AS query_id, a.vec_id, {_SCORE[metric]} AS s FROM a, q),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s, vec_id) AS rank FROM s)
+SELECT query_id, vec_id, rank, round(s, 6) + 0.0 AS score FROM r WHERE rank <= {K}"""
+
+
+def _fold_sql(v: str = "v", last: str = "SELECT * FROM f") -> str:
+    return f"""WITH o AS ({_OPS}), del AS (SELECT doc_id, max(CASE WHEN op = 'delete' THEN seq END) AS ds FROM o GROUP BY doc_id),
+birth AS (SELECT o.doc_id, min(o.seq) AS bs FROM o JOIN del USING (doc_id) WHERE o.op = 'upsert' AND o.seq > coalesce(ds, 0) GROUP BY o.doc_id),
+f AS (SELECT o.doc_id, max_by({v}, CASE WHEN op = 'upsert' THEN seq END) AS v, max_by(kind, CASE WHEN kind IS NOT NULL THEN seq END) AS kind,
+  max_by(amount, CASE WHEN amount IS NOT NULL THEN seq END) AS amount, min(bs) AS birth,
+  max(CASE WHEN op = 'upsert' THEN seq END) AS live_seq
+  FROM o JOIN birth USING (doc_id) WHERE o.seq >= bs GROUP BY o.doc_id)
+{last}"""
+
+
+_LIVE = "l AS (SELECT doc_id, vec_id, embedding::DOUBLE[] AS e FROM f JOIN embeddings ON vec_id = v)"
+_SLOTS = f""", u AS (SELECT seq, doc_id, row_number() OVER (ORDER BY seq) - 1 AS slot FROM o WHERE op = 'upsert'),
+t AS (SELECT (slot // {CAPACITY})::INTEGER AS seg_id, slot % {CAPACITY} AS internal_id, ((slot // {CAPACITY}) % {COMPACTION.num_levels})::INTEGER AS level,
+  coalesce(u.seq <> f.live_seq, true) AS dead FROM u LEFT JOIN f USING (doc_id)),
+g AS (SELECT seg_id, level, count(*) AS num_vectors, count(*) FILTER (WHERE dead) AS tombstones FROM t GROUP BY ALL),
+st AS (SELECT *, num_vectors - tombstones AS live, tombstones / num_vectors AS ratio FROM g)"""
+_ELIGIBLE = f"""el AS (SELECT level, count(*) AS segments, max(ratio) AS worst FROM st GROUP BY level
+  HAVING (level < {COMPACTION.num_levels - 1} AND count(*) >= power({COMPACTION.level_count_multiplier}, level + 2)) OR max(ratio) > {COMPACTION.tombstone_threshold})"""
+
+
+def _slots_sql(last: str) -> str:
+    return _fold_sql(last="SELECT 1").removesuffix("\nSELECT 1") + _SLOTS + "\n" + last
+
+
+def _live_sql(last: str) -> str:
+    v = "(CASE WHEN op = 'upsert' THEN (seq - 1) % (SELECT count(*) FROM embeddings) END)"
+    return _fold_sql(v, "SELECT 1").removesuffix("\nSELECT 1") + ", " + _LIVE + "\n" + last
+
+
+ORACLE: dict[str, str] = {
+    "knn_l2": _top(Metric.L2),
+    "knn_cosine": _top(Metric.COSINE),
+    "knn_dot": _top(Metric.DOT),
+    "knn_cosine_zero_query": _top(Metric.COSINE, query="SELECT list_transform(e, lambda x: 0.0::DOUBLE) AS e FROM (" + _E + ") WHERE vec_id = 0"),
+    "knn_l2_sql": _top(Metric.L2),
+    "knn_include_metadata": _top(Metric.L2, _CORPUS, columns=", lang, source, n_chars, quality, toxic"),
+    "knn_include_vector": f"WITH t AS ({_top(Metric.L2)}) SELECT vec_id, unnest(range(len(embedding)))::BIGINT AS pos, unnest(embedding)::DOUBLE AS val FROM embeddings JOIN t USING (vec_id)",
+    **{name: _top(Metric.L2, _CORPUS, where) for name, (_, where) in FILTERS.items()},
+    "filter_match_count": f"WITH a AS ({_CORPUS}) "
+    + " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n_matched, CASE WHEN count(*) <= {planner.EXACT_LIMIT} THEN 'exact' ELSE 'post_filter' END AS strategy FROM a WHERE {w}" for n, (_, w) in FILTERS.items()),
+    "knn_join_l2": _join_sql(Metric.L2),
+    "knn_join_cosine": _join_sql(Metric.COSINE),
+    "knn_join_dot": _join_sql(Metric.DOT),
+    "point_lookup": "SELECT vec_id, unnest(range(len(embedding)))::BIGINT AS pos, unnest(embedding)::DOUBLE AS val FROM embeddings WHERE vec_id = 7",
+    "live_state_after_ops": _fold_sql(last="SELECT doc_id, v, kind, amount, birth FROM f"),
+    "live_count": _fold_sql(last="SELECT count(*) AS n_live FROM f"),
+    "deleted_ids": _fold_sql(last="SELECT DISTINCT doc_id FROM o WHERE doc_id NOT IN (SELECT doc_id FROM f)"),
+    "metadata_merge": _fold_sql(last="SELECT doc_id, kind, amount FROM f WHERE amount IS NOT NULL AND kind <> 'purchase'"),
+    "batch_dedup_last_wins": "SELECT batch, doc_id, pos, value FROM (SELECT event_id // 500 AS batch, user_id AS doc_id, event_id AS pos, value, row_number() OVER (PARTITION BY event_id // 500, user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1",
+    "knn_after_mutations": _live_sql(f"SELECT doc_id, vec_id, round(list_distance(l.e, q.e), 6) + 0.0 AS score FROM l, (SELECT e FROM ({_E}) WHERE vec_id = 0) q ORDER BY list_distance(l.e, q.e), doc_id LIMIT {K}"),
+    "doc_ord_assignment": f"""WITH o AS ({_OPS}), m AS (SELECT *, lag(op) OVER (PARTITION BY doc_id ORDER BY seq) AS before FROM o WHERE op IN ('upsert', 'delete'))
+SELECT doc_id, seq, row_number() OVER (ORDER BY seq) - 1 AS doc_ord FROM m WHERE op = 'upsert' AND coalesce(before, 'delete') = 'delete'""",
+    "segment_stats": _slots_sql("SELECT seg_id, level, num_vectors, tombstones, live, round(ratio, 6) + 0.0 AS ratio FROM st"),
+    "tombstone_set": _slots_sql("SELECT seg_id, internal_id FROM t WHERE dead"),
+    "compaction_triggers": _slots_sql("").rstrip() + f", {_ELIGIBLE} SELECT level, segments, round(worst, 6) + 0.0 AS worst FROM el",
+    "compaction_candidates": _slots_sql("").rstrip()
+    + f""", {_ELIGIBLE},
+p AS (SELECT level, seg_id, ratio, coalesce(sum(live) OVER w, 0) AS before, row_number() OVER (PARTITION BY level ORDER BY ratio DESC, seg_id) AS rk,
+  floor(16 * power(2, least(level + 1, {COMPACTION.num_levels - 1})) * (1.0 - {COMPACTION.tombstone_threshold})) AS fill
+  FROM st WHERE level IN (SELECT level FROM el) WINDOW w AS (PARTITION BY level ORDER BY ratio DESC, seg_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, count(*) OVER (PARTITION BY level) AS n FROM p WHERE before < fill OR rk = 1)
+SELECT level, seg_id FROM c WHERE n >= 2 OR ratio > 0""",
+    "recall_at_k": f"""WITH a AS ({_E}), q AS ({_E} WHERE vec_id < {JOIN_QUERIES}), s AS (SELECT q.vec_id AS query_id, a.vec_id, list_distance(a.e, q.e) AS s FROM a, q),
+t AS (SELECT query_id, vec_id FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s, vec_id) <= {K}),
+r AS (SELECT query_id, vec_id FROM s WHERE vec_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s, vec_id) <= {K})
+SELECT t.query_id, round(count(r.vec_id) / {K}.0, 6)::DOUBLE AS recall FROM t LEFT JOIN r ON r.query_id = t.query_id AND r.vec_id = t.vec_id GROUP BY t.query_id""",
+    "latency_percentiles": """WITH r AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events WHERE value IS NOT NULL)
+SELECT p::DOUBLE AS p, value FROM (VALUES (50.0), (95.0), (99.0)) v(p) JOIN r ON i = floor(p / 100.0 * (n - 1) + 0.5)""",
+    "latency_by_type": """WITH g AS (SELECT event_type, list_sort(list(value)) AS xs, count(value) AS n, avg(value) AS a FROM events GROUP BY event_type)
+SELECT event_type, round(a, 6) AS avg, xs[floor(0.5 * (n - 1) + 0.5)::INT + 1] AS p50, xs[floor(0.95 * (n - 1) + 0.5)::INT + 1] AS p95, xs[floor(0.99 * (n - 1) + 0.5)::INT + 1] AS p99 FROM g""",
+    "vector_multiplicity": _live_sql("SELECT n AS held_by, count(*) AS n_vectors FROM (SELECT e, count(*) AS n FROM l GROUP BY e) GROUP BY n"),
+    "fvecs_roundtrip": "SELECT vec_id, unnest(range(len(embedding)))::BIGINT AS pos, unnest(embedding)::DOUBLE AS val FROM embeddings",
+    "collection_search": _top(Metric.L2, _CORPUS, FILTERS["filter_and"][1], columns=", n_chars, quality"),
+    "streaming_apply": _fold_sql("(CASE WHEN op = 'upsert' THEN seq % 1000 END)", "SELECT doc_id, v, kind, amount FROM f"),
+}

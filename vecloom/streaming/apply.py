@@ -16,8 +16,10 @@ def log_stream(collection: Collection, max_files: int = 2048) -> DataFrame:
     return collection.typed(reader.json(collection.files.at("log")))
 
 
-def start(collection: Collection, checkpoint: str, once: bool = False) -> StreamingQuery:
+def start(collection: Collection, checkpoint: str, once: bool = False, source: DataFrame | None = None) -> StreamingQuery:
     """Folds each micro-batch into a new snapshot. Batches may be replayed: ops already applied are skipped.
+    ``source`` is another stream of typed ops (seq, op, doc_id, vector, meta) in order of seq.
     The stream owns the log's application while it runs; ``once`` applies what is there and stops."""
-    stream = log_stream(collection).writeStream.foreachBatch(lambda batch, _: collection.apply_ops(batch)).option("checkpointLocation", checkpoint)
+    ops = log_stream(collection) if source is None else source
+    stream = ops.writeStream.foreachBatch(lambda batch, _: collection.apply_ops(batch)).option("checkpointLocation", checkpoint)
     return stream.trigger(availableNow=True).start() if once else stream.trigger(processingTime=POLL).start()
