@@ -22,7 +22,6 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from .fs import Files
 from .operators import ann, maintenance, oplog, search
@@ -260,19 +259,19 @@ class Collection:
             flat = lambda d, *more: d.select("seq", "op", "doc_id", "vector", *[F.col(f"meta.`{f}`").alias(f"m_{i}") for i, f in enumerate(self._fields)], *more)
             before = flat(touched.withColumn("seq", F.lit(0).cast("long")).withColumn("op", F.lit("upsert")), F.col("doc_ord").alias("old"), F.col("last_seq").alias("was"))
             every = before.unionByName(flat(ops), allowMissingColumns=True)
-            born = oplog.births(flat(ops).unionByName(flat(touched.withColumn("seq", F.lit(0).cast("long")).withColumn("op", F.lit("upsert"))))).where("seq > 0")
+            held = touched.count()
+            start = flat(touched.withColumn("seq", F.lit(0).cast("long")).withColumn("op", F.lit("upsert")))
+            # Documents that live already are born at 0, so births of this pass are numbered after them.
+            born = oplog.births(flat(ops).unionByName(start)).where("seq > 0").select("doc_id", F.col("seq").alias("birth"), (F.col("doc_ord") - held + self.manifest.next_ord).alias("fresh")).persist()
             n_born = born.count()
-            rank = born.withColumn("fresh", F.row_number().over(Window.orderBy("seq")) - 1 + self.manifest.next_ord) if n_born else None
             folded = oplog.fold(every, "vector", [f"m_{i}" for i in range(len(self._fields))], ["old"])
-            if rank is not None:
-                folded = folded.join(rank.select("doc_id", F.col("seq").alias("birth"), "fresh"), ["doc_id", "birth"], "left")
-            else:
-                folded = folded.withColumn("fresh", F.lit(None).cast("long"))
+            folded = folded.join(born, ["doc_id", "birth"], "left")
             meta = F.struct(*[F.col(f"m_{i}").alias(f) for i, f in enumerate(self._fields)], F.lit(None).cast("boolean").alias("_"))
             # A document that only ops without effect touched keeps its row.
             changed = folded.where(F.col("last_seq") > 0).select(F.coalesce("fresh", "old").alias("doc_ord"), "doc_id", "vector", meta.alias("meta"), "last_seq")
             self._commit(changed, touched.select("seg_id", "internal_id"), last, n_born)
             touched.unpersist()
+            born.unpersist()
         finally:
             ops.unpersist()
 
@@ -283,7 +282,7 @@ class Collection:
         capacity = self.schema.segment_params.segment_capacity
         open_ = next(s for s in m.segments if not s.sealed)
         staged = self.files.at("segments", uuid.uuid4().hex)
-        numbered = oplog.numbered(added, "last_seq", "place") if n_born is not None else added
+        numbered = oplog.numbered(added, "last_seq", "place")
         base, first, fresh = open_.num_vectors, open_.seg_id, m.next_seg
         place = F.col("place") + base
         hop = F.floor(place / capacity)
@@ -313,7 +312,7 @@ class Collection:
             m.dead.append(gone)
         for s in m.segments:
             s.tombstones += by.get(s.seg_id, 0)
-        m.applied_seq, m.next_ord = applied, m.next_ord + (n_born or 0)
+        m.applied_seq, m.next_ord = applied, m.next_ord + (n_born)
         self._publish(m)
 
     def _publish(self, m: Manifest) -> None:

@@ -16,6 +16,7 @@ import random
 import tempfile
 import time
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -123,12 +124,16 @@ def bench_search(spark: SparkSession, args: argparse.Namespace) -> dict:
     rows = [(r["query_id"], list(r["vector"])) for r in queries.collect()]
     for _, v in rows[: args.warmup_queries]:
         c.search(v, args.k)
-    seconds, found, start = [], {}, time.time()
-    for i, v in rows:
+
+    def one(row: tuple[int, list[float]]) -> tuple[int, list[str], float]:
         t = time.time()
-        found[i] = [h.doc_id for h in c.search(v, args.k)]
-        seconds.append(time.time() - t)
-    out = {"mode": "search", **summary(seconds, time.time() - start)}
+        return row[0], [h.doc_id for h in c.search(row[1], args.k)], time.time() - t
+
+    start = time.time()
+    with ThreadPoolExecutor(max(1, args.concurrency)) as pool:  # Spark runs the jobs of several threads side by side
+        done = list(pool.map(one, rows))
+    found = {i: ids for i, ids, _ in done}
+    out = {"mode": "search", **summary([s for *_, s in done], time.time() - start)}
     t = time.time()
     c.search_many(queries, args.k).write.format("noop").mode("overwrite").save()
     out["batch_queries_per_second"] = len(rows) / (time.time() - t)
