@@ -7,23 +7,26 @@ from pyspark.sql import functions as F
 
 from .common import Table
 
+PLAIN_ROUNDS = 3
 
 def components(edges: DataFrame, rounds: int = 60) -> Table:
     """(id, root) for every end of the edges (u, v): root is the component's smallest id.
 
-    Each round, an id takes the smallest root among its neighbours' and its own root's root, so
-    labels travel along links and double along the roots already found. Minima are taken on the map
+    Each round, an id takes the smallest root among its neighbours'; from PLAIN_ROUNDS on also its own
+    root's root, so labels travel along links and double along the roots already found. Minima are taken on the map
     side first, so a hub costs one row per task; tables, not lineage, carry the state.
     """
     both = Table(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct(), "edges")
     links = both.df
     labels = Table(links.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("root")).withColumnRenamed("u", "id"), "labels")
-    for _ in range(rounds):
+    for turn in range(rounds):
         at = labels.df
         near = links.join(at.select(F.col("id").alias("v"), "root"), "v").groupBy("u").agg(F.min("root").alias("near"))
         lower = at.join(near.withColumnRenamed("u", "id"), "id").select("id", "root", F.least("root", "near").alias("low"))
-        up = at.select(F.col("id").alias("low"), F.col("root").alias("up"))
-        moved = Table(lower.join(up, "low", "left").select("id", F.least("low", F.coalesce("up", "low")).alias("root"), (F.least("low", F.coalesce("up", "low")) < F.col("root")).alias("changed")), "labels")
+        if turn >= PLAIN_ROUNDS:
+            up = at.select(F.col("id").alias("low"), F.col("root").alias("up"))
+            lower = lower.join(up, "low", "left").select("id", "root", F.least("low", F.coalesce("up", "low")).alias("low"))
+        moved = Table(lower.select("id", F.col("low").alias("root"), (F.col("low") < F.col("root")).alias("changed")), "labels")
         labels.drop()
         labels = moved
         if labels.df.where("changed").isEmpty():

@@ -8,8 +8,11 @@ on average) and the sets go to the children named by their tokens there, so two
 threshold share one child on average at any depth.
 
 * A node of up to SMALL sets is compared by brute force on the embedded tokens.
-* A larger node compares all its sets with one of its own, chosen by hash, and is split again; on
-  the last level it is cut in chunks of CHUNK sets, each compared by brute force.
+* A larger node compares all its sets with one of its own, its leader, chosen by hash. A node whose
+  sets the first level has linked already has nothing to add. Of the rest, sets that agree with their
+  leader on NEAR tokens leave: a set similar to such a one is itself near enough to the leader, by the
+  triangle inequality of Jaccard distance, to be proposed with it in some run. The others are split
+  again; on the last level they are cut in chunks of CHUNK sets, each compared by brute force.
 
 Comparisons on tokens only propose: a pair passes if at least LOOSE of the tokens agree, which a pair
 at the threshold fails once in a million, and a node gives no more rows than it has sets. What
@@ -42,8 +45,8 @@ from .graph import components
 
 WIDTH, THRESHOLD = 5, 0.8
 T, RUNS, LEVELS = 64, 16, 5
-SMALL, CHUNK, BLOCK = 32, 512, 512
-LOOSE = 35
+SMALL, CHUNK, BLOCK = 512, 512, 256
+LOOSE, NEAR = 35, 40
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _MASK = (1 << 64) - 1
@@ -95,14 +98,14 @@ _SEEDS = np.array([_RANDOM.getrandbits(64) | 1 for _ in range(2 * T)], np.uint64
 
 
 def embedding(tokens: np.ndarray) -> bytes:
-    """T minwise tokens, 4 bytes each."""
+    """T minwise tokens, 2 bytes each."""
     out = np.full(T, np.iinfo(np.uint64).max, np.uint64)
     with np.errstate(over="ignore"):
         for at in range(0, len(tokens), 4096):
             part = tokens[at : at + 4096, None]
             h = (part ^ _SEEDS[None, T:]) * _SEEDS[None, :T]
             out = np.minimum(out, (h ^ (h >> np.uint64(29))).min(axis=0))
-        return (_mixed(out) >> np.uint64(32)).astype(np.uint32).tobytes()
+        return (_mixed(out) >> np.uint64(48)).astype(np.uint16).tobytes()
 
 
 def _embedded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +163,7 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         ids = table.column(1).slice(first, end - first).to_numpy()
         n = table.column(2).slice(first, end - first).to_numpy().astype(float)
-        s = np.frombuffer(b"".join(table.column(3).slice(first, end - first).to_pylist()), np.uint32).reshape(-1, T)
+        s = np.frombuffer(b"".join(table.column(3).slice(first, end - first).to_pylist()), np.uint16).reshape(-1, T)
         m = len(ids)
         hits: list[tuple[np.ndarray, np.ndarray]] = []
         for i in range(m - 1):
@@ -182,7 +185,7 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _token(at: Column) -> Column:
     """The embedded token of a coordinate."""
-    return F.substring("sketch", (at * 4 + 1).cast("int"), F.lit(4))
+    return F.substring("sketch", (at * 2 + 1).cast("int"), F.lit(2))
 
 
 def _first_paths() -> list[tuple[int, int]]:
@@ -210,44 +213,51 @@ def proposals(sets: DataFrame) -> DataFrame:
     paths = F.array(*[F.xxhash64(F.lit(run), F.lit(at), _token(F.lit(at))) for run, at in _first_paths()])
     rows = Table(sets.select(F.explode(paths).alias("node"), "id"), "paths")
     out: DataFrame | None = None
-    done = []
+    linked: Table | None = None
     for level in range(1, LEVELS + 1):
         # A node's leader is its set of smallest hash; both numbers combine on the map side.
         nodes = Table(rows.df.groupBy("node").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("node", "id").alias("h"), F.col("id").alias("id"))).alias("m")).where("size > 1").select("node", "size", F.col("m.id").alias("leader")), "nodes")
-        member = rows.df.join(nodes.df.hint("merge"), "node").join(sets, "id")
-        small = _brute(member.where(F.col("size") <= SMALL).select("node", "id", "n", "sketch"))
-        found = Table(small.distinct(), "links")
-        done += [found]
+        member = rows.df.join(nodes.df.hint("merge"), "node").join(sets.hint("merge"), "id")
+        found = Table(_brute(member.where(F.col("size") <= SMALL).select("node", "id", "n", "sketch")).distinct(), "links")
         out = found.df if out is None else out.union(found.df)
         if nodes.df.where(F.col("size") > SMALL).isEmpty():
             drop_all([rows, nodes])
             break
         large = Table(member.where(F.col("size") > SMALL).select("node", "id", "n", "sketch", "size", "leader"), "large")
-        heads = nodes.df.where(F.col("size") > SMALL).select("node", "leader").join(sets.select(F.col("id").alias("leader"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2")), "leader").drop("leader")
-        led = large.df.where("id <> leader").join(heads, "node")
-        led = led.where(F.least("n", "n2") >= THRESHOLD * F.greatest("n", "n2")).select("id", "leader", "sketch", "sketch2").mapInArrow(_agreeing, "u long, v long")
-        links = Table(led.distinct(), "links")
+        drop_all([rows, nodes])
+        heads = large.df.where("id = leader").select("node", F.col("n").alias("n2"), F.col("sketch").alias("sketch2"))
+        led = large.df.where("id <> leader").join(heads.hint("merge"), "node")
+        met = Table(led.select("node", "id", "leader", "n", "n2", "sketch", "sketch2").mapInArrow(_agreeing, "node long, u long, v long, near boolean"), "met")
+        links = Table(met.df.select("u", "v").distinct(), "links")
         out = out.union(links.df)
+        if linked is None:
+            linked = components(out)
+        # Sets that the first level has linked already meet whole later on: a node of one component adds nothing.
+        root = F.coalesce("root", "id")
+        rooted = large.df.select("node", "id").join(linked.df.hint("merge"), "id", "left").groupBy("node").agg(F.min(root).alias("a"), F.max(root).alias("b"))
+        mixed = large.df.join(rooted.where("a < b").select("node").hint("merge"), "node", "left_semi")
+        # So near its leader that what is similar to the set was proposed with the leader too: it leaves the node.
+        mixed = mixed.join(met.df.where("near").select("node", F.col("u").alias("id")).hint("merge"), ["node", "id"], "left_anti")
         if level == LEVELS:
             chunk = F.xxhash64("node", F.pmod(F.xxhash64("id", "node"), F.ceil(F.col("size") / CHUNK)))
-            last = Table(_brute(large.df.select(chunk.alias("node"), "id", "n", "sketch")).distinct(), "links")
-            out = out.union(last.df)
-            following = None
+            out = out.union(Table(_brute(mixed.select(chunk.alias("node"), "id", "n", "sketch")).distinct(), "links").df)
         else:
-            following = Table(large.df.select(F.explode(_children(F.col("node"))).alias("node"), "id"), "paths")
-        drop_all([rows, nodes, large])
-        if following is None:
-            break
-        rows = following
+            rows = Table(mixed.select(F.explode(_children(F.col("node"))).alias("node"), "id"), "paths")
+        large.drop()
+    if linked is not None:
+        linked.drop()
     return out
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, leader, sketch, sketch2) -> (id, leader) of those that agree on LOOSE tokens."""
+    """(node, id, leader, n, n2, sketch, sketch2) -> (node, id, leader, near) of those that agree on LOOSE
+    tokens, near if on NEAR."""
     for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, T) for c in (2, 3))
-        keep = pa.array((a == b).sum(axis=1) >= LOOSE)
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["u", "v"])
+        n, n2 = (batch.column(c).to_numpy().astype(float) for c in (3, 4))
+        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, T) for c in (5, 6))
+        same = (a == b).sum(axis=1)
+        keep = pa.array((same >= LOOSE) & (np.minimum(n, n2) >= THRESHOLD * np.maximum(n, n2)))
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), batch.column(2).filter(keep), pa.array(same >= NEAR).filter(keep)], ["node", "u", "v", "near"])
 
 
 def _cell_links(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -319,10 +329,10 @@ def settle(docs: DataFrame, reps: DataFrame, groups: DataFrame) -> Table:
     cells = placed.select("id", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     cell = F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")).alias("cell")
     cells = cells.select(cell, "block", (F.col("block") == F.col("other")).alias("same"), "id")
-    wanted = Table(cells.join(reps, "id").select("cell", "block", "same", "id", "copies", "doc_id", "th"), "cells")
+    wanted = Table(cells.join(reps.hint("merge"), "id").select("cell", "block", "same", "id", "copies", "doc_id", "th"), "cells")
     texts = documents(docs).where(F.col("text").isNotNull()).withColumn("th", F.xxhash64("text"))
     named = wanted.df.withColumnRenamed("doc_id", "doc_id2").withColumnRenamed("th", "th2")
-    met = texts.join(named, (F.col("th") == F.col("th2")) & F.col("doc_id").eqNullSafe(F.col("doc_id2"))).select("cell", "block", "same", "id", "copies", "text")
+    met = texts.join(named.hint("merge"), (F.col("th") == F.col("th2")) & F.col("doc_id").eqNullSafe(F.col("doc_id2"))).select("cell", "block", "same", "id", "copies", "text")
     out = Table(met.repartition("cell").sortWithinPartitions("cell").mapInArrow(_exact, "id long, texts long, docs long, root long"), "settled")
     wanted.drop()
     return out

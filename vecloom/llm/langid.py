@@ -28,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import Table, pick
 
 BUCKETS = 1 << 15
 DIMENSIONS = 16
 CHUNK_CHARS = 500_000
+BROADCAST_LANGUAGES = 10_000
 _PRIMES = np.array([1, 1000003, 19260817, 122949823], np.uint64)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -126,9 +127,11 @@ def sample(docs: DataFrame, sample_rows: int) -> DataFrame:
     d = pick(docs, doc_id="doc_id", text="text", lang="lang")
     d = d.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     usable = d.where((remainder() != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = usable.groupBy("lang").agg(F.count("*").alias("n"))
-    share = sample_rows / max(1, counts.count())
-    chance = counts.select("lang", (F.lit(float(share)) / F.col("n")).alias("chance"))
+    counts = Table(usable.groupBy("lang").agg(F.count("*").alias("n")), "languages").df
+    languages = max(1, counts.count())
+    chance = counts.select("lang", (F.lit(float(sample_rows / languages)) / F.col("n")).alias("chance"))
+    if languages <= BROADCAST_LANGUAGES:  # texts stay where they are; beyond it, they are shuffled to their language
+        chance = F.broadcast(chance)
     u = F.shiftrightunsigned(F.xxhash64(F.lit(11), "doc_id"), 11) / F.lit(float(2**53))
     return usable.withColumn("u", u).join(chance, "lang").where("u < chance").select("lang", "text").limit(2 * sample_rows)
 
