@@ -8,11 +8,11 @@ on average) and the sets go to the children named by their tokens there, so two
 threshold share one child on average at any depth.
 
 * A node of up to SMALL sets is compared by brute force on the embedded tokens.
-* A larger node compares all its sets with one of its own, its leader, chosen by hash. A node whose
-  sets the first level has linked already has nothing to add. Of the rest, sets that agree with their
-  leader on NEAR tokens leave: a set similar to such a one is itself near enough to the leader, by the
-  triangle inequality of Jaccard distance, to be proposed with it in some run. The others are split
-  again; on the last level they are cut in chunks of CHUNK sets, each compared by brute force.
+* A larger node compares all its sets with one of its own, its leader, chosen by hash. Sets that the
+  first level has linked meet whole later on, so only pairs across its components are left: a node
+  without any has nothing to add; one of few enough, no more than a node of SMALL sets has, is
+  compared at once; the others are split again with all their sets. On the last level such a
+  node is cut in chunks of about SMALL sets, each compared by brute force.
 
 Comparisons on tokens only propose: a pair passes if at least LOOSE of the tokens agree, which a pair
 at the threshold fails once in a million, and a node gives no more rows than it has sets. What
@@ -45,8 +45,8 @@ from .graph import components
 
 WIDTH, THRESHOLD = 5, 0.8
 T, RUNS, LEVELS = 64, 16, 5
-SMALL, CHUNK, BLOCK = 512, 512, 256
-LOOSE, NEAR = 35, 40
+SMALL, BLOCK = 8192, 256
+LOOSE = 35
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _MASK = (1 << 64) - 1
@@ -155,8 +155,35 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
+def _forest(s: np.ndarray, n: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """Links (members, their neighbour) that connect what agrees on LOOSE of the tokens ``s`` (T rows, a column a
+    set) and in size ``n``; sets of one ``root`` are connected already. A set meets all that no path reaches yet."""
+    if len(n) <= 32:  # all pairs at once
+        same = (s[:, :, None] == s[:, None, :]).sum(axis=0, dtype=np.uint8) >= LOOSE
+        a, b = np.nonzero(np.triu(same & (np.minimum(n[:, None], n) >= THRESHOLD * np.maximum(n[:, None], n)), 1))
+        if len(a):
+            low = _roots(len(n), a, b)
+            for at in np.unique(low[b]).tolist():
+                yield np.flatnonzero((low == at) & (np.arange(len(n)) != at)), at
+        return
+    left = np.arange(len(n))
+    while len(left) > 1:
+        reached = left[root[left] == root[left[0]]].tolist()
+        left = left[root[left] != root[left[0]]]
+        tokens, sizes = np.ascontiguousarray(s[:, left]), n[left]
+        while reached and len(left):
+            at = reached.pop()
+            same = (tokens == s[:, at, None]).sum(axis=0, dtype=np.uint8) >= LOOSE
+            hit = same & (np.minimum(sizes, n[at]) >= THRESHOLD * np.maximum(sizes, n[at]))
+            if hit.any():
+                yield left[hit], at
+                gone = np.isin(root[left], root[left[hit]])
+                reached += left[gone].tolist()
+                left, tokens, sizes = left[~gone], np.ascontiguousarray(tokens[:, ~gone]), sizes[~gone]
+
+
 def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, id, n, sketch) sorted by node -> links of each node's sets that agree, one per set at most."""
+    """(node, id, n, sketch, root) sorted by node -> links of each node's sets that agree, one per set at most."""
     us, vs = [], []
     for table, first, end in grouped(batches):
         if end - first < 2:
@@ -164,19 +191,10 @@ def _propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = table.column(1).slice(first, end - first).to_numpy()
         n = table.column(2).slice(first, end - first).to_numpy().astype(float)
         s = np.frombuffer(b"".join(table.column(3).slice(first, end - first).to_pylist()), np.uint16).reshape(-1, T)
-        m = len(ids)
-        hits: list[tuple[np.ndarray, np.ndarray]] = []
-        for i in range(m - 1):
-            same = (s[i + 1 :] == s[i]).sum(axis=1) >= LOOSE
-            near = np.minimum(n[i + 1 :], n[i]) >= THRESHOLD * np.maximum(n[i + 1 :], n[i])
-            j = np.flatnonzero(same & near) + i + 1
-            if len(j):
-                hits.append((np.full(len(j), i), j))
-        if hits:
-            root = _roots(m, np.concatenate([a for a, _ in hits]), np.concatenate([b for _, b in hits]))
-            at = np.flatnonzero(root != np.arange(m))
-            us += ids[at].tolist()
-            vs += ids[root[at]].tolist()
+        root = table.column(4).slice(first, end - first).to_numpy()
+        for some, at in _forest(np.ascontiguousarray(s.T), n, root):
+            us += ids[some].tolist()
+            vs += [int(ids[at])] * len(some)
         if len(us) > 50_000:
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
             us, vs = [], []
@@ -204,8 +222,8 @@ def _children(node: Column) -> Column:
 
 
 def _brute(rows: DataFrame) -> DataFrame:
-    """Links of nodes of bounded size: (node, id, n, sketch)."""
-    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(_propose, "u long, v long")
+    """Links of nodes of bounded work: (node, id, n, sketch, root)."""
+    return rows.repartition("node").sortWithinPartitions("node", "id").mapInArrow(_propose, "u long, v long")
 
 
 def proposals(sets: DataFrame) -> DataFrame:
@@ -218,7 +236,7 @@ def proposals(sets: DataFrame) -> DataFrame:
         # A node's leader is its set of smallest hash; both numbers combine on the map side.
         nodes = Table(rows.df.groupBy("node").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("node", "id").alias("h"), F.col("id").alias("id"))).alias("m")).where("size > 1").select("node", "size", F.col("m.id").alias("leader")), "nodes")
         member = rows.df.join(nodes.df.hint("merge"), "node").join(sets.hint("merge"), "id")
-        found = Table(_brute(member.where(F.col("size") <= SMALL).select("node", "id", "n", "sketch")).distinct(), "links")
+        found = Table(_brute(member.where(F.col("size") <= SMALL).select("node", "id", "n", "sketch", F.col("id").alias("root"))).distinct(), "links")
         out = found.df if out is None else out.union(found.df)
         if nodes.df.where(F.col("size") > SMALL).isEmpty():
             drop_all([rows, nodes])
@@ -227,22 +245,26 @@ def proposals(sets: DataFrame) -> DataFrame:
         drop_all([rows, nodes])
         heads = large.df.where("id = leader").select("node", F.col("n").alias("n2"), F.col("sketch").alias("sketch2"))
         led = large.df.where("id <> leader").join(heads.hint("merge"), "node")
-        met = Table(led.select("node", "id", "leader", "n", "n2", "sketch", "sketch2").mapInArrow(_agreeing, "node long, u long, v long, near boolean"), "met")
-        links = Table(met.df.select("u", "v").distinct(), "links")
+        links = Table(led.select("id", "leader", "n", "n2", "sketch", "sketch2").mapInArrow(_agreeing, "u long, v long").distinct(), "links")
         out = out.union(links.df)
         if linked is None:
             linked = components(out)
-        # Sets that the first level has linked already meet whole later on: a node of one component adds nothing.
-        root = F.coalesce("root", "id")
-        rooted = large.df.select("node", "id").join(linked.df.hint("merge"), "id", "left").groupBy("node").agg(F.min(root).alias("a"), F.max(root).alias("b"))
-        mixed = large.df.join(rooted.where("a < b").select("node").hint("merge"), "node", "left_semi")
-        # So near its leader that what is similar to the set was proposed with the leader too: it leaves the node.
-        mixed = mixed.join(met.df.where("near").select("node", F.col("u").alias("id")).hint("merge"), ["node", "id"], "left_anti")
+        # Sets that the first level has linked already meet whole later on: pairs across components are what is left.
+        rooted = Table(large.df.join(linked.df.hint("merge"), "id", "left").select("node", "id", "n", "sketch", "size", F.coalesce("root", "id").alias("root")), "rooted")
+        pairs = (F.pow(F.sum("c"), 2) - F.sum(F.col("c") * F.col("c"))) / 2
+        open_ = rooted.df.groupBy("node", "root").agg(F.count("*").cast("double").alias("c")).groupBy("node").agg(pairs.alias("pairs")).where("pairs > 0")
+        mixed = Table(rooted.df.join(open_.hint("merge"), "node").withColumn("few", (F.col("pairs") <= SMALL * SMALL // 2) & (F.col("size") <= 32 * SMALL)), "mixed")
+        out = out.union(Table(_brute(mixed.df.where("few").select("node", "id", "n", "sketch", "root")).distinct(), "links").df)
+        split = mixed.df.where("NOT few")
+        if split.isEmpty():
+            drop_all([large, rooted, mixed])
+            break
         if level == LEVELS:
-            chunk = F.xxhash64("node", F.pmod(F.xxhash64("id", "node"), F.ceil(F.col("size") / CHUNK)))
-            out = out.union(Table(_brute(mixed.select(chunk.alias("node"), "id", "n", "sketch")).distinct(), "links").df)
+            chunk = F.xxhash64("node", F.pmod(F.xxhash64("id", "node"), F.ceil(F.col("size") / SMALL)))
+            out = out.union(Table(_brute(split.select(chunk.alias("node"), "id", "n", "sketch", "root")).distinct(), "links").df)
         else:
-            rows = Table(mixed.select(F.explode(_children(F.col("node"))).alias("node"), "id"), "paths")
+            rows = Table(split.select(F.explode(_children(F.col("node"))).alias("node"), "id"), "paths")
+        drop_all([rooted, mixed])
         large.drop()
     if linked is not None:
         linked.drop()
@@ -250,14 +272,12 @@ def proposals(sets: DataFrame) -> DataFrame:
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, id, leader, n, n2, sketch, sketch2) -> (node, id, leader, near) of those that agree on LOOSE
-    tokens, near if on NEAR."""
+    """(id, leader, n, n2, sketch, sketch2) -> (id, leader) of those that agree on LOOSE tokens."""
     for batch in batches:
-        n, n2 = (batch.column(c).to_numpy().astype(float) for c in (3, 4))
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, T) for c in (5, 6))
-        same = (a == b).sum(axis=1)
-        keep = pa.array((same >= LOOSE) & (np.minimum(n, n2) >= THRESHOLD * np.maximum(n, n2)))
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), batch.column(2).filter(keep), pa.array(same >= NEAR).filter(keep)], ["node", "u", "v", "near"])
+        n, n2 = (batch.column(c).to_numpy().astype(float) for c in (2, 3))
+        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, T) for c in (4, 5))
+        keep = pa.array(((a == b).sum(axis=1) >= LOOSE) & (np.minimum(n, n2) >= THRESHOLD * np.maximum(n, n2)))
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["u", "v"])
 
 
 def _cell_links(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
