@@ -1,0 +1,96 @@
+import random
+from itertools import combinations
+
+import pytest
+
+from vecloom.llm import jaccard as J
+
+
+def words(text):
+    w = (text or "").lower().split()
+    k = min(5, len(w))
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if w else set()
+
+
+def brute(rows):
+    """(class, links) of each row number."""
+    sets = [words(t) for _, t in rows]
+    links = [0] * len(rows)
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in combinations(range(len(rows)), 2):
+        a, b = sets[i], sets[j]
+        if a and b and len(a & b) * 10 >= 8 * len(a | b):
+            links[i] += 1
+            links[j] += 1
+            root[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(rows))], links
+
+
+def corpus(n_groups, size, seed=2):
+    rng = random.Random(seed)
+    vocab = [f"w{i}" for i in range(400)]
+    common = " ".join(rng.choice(vocab) for _ in range(12))
+    out = []
+    for _ in range(n_groups):
+        base = [rng.choice(vocab) for _ in range(rng.choice([3, 6, 40, 120]))]
+        for _ in range(rng.choice([1, 1, 2, size])):
+            w = list(base)
+            for _ in range(rng.choice([0, 0, 1, 2, 4])):
+                w[rng.randrange(len(w))] = rng.choice(vocab)
+            out.append(" ".join(w) + (" " + common if rng.random() < 0.3 else ""))
+    rng.shuffle(out)
+    return [(i, t) for i, t in enumerate(out)]
+
+
+def check(spark, rows):
+    got = J.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    by = {r.doc_id: r for r in got}
+    classes, links = brute(rows)
+    for (i, _), c, n in zip(rows, classes, links, strict=True):
+        assert (by[i].class_id, by[i].n_links) == (rows[c][0], n), i
+    kept = [r.class_id for r in got if r.kept]
+    assert len(kept) == len(set(kept)) == len(set(classes))
+
+
+def test_links_and_classes_equal_brute_force(spark):
+    check(spark, corpus(60, 12) + [(10_000, ""), (10_001, None), (10_002, "Two Words"), (10_003, "two  words")])
+
+
+def test_large_groups_take_every_path(spark, monkeypatch):
+    """Nodes above SMALL recurse to the last level and components span several blocks."""
+    monkeypatch.setattr(J, "SMALL", 6)
+    monkeypatch.setattr(J, "BLOCK", 16)
+    check(spark, corpus(4, 90, seed=5))
+
+
+@pytest.mark.parametrize("small", [16, 64])
+def test_excerpts_of_a_large_group_meet(spark, monkeypatch, small):
+    """Short excerpts are linked to longer ones only, and those to a group of copies above SMALL."""
+    monkeypatch.setattr(J, "SMALL", small)
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    out = []
+    for _ in range(300):
+        w = list(base)
+        w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        out.append(" ".join(w))
+    out += [" ".join(w) for w in (base[:382], base[:308], base[18:], base[92:])]
+    rows = list(enumerate(out))
+    classes, links = brute(rows)
+    assert set(classes) == {0} and links[301] == links[303] == 1
+    check(spark, rows)
+
+
+def test_odd_tables(spark):
+    df = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (7, "A b c d e f"), (7, "A b c d e f")], "doc_id long, text string")
+    got = J.join(df.select("doc_id", "text", df.doc_id.alias("TEXT"))).collect()
+    assert [(r.class_id, r.n_links, r.n_copies) for r in got] == [(7, 3, 4)] * 4
+    assert sum(r.kept for r in got) == 1 and next(r.doc_id for r in got if r.kept) == 7
+    assert J.join(df.limit(0)).count() == 0

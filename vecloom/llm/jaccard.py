@@ -12,7 +12,9 @@ threshold share one child on average at any depth.
   first level has linked meet whole later on, so only pairs across its components are left: a node
   without any has nothing to add; one of few enough, no more than a node of SMALL sets has, is
   compared at once; the others are split again with all their sets. On the last level such a
-  node is cut in chunks of about SMALL sets, each compared by brute force.
+  node is cut in chunks of SMALL / 2 sets that meet cell by cell, each pair of chunks in one cell.
+
+No set leaves a node before it has met, or is already linked with, every other set of it.
 
 Comparisons on tokens only propose: a pair passes if at least LOOSE of the tokens agree, which a pair
 at the threshold fails once in a million, and a node gives no more rows than it has sets. What
@@ -260,8 +262,11 @@ def proposals(sets: DataFrame) -> DataFrame:
             drop_all([large, rooted, mixed])
             break
         if level == LEVELS:
-            chunk = F.xxhash64("node", F.pmod(F.xxhash64("id", "node"), F.ceil(F.col("size") / SMALL)))
-            out = out.union(Table(_brute(split.select(chunk.alias("node"), "id", "n", "sketch", "root")).distinct(), "links").df)
+            blocks = F.ceil(F.col("size") / max(1, SMALL // 2))
+            placed = split.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", "node"), F.col("blocks")))
+            cells = placed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+            cell = F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other"))
+            out = out.union(Table(_brute(cells.select(cell.alias("node"), "id", "n", "sketch", "root")).distinct(), "links").df)
         else:
             rows = Table(split.select(F.explode(_children(F.col("node"))).alias("node"), "id"), "paths")
         drop_all([rooted, mixed])
