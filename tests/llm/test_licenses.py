@@ -48,6 +48,15 @@ def test_templates_are_found_by_position(spark):
     assert got[903].score == 1.0 and got[900].score == 0.0
 
 
+def test_a_file_of_many_licences_keeps_every_label(spark):
+    """Rarer words of other licences take no template's place."""
+    filler = "Plain prose about an ordinary day. "
+    rows = [(0, f". {filler}".join(t for _, t, _ in L.TEMPLATES)), *((i, f"permission to license {i}") for i in range(1, 40))]
+    got = {r.doc_id: r for r in L.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].labels == ",".join(sorted({label for label, _, _ in L.TEMPLATES}))
+    assert {got[i].labels for i in range(1, 40)} == {""}
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, TEXT string")
     assert L.scan(df).count() == 0

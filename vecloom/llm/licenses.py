@@ -2,9 +2,10 @@
 
 The templates are indexed once: word -> (template, position). A document keeps its occurrences of
 the templates' words with their positions. Document frequencies of those words over all documents
-give IDFs; each document looks up its RARE highest-IDF licence words; postings and occurrences
-intersect by relative position (a template is there if its words stand at one common offset); and at
-that offset the template's mandatory key phrases are verified word by word.
+give IDFs; each template is looked up by the RARE highest-IDF words of its mandatory key phrase; postings
+and occurrences intersect by relative position (a template may be there if those words stand at one
+common offset); and at that offset the key phrase is verified word by word. As the looked-up words are
+part of the phrase, IDFs decide what the search costs and never what it finds.
 
 Base labels are the places where a stated phrase's words stand consecutively; every phrase word is
 an indexed word, so those places are found among the occurrences too, and base labels always stay.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import Table, pick
 
-RARE = 8
+RARE = 2
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 """A word of a text whose A-Z are lower case."""
 ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -119,9 +120,7 @@ def _found_templates(occ: DataFrame) -> DataFrame:
     spark = occ.sparkSession
     idf = _idf(occ)
     some = occ.where(F.size("occ") > 0).select("rid", "occ")
-    weights = F.create_map(*[x for i, v in idf.items() for x in (F.lit(i), F.lit(-v))])
-    rare = F.slice(F.array_sort(F.transform(F.filter(F.array_distinct(F.transform("occ", lambda s: s["w"])), lambda w: w.isin(list(idf))), lambda w: F.struct(F.element_at(weights, w).alias("k"), w.alias("w")))), 1, RARE)
-    postings, keys, sizes = [], [], []
+    postings, keys, sizes, looked_up = [], [], [], []
     for t, (label, wording, phrase) in enumerate(TEMPLATES):
         ws, key = wording.split(), phrase.split()
         start = next((i for i in range(len(ws)) if ws[i : i + len(key)] == key), None)
@@ -130,18 +129,21 @@ def _found_templates(occ: DataFrame) -> DataFrame:
             start = len(ws) + 1
             postings += [(t, VOCABULARY.index(w), start + i) for i, w in enumerate(key)]
         keys += [(t, start + i) for i in range(len(key))]
-        sizes.append((t, label, len(ws), len(key), len({w for w in ws if w not in _COMMON})))
+        rare = sorted({VOCABULARY.index(w) for w in key} & set(idf), key=lambda w: (-idf[w], w))[:RARE]
+        looked_up += [(t, VOCABULARY.index(w), start + i) for i, w in enumerate(key) if VOCABULARY.index(w) in rare]
+        sizes.append((t, label, len(ws), len(key), len(rare)))
     index = _values(spark, postings, "t, w, tp")  # the templates: fixed
     key_index = _values(spark, [(*k, 1) for k in keys], "t, tp, key")
     size_index = _values(spark, sizes, "t, label, n, n_key, n_rare")
-    # Look up each file's rarest licence words and intersect with the postings by relative position.
-    looked = some.withColumn("rare", F.transform(rare, lambda r: r["w"])).select("rid", F.explode("occ").alias("s"), "rare").where(F.array_contains("rare", F.col("s.w")))
-    aligned = looked.select("rid", F.col("s.w").alias("w"), F.col("s.p").alias("p")).join(index, "w").groupBy("rid", "t", (F.col("p") - F.col("tp")).alias("offset")).agg(F.count_distinct("w").alias("hits"))
-    sure = aligned.join(size_index, "t").where(F.col("hits") >= F.least(F.lit(2), F.col("n_rare"))).select("rid", "t", "offset")
+    # Look up each template's rarest words and intersect with the occurrences by relative position.
+    rare_index = _values(spark, looked_up, "t, w, tp")
+    every = some.select("rid", F.explode("occ").alias("s")).select("rid", F.col("s.w").alias("w"), F.col("s.p").alias("p"))
+    aligned = every.join(rare_index, "w").groupBy("rid", "t", (F.col("p") - F.col("tp")).alias("offset")).agg(F.count_distinct("w").alias("hits"))
+    sure = aligned.join(size_index, "t").where(F.col("hits") == F.col("n_rare")).select("rid", "t", "offset")
     # Verify every word of the key phrase at that offset, with all occurrences.
-    every = some.select("rid", F.explode("occ").alias("s")).select("rid", F.col("s.w").alias("w"), F.col("s.p").alias("p")).join(index, "w").withColumn("offset", F.col("p") - F.col("tp"))
+    placed = every.join(index, "w").withColumn("offset", F.col("p") - F.col("tp"))
     checked = (
-        every.join(sure, ["rid", "t", "offset"], "left_semi")
+        placed.join(sure, ["rid", "t", "offset"], "left_semi")
         .join(key_index, ["t", "tp"], "left")
         .groupBy("rid", "t", "offset")
         .agg(F.count_distinct("tp").alias("got"), F.sum("key").alias("got_key"))
