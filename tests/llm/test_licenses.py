@@ -57,6 +57,15 @@ def test_a_file_of_many_licences_keeps_every_label(spark):
     assert {got[i].labels for i in range(1, 40)} == {""}
 
 
+def test_every_key_phrase_opens_the_gate(spark):
+    """A key phrase by itself is found, whatever else the text lacks."""
+    rows = [*enumerate(f"See: {k.upper()}." for _, _, k in L.TEMPLATES), (50, "This work is under CC BY-NC 4.0"), (51, "success by accident")]
+    got = {r.doc_id: r.labels for r in L.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (label, _, _) in enumerate(L.TEMPLATES):
+        assert label in got[i].split(","), L.TEMPLATES[i]
+    assert (got[50], got[51]) == ("cc-by-nc", "")
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, TEXT string")
     assert L.scan(df).count() == 0

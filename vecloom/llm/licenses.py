@@ -55,11 +55,23 @@ TEMPLATES: list[tuple[str, str, str]] = [
 ]
 
 VOCABULARY = sorted({w for _, t, _ in TEMPLATES for w in t.split()} | {w for p in BASE_PHRASES.values() for w in p.split()})
-#: Every template and base phrase holds one of these, so a text without them has no label.
-TRIGGERS = ("licens", "permission", "redistribut", "all rights reserved", "unencumbered")
 _COMMON = {"a", "and", "any", "are", "by", "can", "for", "in", "into", "is", "it", "of", "or", "that", "the", "this", "to", "with", "you"}
 
 
+_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _gate() -> Column:
+    """Whether the lower-case text ``low`` may hold a key or base phrase: true wherever one stands. A phrase asks for
+    its longest word, or for "license" if it has it; one of short words for its first two, side by side."""
+    phrases = sorted({k for _, _, k in TEMPLATES} | set(BASE_PHRASES.values()))
+    words = {max(p.split(), key=lambda w: (w == "license", len(w))): p.split()[:2] for p in phrases}
+    out = F.lit(False)
+    for w in sorted(words, key=lambda w: (len(w) < 5, w)):
+        out = out | (F.contains(F.col("low"), F.lit(w)) if len(w) >= 5 else F.col("low").rlike(_GAP.join(words[w])))
+    return out
+
+
 def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
@@ -68,15 +80,12 @@ def occurrences(docs: DataFrame) -> DataFrame:
     """rid, doc_id, n_words, occ array<struct<w int, p int>>: places of the vocabulary's words, in order."""
     d = pick(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     low = F.lower("text")
-    triggered = F.lit(False)
-    for t in TRIGGERS:
-        triggered = triggered | F.contains(F.col("low"), F.lit(t if " " not in t else t.split()[1]))
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     index = F.create_map(*[x for i, w in enumerate(VOCABULARY) for x in (F.lit(w), F.lit(i))])
     words = F.regexp_extract_all(F.translate("text", upper, lower), F.lit(WORDS), F.lit(0))
     placed = F.filter(F.transform(words, lambda w, i: F.struct(F.when(w.isin(VOCABULARY), F.element_at(index, w)).alias("w"), i.alias("p"))), lambda s: s["w"].isNotNull())
     kind = "array<struct<w:int,p:int>>"
-    d = d.withColumn("low", low).withColumn("hit", triggered).drop("low")
+    d = d.withColumn("low", low).withColumn("hit", _gate()).drop("low")
     return d.select(
         F.monotonically_increasing_id().alias("rid"),
         "doc_id",
