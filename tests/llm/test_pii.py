@@ -60,6 +60,16 @@ def test_secrets_are_found_and_clean_text_left_alone(spark):
     assert all(got[i] == (f"secret:{at}:{at + 40}" if i % 3 == 0 else "") for i in range(60))
 
 
+def test_long_keys_are_secrets_too(spark):
+    key = "1eb9c654e721b4f8" * 32
+    rows = [(i, f'said. token = "{key}" and so on' if i % 3 == 0 else "plain words here, 12 of them.") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.summarise(pii.find(df)).collect()}
+    at = rows[0][1].index(key)
+    assert all(got[i] == (f"secret:{at}:{at + len(key)}" if i % 3 == 0 else "") for i in range(60))
+    assert not any(key in r.text for r in pii.redact(df).collect())
+
+
 def test_redaction_and_odd_tables(spark):
     rows = [(1, "write to a@b.co, or +1 (499) 555-6503.", "en"), (2, None, None), (None, "nothing", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")

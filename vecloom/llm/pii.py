@@ -37,7 +37,7 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "secret": r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{20,200}(?![A-Za-z0-9_])",
+    "secret": r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{20,}+",
     "id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "local": r"(?<![0-9+(-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[.-][0-9]{4}(?![0-9-])",
     "person": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|James|Mary|John|Linda|Robert|Maria|David|Anna|Peter|Susan|Thomas|Laura)\.?\x20[A-Z][a-z]{1,30}(?![A-Za-z])",
