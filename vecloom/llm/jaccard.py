@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Table, allot, documents, drop_all
-from .graph import components
+from .graph import components, roots, stars
 
 WIDTH, THRESHOLD = 5, 0.8
 T, RUNS, LEVELS = 64, 16, 5
@@ -95,30 +95,43 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
         return np.unique(_mixed((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64)))
 
 
+def _first_paths() -> list[tuple[int, int]]:
+    """(run, coordinate) of the roots' choices."""
+    rng = random.Random(23)
+    return [(run, at) for run in range(RUNS) for at in rng.sample(range(T), 1 + (rng.random() < 1 / THRESHOLD - 1))]
+
+
 _RANDOM = random.Random(17)
 _SEEDS = np.array([_RANDOM.getrandbits(64) | 1 for _ in range(2 * T)], np.uint64)
+_FIRST = np.array([at for _, at in _first_paths()])
+_SALTS = np.array([_RANDOM.getrandbits(64) for _ in _FIRST], np.uint64)
 
 
-def embedding(tokens: np.ndarray) -> bytes:
-    """T minwise tokens, 2 bytes each."""
+def embedding(tokens: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """T minwise tokens, 2 bytes each, which comparisons read, and the nodes below the roots, named by whole
+    64-bit tokens: sets that share none do not meet by chance, however many there are."""
     out = np.full(T, np.iinfo(np.uint64).max, np.uint64)
     with np.errstate(over="ignore"):
         for at in range(0, len(tokens), 4096):
             part = tokens[at : at + 4096, None]
             h = (part ^ _SEEDS[None, T:]) * _SEEDS[None, :T]
             out = np.minimum(out, (h ^ (h >> np.uint64(29))).min(axis=0))
-        return (_mixed(out) >> np.uint64(48)).astype(np.uint16).tobytes()
+        mixed = _mixed(out)
+        return (mixed >> np.uint64(48)).astype(np.uint16).tobytes(), _mixed(mixed[_FIRST] ^ _SALTS).view(np.int64)
 
 
 def _embedded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, sizes, sketches = [], [], []
+        ids, sizes, sketches, paths = [], [], [], []
         for text in batch.column(1).to_pylist():
             s = shingles(text)
             sizes.append(len(s))
             ids.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None)
-            sketches.append(embedding(s) if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary())], ["doc_id", "th", "id", "n", "sketch"])
+            sketch, nodes = embedding(s) if len(s) else (None, None)
+            sketches.append(sketch)
+            paths.append(nodes)
+        columns = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.array(paths, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["doc_id", "th", "id", "n", "sketch", "paths"])
 
 
 def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, int, int]]:
@@ -141,22 +154,6 @@ def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, int,
         yield rest, 0, rest.num_rows
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest member of each of n members' components under links a-b."""
-    root = np.arange(n)
-    while len(a):
-        low = np.minimum(root[a], root[b])
-        before = root.copy()
-        np.minimum.at(root, root[a], low)
-        np.minimum.at(root, root[b], low)
-        np.minimum.at(root, a, low)
-        np.minimum.at(root, b, low)
-        root = root[root]
-        if (root == before).all():
-            break
-    return root
-
-
 def _forest(s: np.ndarray, n: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
     """Links (members, their neighbour) that connect what agrees on LOOSE of the tokens ``s`` (T rows, a column a
     set) and in size ``n``; sets of one ``root`` are connected already. A set meets all that no path reaches yet."""
@@ -164,7 +161,7 @@ def _forest(s: np.ndarray, n: np.ndarray, root: np.ndarray) -> Iterator[tuple[np
         same = (s[:, :, None] == s[:, None, :]).sum(axis=0, dtype=np.uint8) >= LOOSE
         a, b = np.nonzero(np.triu(same & (np.minimum(n[:, None], n) >= THRESHOLD * np.maximum(n[:, None], n)), 1))
         if len(a):
-            low = _roots(len(n), a, b)
+            low = roots(len(n), a, b)
             for at in np.unique(low[b]).tolist():
                 yield np.flatnonzero((low == at) & (np.arange(len(n)) != at)), at
         return
@@ -208,12 +205,6 @@ def _token(at: Column) -> Column:
     return F.substring("sketch", (at * 2 + 1).cast("int"), F.lit(2))
 
 
-def _first_paths() -> list[tuple[int, int]]:
-    """(run, coordinate) of the roots' choices."""
-    rng = random.Random(23)
-    return [(run, at) for run in range(RUNS) for at in rng.sample(range(T), 1 + (rng.random() < 1 / THRESHOLD - 1))]
-
-
 def _children(node: Column) -> Column:
     """The nodes that a set of ``node`` goes to."""
     one = F.pmod(F.xxhash64(node, F.lit(1)), F.lit(T))
@@ -224,30 +215,31 @@ def _children(node: Column) -> Column:
 
 
 def _brute(rows: DataFrame) -> DataFrame:
-    """Links of nodes of bounded work: (node, id, n, sketch, root)."""
-    return rows.repartition("node").sortWithinPartitions("node", "id").mapInArrow(_propose, "u long, v long")
+    """Links of nodes of bounded work: (node, id, n, sketch, root); a task gives at most one for each set it holds."""
+    return rows.repartition("node").sortWithinPartitions("node", "id").mapInArrow(lambda batches: stars(_propose(batches)), "u long, v long")
 
 
 def proposals(sets: DataFrame) -> DataFrame:
-    """(u, v): links proposed among ``sets`` (id, n, sketch)."""
-    paths = F.array(*[F.xxhash64(F.lit(run), F.lit(at), _token(F.lit(at))) for run, at in _first_paths()])
-    rows = Table(sets.select(F.explode(paths).alias("node"), "id"), "paths")
+    """(u, v): links proposed among ``sets`` (id, n, sketch, paths)."""
+    rows = sets.select(F.explode("paths").alias("node"), "id")
+    held: list[Table] = []
+    sets = sets.select("id", "n", "sketch")
     out: DataFrame | None = None
     linked: Table | None = None
     for level in range(1, LEVELS + 1):
-        # A node's leader is its set of smallest hash; both numbers combine on the map side.
-        nodes = Table(rows.df.groupBy("node").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("node", "id").alias("h"), F.col("id").alias("id"))).alias("m")).where("size > 1").select("node", "size", F.col("m.id").alias("leader")), "nodes")
-        member = rows.df.join(nodes.df.hint("merge"), "node").join(sets.hint("merge"), "id")
-        found = Table(_brute(member.where(F.col("size") <= SMALL).select("node", "id", "n", "sketch", F.col("id").alias("root"))).distinct(), "links")
+        nodes = Table(rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "nodes")
+        member = rows.join(nodes.df.hint("merge"), "node").join(sets.hint("merge"), "id")
+        found = Table(_brute(member.where(F.col("size") <= SMALL).select("node", "id", "n", "sketch", F.col("id").alias("root"))), "links")
         out = found.df if out is None else out.union(found.df)
         if nodes.df.where(F.col("size") > SMALL).isEmpty():
-            drop_all([rows, nodes])
+            drop_all([nodes, *held])
             break
-        large = Table(member.where(F.col("size") > SMALL).select("node", "id", "n", "sketch", "size", "leader"), "large")
-        drop_all([rows, nodes])
-        heads = large.df.where("id = leader").select("node", F.col("n").alias("n2"), F.col("sketch").alias("sketch2"))
-        led = large.df.where("id <> leader").join(heads.hint("merge"), "node")
-        links = Table(led.select("id", "leader", "n", "n2", "sketch", "sketch2").mapInArrow(_agreeing, "u long, v long").distinct(), "links")
+        large = Table(member.where(F.col("size") > SMALL).select("node", "id", "n", "sketch", "size"), "large")
+        drop_all([nodes, *held])
+        # A node's leader is its set of smallest hash; minima combine on the map side.
+        heads = large.df.groupBy("node").agg(F.min(F.struct(F.xxhash64("node", "id").alias("h"), "id", "n", "sketch")).alias("m")).select("node", F.col("m.id").alias("leader"), F.col("m.n").alias("n2"), F.col("m.sketch").alias("sketch2"))
+        led = large.df.join(heads.hint("merge"), "node").where("id <> leader")
+        links = Table(led.select("id", "leader", "n", "n2", "sketch", "sketch2").mapInArrow(lambda batches: stars(_agreeing(batches)), "u long, v long"), "links")
         out = out.union(links.df)
         if linked is None:
             linked = components(out)
@@ -256,7 +248,7 @@ def proposals(sets: DataFrame) -> DataFrame:
         pairs = (F.pow(F.sum("c"), 2) - F.sum(F.col("c") * F.col("c"))) / 2
         open_ = rooted.df.groupBy("node", "root").agg(F.count("*").cast("double").alias("c")).groupBy("node").agg(pairs.alias("pairs")).where("pairs > 0")
         mixed = Table(rooted.df.join(open_.hint("merge"), "node").withColumn("few", (F.col("pairs") <= SMALL * SMALL // 2) & (F.col("size") <= 32 * SMALL)), "mixed")
-        out = out.union(Table(_brute(mixed.df.where("few").select("node", "id", "n", "sketch", "root")).distinct(), "links").df)
+        out = out.union(Table(_brute(mixed.df.where("few").select("node", "id", "n", "sketch", "root")), "links").df)
         split = mixed.df.where("NOT few")
         if split.isEmpty():
             drop_all([large, rooted, mixed])
@@ -266,11 +258,11 @@ def proposals(sets: DataFrame) -> DataFrame:
             placed = split.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", "node"), F.col("blocks")))
             cells = placed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
             cell = F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other"))
-            out = out.union(Table(_brute(cells.select(cell.alias("node"), "id", "n", "sketch", "root")).distinct(), "links").df)
+            out = out.union(Table(_brute(cells.select(cell.alias("node"), "id", "n", "sketch", "root")), "links").df)
         else:
-            rows = Table(split.select(F.explode(_children(F.col("node"))).alias("node"), "id"), "paths")
-        drop_all([rooted, mixed])
-        large.drop()
+            held = [Table(split.select(F.explode(_children(F.col("node"))).alias("node"), "id"), "paths")]
+            rows = held[0].df
+        drop_all([large, rooted, mixed])
     if linked is not None:
         linked.drop()
     return out
@@ -342,7 +334,7 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(ids)
         texts = np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
         docs = np.bincount(a, weights=copies[b], minlength=n) + np.bincount(b, weights=copies[a], minlength=n)
-        root = _roots(n, a, b)
+        root = roots(n, a, b)
         some = np.flatnonzero(texts)
         yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(texts[some].astype(np.int64)), pa.array(docs[some].astype(np.int64)), pa.array(ids[root[some]])], ["id", "texts", "docs", "root"])
 
@@ -366,13 +358,13 @@ def settle(docs: DataFrame, reps: DataFrame, groups: DataFrame) -> Table:
 def classes(docs: DataFrame) -> DataFrame:
     """A row for each document: doc_id, th (hash of its text), class_id, n_links, n_linked_texts, n_copies, kept."""
     hashed = documents(docs).withColumn("th", F.xxhash64("text"))
-    every = Table(hashed.mapInArrow(_embedded, "doc_id long, th long, id long, n int, sketch binary").withColumn("rid", F.monotonically_increasing_id()), "sets")
+    every = Table(hashed.mapInArrow(_embedded, "doc_id long, th long, id long, n int, sketch binary, paths array<long>").withColumn("rid", F.monotonically_increasing_id()), "sets")
     named = every.df.where(F.col("id").isNotNull())
     reps = Table(
-        named.groupBy("id").agg(F.count("*").alias("copies"), F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "th")).alias("m"), F.max(F.struct("n", "sketch")).alias("s")).select("id", "copies", "low", F.col("m.doc_id").alias("doc_id"), F.col("m.th").alias("th"), F.col("s.n").alias("n"), F.col("s.sketch").alias("sketch")),
+        named.groupBy("id").agg(F.count("*").alias("copies"), F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "th")).alias("m"), F.max(F.struct("n", "sketch", "paths")).alias("s")).select("id", "copies", "low", F.col("m.doc_id").alias("doc_id"), F.col("m.th").alias("th"), F.col("s.n").alias("n"), F.col("s.sketch").alias("sketch"), F.col("s.paths").alias("paths")),
         "reps",
     )
-    groups = components(proposals(reps.df.select("id", "n", "sketch")))
+    groups = components(proposals(reps.df.select("id", "n", "sketch", "paths")))
     exact = settle(docs, reps.df.select("id", "copies", "doc_id", "th"), groups.df)
     true = components(exact.df.select(F.col("id").alias("u"), F.col("root").alias("v")))
     counts = exact.df.groupBy("id").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("linked"))
