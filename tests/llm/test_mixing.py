@@ -87,3 +87,34 @@ def test_odd_tables(spark):
     assert M.mix(df.limit(0)).count() == 0 and M.resample(df.limit(0)).count() == 0
     clash = df.select("doc_id", "text", "source", df.doc_id.alias("SIZE"), df.doc_id.alias("Source"))
     assert M.mix(clash).count() == 2
+
+
+def test_the_draw_equals_brute_force(spark):
+    """Whole copies, then fractions in the order of u / fraction until the source's words are used up."""
+    rows = [(i, t, s) for i, (_, t, s) in enumerate(corpus(400))] + [(5000, "long " * 30_000, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    u = {r.doc_id: r.u for r in M.sized(df).collect()}
+    by = {}
+    for r in M.mix(df).collect():
+        by.setdefault(r.source, []).append(r)
+    for rs in by.values():
+        left = round(rs[0].target) - sum(int(r.rate) * r.size for r in rs)
+        for r in sorted((r for r in rs if r.rate > int(r.rate)), key=lambda r: (u[r.doc_id] / (r.rate - int(r.rate)), r.doc_id)):
+            extra = max(0, min(r.size, left))
+            assert r.taken == int(r.rate) * r.size + extra, r
+            left -= r.size
+        assert all(r.taken == int(r.rate) * r.size for r in rs if r.rate == int(r.rate))
+
+
+def test_a_source_stopped_at_its_most_is_taken_whole(spark):
+    rows = [(i, "w " * (1 + i % 9), "a" if i % 3 else "b") for i in range(600)]
+    got = M.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1, 1000), share=1.5).collect()
+    assert {r.taken / r.size for r in got if r.source == "b"} == {2.0}
+    assert abs(sum(r.taken for r in got) - 1.5 * sum(r.size for r in got)) <= 1
+
+
+def test_an_unsolved_dual_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(M, "MAX_ITERATIONS", 1)
+    df = spark.createDataFrame([(i, "w " * (1 + i % 9), "ab"[i % 2]) for i in range(50)], "doc_id long, text string, source string")
+    with pytest.raises(RuntimeError, match="not converged"):
+        M.mix(df).count()

@@ -11,7 +11,8 @@ distinct sizes of a source, and the state of an iteration is a table in the shar
 Rates become copies by sequential Poisson sampling: every document gets its whole copies, and the
 fractional parts f are drawn in the order of u / f (u a hash of the document in [0, 1)) until the
 source's words are used up; the last document drawn may be taken in part. The order is cut in 2,048
-ranges per source, so no source, however hot, is sorted in one task.
+ranges per source, so no source, however hot, is sorted in one task, and documents whose rate has no
+fraction (empty ones, all of a source stopped at ``most``) are not sorted at all.
 
 Defined cases: a null text has size 0 and takes 0 words; a null source is a source of its own, last
 in order; null doc_ids and repeated rows are rows like others (equal rows may share a partial take
@@ -113,8 +114,8 @@ def solve(sizes: DataFrame, wanted: DataFrame, most: float, tolerance: float = 1
         last, state = state, Table(moved, "newton")
         last.drop()
         if state.df.where("NOT done").isEmpty():
-            break
-    return state
+            return state
+    raise RuntimeError(f"the dual has not converged in {MAX_ITERATIONS} iterations")
 
 
 def shares(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -152,10 +153,14 @@ def shares(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float
         (F.round("target").cast("long") - F.sum("held").over(each) - F.coalesce(F.sum("words").over(before), F.lit(0))).alias("left"),
     )
     turn = Window.partitionBy("sid", "range").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    drawn = rated.join(ranges, (F.col("sid") == F.col("sid2")) & (F.col("range") == F.col("range2")))
+    held = ["doc_id", "th", "source", "size", "source_size", "target", "rate"]
+    drawn = rated.where("turn IS NOT NULL").join(ranges, (F.col("sid") == F.col("sid2")) & (F.col("range") == F.col("range2")))
     left = F.col("left") - F.coalesce(F.sum("size").over(turn), F.lit(0))
-    extra = F.when(F.col("turn").isNull(), F.lit(0)).otherwise(F.greatest(F.lit(0), F.least(F.col("size"), left)))
-    out = drawn.select("doc_id", "th", "source", "size", "source_size", "target", "rate", (F.col("whole") * F.col("size") + extra).cast("long").alias("taken"))
+    extra = F.greatest(F.lit(0), F.least(F.col("size"), left))
+    out = drawn.select(*held, (F.col("whole") * F.col("size") + extra).cast("long").alias("taken"))
+    # Rates without a fraction draw nothing: they stay out of the windows, else a source stopped at ``most`` were one of them.
+    settled = rated.where("turn IS NULL").select(*held, (F.col("whole") * F.col("size")).cast("long").alias("taken"))
+    out = out.union(settled)
     drop_all([spark_docs, by_size, solved])
     return out
 
