@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -25,6 +26,21 @@ def brute(rows, length):
     return out
 
 
+def brute_passages(rows, length, words):
+    """(runs of more than ``words`` words that repeat, their words) of each text."""
+    raws = [(t or "").encode() for t in rows]
+    count = Counter(r[i : i + length] for r in raws for i in range(len(r) - length + 1))
+    out = []
+    for r in raws:
+        gone = bytearray(len(r))
+        for i in range(len(r) - length + 1):
+            if count[r[i : i + length]] > 1:
+                gone[i : i + length] = b"\1" * length
+        held = [sum(m.start() <= w.start() and w.end() <= m.end() for w in re.finditer(rb"\S+", r)) for m in re.finditer(b"\1+", gone)]
+        out.append((sum(n > words for n in held), sum(n for n in held if n > words)))
+    return out
+
+
 def corpus(seed, n=60, letters="ab cdé"):
     rng = random.Random(seed)
     some = ["".join(rng.choice(letters) for _ in range(rng.choice([10, 19, 20, 21, 40, 90]))) for _ in range(8)]
@@ -37,7 +53,9 @@ def corpus(seed, n=60, letters="ab cdé"):
 
 def check(spark, texts, of):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in R.remove(df, of).collect()}
+    rows = R.remove(df, of, passage=R.Lengths(12, 5), words=2).collect()
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows}
+    assert {r.doc_id: (r.n_passages, r.passage_words) for r in rows} == dict(enumerate(brute_passages(texts, 12, 2)))
     want = brute(texts, of.length)
     assert len(got) == len(texts)
     for i, w in enumerate(want):
@@ -65,6 +83,17 @@ def test_production_lengths(spark):
     check(spark, texts, R.Lengths())
 
 
+def test_passages_of_over_50_words_are_reported(spark):
+    """Shorter than what is removed: caught in each document that holds one, and in no other."""
+    rng = random.Random(4)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    some, less = words(51), words(50)
+    texts = [f"{words(30)}. {some}. {words(20)}" for _ in range(5)] + [f"{words(30)}. {less}. {words(20)}" for _ in range(5)] + [words(90) for _ in range(20)]
+    rows = R.remove(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id for r in rows if r.n_passages} == set(range(5)) and not any(r.n_removed for r in rows)
+    assert all(51 <= r.passage_words <= 53 for r in rows if r.n_passages)
+
+
 def test_column_transform_alone():
     rng = random.Random(1)
     of = R.Lengths(12, 4)

@@ -20,6 +20,10 @@ is never sorted suffix by suffix. Instead:
 4. Beyond LIMIT pieces, a bucket is not held by one task: its windows are counted by their hash, the
    counts summed on the map side.
 
+The same construction with shorter strings finds passages: runs of bytes covered by strings of PASSAGE
+that also start elsewhere, and that hold more than PASSAGE_WORDS words (what white space separates). They
+are reported, not removed.
+
 Pieces and windows are told apart by two 64-bit hashes (anchor and content). Defined cases: a null text
 is empty; texts shorter than LENGTH keep everything; null doc_ids are rows like others; repeated rows
 repeat each other; an empty table gives no rows; further columns are ignored; a run of one byte or a
@@ -53,13 +57,16 @@ class Lengths:
     """Of a repeat, and of its anchor (at most 2**16)."""
 
     length: int = 400
-    anchor: int = 128
+    anchor: int = 64
 
     @property
     def window(self) -> int:
         return self.length - self.anchor + 1
 
 
+PASSAGE, PASSAGE_WORDS = Lengths(192, 32), 50
+
+
 def _smallest(v: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each ``width`` neighbours, by doubling."""
     n, step = len(v) - width + 1, 1
@@ -306,27 +313,42 @@ def _merged(spans: list[dict]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _strip(keep_bytes: bool):
+def _whole_words(raw: bytes, a: int, b: int) -> int:
+    """Words that lie in raw[a:b] from end to end."""
+    cut = lambda at: 0 < at < len(raw) and not raw[at - 1 : at].isspace() and not raw[at : at + 1].isspace()
+    return max(0, len(raw[a:b].split()) - cut(a) - cut(b))
+
+
+def _strip(keep_bytes: bool, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for z, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            out: tuple[list, ...] = tuple([] for _ in range(7))
+            for z, spans, runs in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 raw, gone = open_.decompress(z), _merged(spans)
                 edges = [0, *(x for span in gone for x in span), len(raw)]
                 kept = b"".join(raw[a:b] for a, b in zip(edges[0::2], edges[1::2], strict=True))
-                for column, x in zip(out, (len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept if keep_bytes else None), strict=True):
+                long = [n for a, b in _merged(runs) if (n := _whole_words(raw, a, b)) > words]
+                for column, x in zip(out, (len(raw), len(raw) - len(kept), len(gone), len(long), sum(long), hashlib.sha256(kept).hexdigest(), kept if keep_bytes else None), strict=True):
                     column.append(x)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string()), pa.array(out[4], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in out[:5]), pa.array(out[5], pa.string()), pa.array(out[6], pa.binary())], ["doc_id", *_COUNTS, "kept_sha256", "kept"])
 
     return run
 
 
-def remove(docs: DataFrame, of: Lengths = Lengths(), keep_bytes: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay; null unless wanted)."""
-    spans = Table(repeats(docs, of).groupBy("did", "th").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans").df
+_COUNTS = ("n_bytes", "n_removed", "n_spans", "n_passages", "passage_words")
+
+
+def _by_text(spans: DataFrame, tag: str, name: str) -> DataFrame:
+    return Table(spans.groupBy("did", "th").agg(F.collect_set(F.struct("start", "end")).alias(name)), tag).df
+
+
+def remove(docs: DataFrame, of: Lengths = Lengths(), keep_bytes: bool = True, passage: Lengths = PASSAGE, words: int = PASSAGE_WORDS) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, n_passages and passage_words (runs of more than ``words`` words that
+    stand elsewhere too, and their words), kept_sha256, kept (the bytes that stay; null unless wanted)."""
+    spans = _by_text(repeats(docs, of), "spans", "spans")
+    runs = _by_text(repeats(docs, passage), "runs", "runs")
     squeezed = _keyed(docs).mapInArrow(_squeeze, "doc_id long, did long, th long, z binary")
-    met = squeezed.join(spans, ["did", "th"], "left").select("doc_id", "z", "spans")
-    return met.mapInArrow(_strip(keep_bytes), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    met = squeezed.join(spans.join(runs, ["did", "th"], "full").hint("merge"), ["did", "th"], "left").select("doc_id", "z", "spans", "runs")
+    counts = ", ".join(f"{c} long" for c in _COUNTS)
+    return met.mapInArrow(_strip(keep_bytes, words), f"doc_id long, {counts}, kept_sha256 string, kept binary")
