@@ -31,6 +31,16 @@ BASE = ("email", "ip", "card", "phone")
 EXTRA = ("secret", "id", "local", "person")
 KINDS = BASE + EXTRA
 
+#: Titles and frequent first names of English, German, French and Spanish.
+TITLES = ["Mr", "Mrs", "Ms", "Dr", "Prof", "Sir", "Herr", "Frau", "Monsieur", "Madame", "Mademoiselle", "Mme", "Mlle", "Señor", "Señora", "Señorita", "Sra", "Sr", "Don", "Doña"]
+FIRST_NAMES = [
+    "James", "Mary", "John", "Patricia", "Robert", "Jennifer", "Michael", "Linda", "William", "Elizabeth", "David", "Barbara", "Richard", "Susan", "Joseph", "Jessica", "Thomas", "Sarah", "Charles", "Karen", "Christopher", "Nancy", "Daniel", "Lisa",
+    "Matthew", "Margaret", "Anthony", "Betty", "Mark", "Sandra", "Donald", "Ashley", "Steven", "Kimberly", "Paul", "Emily", "Andrew", "Donna", "Joshua", "Michelle", "Kenneth", "Carol", "Kevin", "Amanda", "Brian", "Laura", "George", "Emma",
+    "Hans", "Peter", "Wolfgang", "Klaus", "Jürgen", "Dieter", "Stefan", "Andreas", "Ursula", "Monika", "Petra", "Sabine", "Renate", "Helga", "Anna", "Julia",
+    "Jean", "Pierre", "Michel", "André", "Philippe", "Jacques", "Marie", "Nathalie", "Isabelle", "Catherine", "Sophie", "Camille", "Claire", "Julien", "Nicolas", "Louis",
+    "José", "Juan", "Antonio", "Francisco", "Manuel", "Carlos", "Luis", "Miguel", "Javier", "María", "Maria", "Carmen", "Ana", "Isabel", "Dolores", "Pilar", "Lucía", "Elena", "Pablo", "Diego",
+]
+
 #: Kind -> Java pattern. Lookbehinds let a match begin only where a run does (or the last match ended).
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -40,7 +50,7 @@ PATTERNS = {
     "secret": r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{20,}+",
     "id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "local": r"(?<![0-9+(-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[.-][0-9]{4}(?![0-9-])",
-    "person": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|James|Mary|John|Linda|Robert|Maria|David|Anna|Peter|Susan|Thomas|Laura)\.?\x20[A-Z][a-z]{1,30}(?![A-Za-z])",
+    "person": r"(?<!\p{L})(?=\p{Lu})(?:" + "|".join(TITLES + FIRST_NAMES) + r")\.?\x20\p{Lu}\p{Ll}++(?![\p{L}])",
 }
 
 #: What a text must hold for its pattern to be tried: cheap, and true wherever the pattern matches.
@@ -55,19 +65,21 @@ _HINTS = {
     "person": PATTERNS["person"],
 }
 
-#: Words whose nearness suggests a kind (the gazetteer), lower case.
+#: Words whose nearness suggests a kind (the gazetteer), lower case, of the same four languages.
+_PHONE_WORDS = ("phone", "telephone", "tel", "call", "mobile", "cell", "fax", "whatsapp", "dial", "telefon", "handy", "anruf", "rufnummer", "téléphone", "appel", "portable", "teléfono", "llame", "móvil", "celular")
 GAZETTEER = {
-    "email": ("mail", "contact", "write"),
-    "ip": ("ip", "host", "server", "address"),
-    "card": ("card", "visa", "credit", "pay"),
-    "phone": ("phone", "tel", "call", "mobile", "fax"),
-    "secret": ("token", "key", "secret", "password", "passwd", "credential"),
-    "id": ("ssn", "social", "id", "number"),
-    "local": ("phone", "tel", "call", "mobile", "fax"),
-    "person": ("name", "contact", "author", "signed", "dear"),
+    "email": ("mail", "email", "contact", "write", "reply", "address", "newsletter", "kontakt", "schreib", "adresse", "courriel", "écri", "correo", "contacto", "escrib", "dirección"),
+    "ip": ("ip", "host", "server", "address", "addr", "client", "gateway", "subnet", "dns", "router", "proxy", "login", "ping", "adresse", "serveur", "servidor", "dirección"),
+    "card": ("card", "visa", "mastercard", "amex", "credit", "debit", "pay", "charge", "billing", "invoice", "karte", "kreditkarte", "zahl", "carte", "paiement", "tarjeta", "pago", "crédito"),
+    "phone": _PHONE_WORDS,
+    "secret": ("token", "key", "apikey", "secret", "password", "passwd", "pwd", "passphrase", "credential", "bearer", "auth", "private", "access", "signature", "passwort", "schlüssel", "geheim", "mot de passe", "clé", "contraseña", "clave"),
+    "id": ("ssn", "social", "security", "id", "number", "tax", "passport", "insurance", "ausweis", "steuer", "nummer", "identité", "numéro", "identidad", "número", "pasaporte"),
+    "local": _PHONE_WORDS,
+    "person": ("name", "contact", "author", "signed", "dear", "sincerely", "regards", "born", "patient", "customer", "liebe", "lieber", "gezeichnet", "autor", "cher", "chère", "auteur", "nom", "querido", "querida", "atentamente", "nombre"),
 }
 _BLOCK = 256
 CONTEXT = 24
+SHAPE_BITS = 4
 
 
 def let(value: Column, body) -> Column:
@@ -117,7 +129,8 @@ def _valid(kind: str, m: Column) -> Column:
 
 
 def _votes(kind: str, m: Column, left: Column, right: Column) -> tuple[Column, Column, Column, Column]:
-    """The regex, gazetteer and context labelers' votes (0 or 1), and a shape (0 to 3)."""
+    """The regex, gazetteer and context labelers' votes (0 or 1), and a shape of SHAPE_BITS bits
+    (long, mostly digits, both cases, other characters than letters and digits)."""
     n, digits = F.length(m), F.length(_digits(m))
     strict = {
         "email": F.regexp_like(m, F.lit(r"\.[A-Za-z]{2,24}$")),
@@ -131,7 +144,9 @@ def _votes(kind: str, m: Column, left: Column, right: Column) -> tuple[Column, C
     }[kind]
     near = F.regexp_like(F.lower(left), F.lit(r"(^|[^a-z])(" + "|".join(GAZETTEER[kind]) + ")"))
     around = F.regexp_like(left, F.lit(r"""[=:"'<(]\x20?["']?$""")) | F.regexp_like(right, F.lit(r"""^["'>)]"""))
-    shape = F.when(digits * 2 >= n, 2).otherwise(0) + F.when(n >= 24, 1).otherwise(0)
+    mixed = F.regexp_like(m, F.lit("[a-z]")) & F.regexp_like(m, F.lit("[A-Z]"))
+    bits = (n >= 24, digits * 2 >= n, mixed, F.regexp_like(m, F.lit("[^A-Za-z0-9]")))
+    shape = sum((F.when(b, 1 << i).otherwise(0) for i, b in enumerate(bits)), F.lit(0))
     return strict.cast("int"), near.cast("int"), around.cast("int"), shape
 
 
@@ -176,58 +191,65 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 def reliabilities(counts: dict[tuple[int, int, int, int], int], rounds: int = 50) -> dict[tuple[int, int, int, int], float]:
     """Posterior of each (kind, vote, vote, vote): EM for labelers independent given the truth, with
-    a share of true spans for each kind and each labeler's hit and false-alarm rates (smoothed)."""
-    prior = dict.fromkeys(range(len(KINDS)), 0.5)
-    hit, false = [0.8] * 3, [0.2] * 3
+    a share of true spans and each labeler's hit and false-alarm rates for each kind (smoothed)."""
     post: dict[tuple[int, int, int, int], float] = {}
-    for _ in range(rounds):
-        for key in counts:
-            kind, votes = key[0], key[1:]
-            a, b = math.log(prior[kind]), math.log(1 - prior[kind])
-            for j, v in enumerate(votes):
-                a += math.log(hit[j] if v else 1 - hit[j])
-                b += math.log(false[j] if v else 1 - false[j])
-            post[key] = 1 / (1 + math.exp(min(700, b - a)))
-        for kind in prior:
-            n = sum(c for k, c in counts.items() if k[0] == kind)
-            prior[kind] = (sum(c * post[k] for k, c in counts.items() if k[0] == kind) + 2) / (n + 4)
-        for j in range(3):
-            true = sum(c * post[k] for k, c in counts.items())
-            fake = sum(c * (1 - post[k]) for k, c in counts.items())
-            # a labeler is held to be better than chance, else truth and falsehood may change places
-            hit[j] = max(0.51, (sum(c * post[k] * k[1 + j] for k, c in counts.items()) + 4) / (true + 5))
-            false[j] = min(0.49, (sum(c * (1 - post[k]) * k[1 + j] for k, c in counts.items()) + 1) / (fake + 5))
+    for kind in range(len(KINDS)):
+        own = {k: c for k, c in counts.items() if k[0] == kind}
+        n, prior, hit, false = sum(own.values()), 0.5, [0.8] * 3, [0.2] * 3
+        for _ in range(rounds if own else 0):
+            for key in own:
+                a, b = math.log(prior), math.log(1 - prior)
+                for j, v in enumerate(key[1:]):
+                    a += math.log(hit[j] if v else 1 - hit[j])
+                    b += math.log(false[j] if v else 1 - false[j])
+                post[key] = 1 / (1 + math.exp(max(-700, min(700, b - a))))
+            true = sum(c * post[k] for k, c in own.items())
+            prior = (true + 2) / (n + 4)
+            for j in range(3):
+                yes = sum(c * post[k] * k[1 + j] for k, c in own.items())
+                wrong = sum(c * (1 - post[k]) * k[1 + j] for k, c in own.items())
+                # a labeler is held to be better than chance, else truth and falsehood may change places
+                hit[j] = max(0.51, (yes + 4) / (true + 5))
+                false[j] = min(0.49, (wrong + 1) / (n - true + 5))
     return post
 
 
-def _inputs(kind: int, votes: tuple[int, int, int], shape: int) -> list[float]:
-    return [1.0, *(float(kind == k) for k in range(len(KINDS))), *map(float, votes), float(shape >> 1), float(shape & 1)]
+def _inputs(votes: tuple[int, int, int], shape: int) -> list[float]:
+    return [1.0, *map(float, votes), *(float(shape >> i & 1) for i in range(SHAPE_BITS))]
+
+
+def _sigmoid(x: float) -> float:
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
 def classifier(patterns: dict[tuple[int, int, int, int, int], int], rounds: int = 400) -> dict[tuple[int, int, int, int, int], float]:
-    """Score of every possible (kind, votes, shape): logistic regression on the posteriors of the
-    vote patterns found, weighted by count."""
+    """Score of every possible (kind, votes, shape): for each kind a logistic regression on the posteriors of
+    the vote patterns found, weighted by count, over votes and shape."""
     counts: dict[tuple[int, int, int, int], int] = {}
     for key, n in patterns.items():
         counts[key[:4]] = counts.get(key[:4], 0) + n
     post = reliabilities(counts)
-    rows = [(_inputs(k[0], k[1:4], k[4]), post[k[:4]], n) for k, n in sorted(patterns.items())]
-    total = sum(n for *_, n in rows) or 1
-    w = [-1.0, *([0.0] * len(KINDS)), 1.0, 1.0, 1.0, 0.0, 0.0]  # a majority of votes, where nothing is learned
-    start = list(w)
-    for _ in range(rounds):
-        grad = [1e-3 * (a - b) for a, b in zip(w, start, strict=True)]
-        for x, y, n in rows:
-            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(a * b for a, b in zip(w, x, strict=True))))))
-            for i, xi in enumerate(x):
-                grad[i] += n / total * (p - y) * xi
-        w = [a - 2.0 * g for a, g in zip(w, grad, strict=True)]
-    score = lambda x: 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(a * b for a, b in zip(w, x, strict=True))))))
-    return {(k, *v, s): score(_inputs(k, v, s)) for k in range(len(KINDS)) for v in product((0, 1), repeat=3) for s in range(4)}
+    start = [-1.0, 1.0, 1.0, 1.0, *([0.0] * SHAPE_BITS)]  # a majority of votes, where nothing is learned
+    out = {}
+    for kind in range(len(KINDS)):
+        rows = [(_inputs(k[1:4], k[4]), post[k[:4]], n) for k, n in sorted(patterns.items()) if k[0] == kind]
+        total = sum(n for *_, n in rows)
+        w = list(start)
+        for _ in range(rounds if total else 0):
+            grad = [1e-3 * (a - b) for a, b in zip(w, start, strict=True)]
+            for x, y, n in rows:
+                p = _sigmoid(sum(a * b for a, b in zip(w, x, strict=True)))
+                for i, xi in enumerate(x):
+                    grad[i] += n / total * (p - y) * xi
+            w = [a - 2.0 * g for a, g in zip(w, grad, strict=True)]
+        for v in product((0, 1), repeat=3):
+            for shape in range(1 << SHAPE_BITS):
+                out[(kind, *v, shape)] = _sigmoid(sum(a * b for a, b in zip(w, _inputs(v, shape), strict=True)))
+    return out
 
 
 def learn(found: DataFrame) -> dict[tuple[int, int, int, int, int], float]:
-    """The classifier for a table of ``candidates``: at most 8 * len(KINDS) * 4 counts are collected."""
+    """The classifier for a table of ``candidates``: at most 8 * len(KINDS) * 2**SHAPE_BITS counts are collected."""
     span = F.explode(F.concat(*KINDS)).alias("s")
     rows = found.select(span).groupBy("s.kind", "s.regex", "s.gazetteer", "s.context", "s.shape").count().collect()
     return classifier({tuple(r)[:5]: r["count"] for r in rows})
@@ -236,8 +258,8 @@ def learn(found: DataFrame) -> dict[tuple[int, int, int, int, int], float]:
 def accepted(found: DataFrame, scores: dict[tuple[int, int, int, int, int], float], least: float = 0.5) -> DataFrame:
     """Adds ``more``: the extra kinds' spans that the classifier accepts and no base span overlaps,
     by kind, then start."""
-    code = lambda s: (((s["kind"] * 2 + s["regex"]) * 2 + s["gazetteer"]) * 2 + s["context"]) * 4 + s["shape"]
-    good = [(((k * 2 + a) * 2 + b) * 2 + c) * 4 + s for (k, a, b, c, s), p in scores.items() if p >= least and KINDS[k] in EXTRA]
+    code = lambda s: (((s["kind"] * 2 + s["regex"]) * 2 + s["gazetteer"]) * 2 + s["context"]) * 2**SHAPE_BITS + s["shape"]
+    good = [(((k * 2 + a) * 2 + b) * 2 + c) * 2**SHAPE_BITS + s for (k, a, b, c, s), p in scores.items() if p >= least and KINDS[k] in EXTRA]
     base = F.concat(*BASE)
     picked = F.filter(F.concat(*EXTRA), lambda s: code(s).isin(good) if good else F.lit(False))
     free = F.when(F.size(picked) > 0, let(base, lambda b: F.filter(picked, lambda s: ~F.exists(b, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"])))))
@@ -257,7 +279,7 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def summarise(found: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_more."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_more, n_found (spans of all kinds)."""
     base = F.concat(*BASE)
     return found.select(
         "doc_id",
@@ -265,6 +287,7 @@ def summarise(found: DataFrame) -> DataFrame:
         F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"),
         listed(F.concat(base, "more")).alias("spans"),
         F.size("more").cast("long").alias("n_more"),
+        F.size(F.concat(base, "more")).cast("long").alias("n_found"),
     )
 
 
@@ -281,14 +304,19 @@ def _merged(spans: Column) -> Column:
     return F.aggregate(flat, F.array().cast(kept), add)
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span of ``text`` replaced by its kind in angle brackets; other columns,
-    and texts without a span, stay as they are."""
+def redact(docs: DataFrame, length: str | None = None) -> DataFrame:
+    """``docs`` with every span of ``text`` replaced by its kind in angle brackets; other columns, and texts without a
+    span, stay as they are. ``length`` names a column that gets the new text's length in code points (0 for null).
+
+    Columns are taken by position: an exact name, else one that differs by case only, so further columns that clash
+    are kept and never read for the wanted ones.
+    """
     names = docs.columns
-    rows = pick(docs, **{f"c{i}": c for i, c in enumerate(names)})
-    where = f"c{names.index('text')}"
-    rows = rows.withColumn("text", F.coalesce(F.col(where), F.lit("")))
-    kept = Table(rows.select(*[f"c{i}" for i in range(len(names))], *[F.coalesce(_found(k), F.array().cast(_SPAN)).cast(_SPAN).alias(k) for k in KINDS]), "pii").df
+    plain = [f"c{i}" for i in range(len(names))]
+    at = lambda n: plain[names.index(n) if n in names else [x.lower() for x in names].index(n)]
+    where = at("text")
+    rows = docs.toDF(*plain).withColumn("text", F.coalesce(F.col(where).cast("string"), F.lit("")))
+    kept = Table(rows.select(*plain, *[F.coalesce(_found(k), F.array().cast(_SPAN)).cast(_SPAN).alias(k) for k in KINDS]), "pii").df
     found = accepted(kept, learn(kept.select(*KINDS)))
     tags = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     text = F.col(where)
@@ -301,4 +329,7 @@ def redact(docs: DataFrame) -> DataFrame:
 
     every = F.concat(*BASE, "more")
     changed = F.when(F.size(every) > 0, let(_merged(every), rebuilt)).otherwise(text)
-    return found.withColumn(where, changed).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+    out = found.withColumn(where, changed)
+    if length is not None:
+        out = out.withColumn(at(length), F.coalesce(F.length(where), F.lit(0)).cast(docs.schema[plain.index(at(length))].dataType))
+    return out.select(*plain).toDF(*names)
