@@ -111,19 +111,19 @@ def remainder(doc_id="doc_id"):
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, text) -> (lang, buckets, counts) of each text, and of a stretch of 80 characters from
+    """(u, lang, text) -> (u, lang, buckets, counts) of each text, and of a stretch of 80 characters from
     its middle, so that short texts are learned too."""
     for batch in batches:
-        for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for u, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             middle = max(0, len(text) // 2 - 40)
             for t in (text, text[middle : middle + 80]):
                 found, n = np.unique(features([t])[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([found.astype(np.int32)]), pa.array([n.astype(np.int32)])], ["lang", "buckets", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([u]), pa.array([lang]), pa.array([found.astype(np.int32)]), pa.array([n.astype(np.int32)])], ["u", "lang", "buckets", "counts"])
 
 
 def sample(docs: DataFrame, sample_rows: int) -> DataFrame:
-    """(lang, text) of about sample_rows learnable rows, and at most twice as many, shared out evenly
-    over the languages; chosen by a hash of the id."""
+    """(u, lang, text) of about sample_rows learnable rows, shared out evenly over the languages; chosen by u, a
+    hash of the id, which only rows of one id share."""
     d = pick(docs, doc_id="doc_id", text="text", lang="lang")
     d = d.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     usable = d.where((remainder() != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -133,11 +133,14 @@ def sample(docs: DataFrame, sample_rows: int) -> DataFrame:
     if languages <= BROADCAST_LANGUAGES:  # texts stay where they are; beyond it, they are shuffled to their language
         chance = F.broadcast(chance)
     u = F.shiftrightunsigned(F.xxhash64(F.lit(11), "doc_id"), 11) / F.lit(float(2**53))
-    return usable.withColumn("u", u).join(chance, "lang").where("u < chance").select("lang", "text").limit(2 * sample_rows)
+    return usable.withColumn("u", u).join(chance, "lang").where("u < chance").select("u", "lang", "text")
 
 
 def train(docs: DataFrame, sample_rows: int = 2400, epochs: int = 6, rate: float = 4.0, reject: float = 0.0005, seed: int = 5) -> Model:
-    rows = sample(docs, sample_rows).mapInArrow(_hashed, "lang string, buckets array<int>, counts array<int>").toPandas()
+    # Texts are hashed where they are. Twice the expected number is taken at most, in order of the hash: that binds only
+    # where one id repeats so often that its hash cannot thin it.
+    hashed = sample(docs, sample_rows).mapInArrow(_hashed, "u double, lang string, buckets array<int>, counts array<int>")
+    rows = hashed.orderBy("u", F.xxhash64("buckets", "counts")).limit(4 * sample_rows).toPandas()
     languages = sorted(set(rows["lang"]))
     if not languages:
         return Model((), np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
