@@ -4,6 +4,12 @@ personal data, mixing of sources, tokenisation.
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last
 return the columns of ``documents``. A text that redaction changed gets its new n_chars. A document of
 the mix appears as often as it is taken.
+
+Defined cases, for every stage: an empty table gives none; whole texts are read, however long; further columns are
+kept, also where their names differ from the wanted ones by case only; a null doc_id or source and repeated rows are
+rows like others. A null text or one without letters goes with the rejected languages; a stage given one all the same
+keeps it (near_duplicates, personal_data), drops it as it has no words (mixture) or gives no tokens (tokenised).
+Equal near-duplicate candidates are settled by the smallest doc_id, equal rows by their place.
 """
 
 from __future__ import annotations
@@ -11,7 +17,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from vecloom.llm import bpe, jaccard, langid, mixing, pii
 from vecloom.llm.common import Table
@@ -31,8 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts the kind in angle brackets in place of each span of personal data."""
-    names = docs.columns
-    return pii.redact(docs).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)).select(*names)
+    return pii.redact(docs, length="n_chars")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
