@@ -4,11 +4,14 @@
     spark.read.format("vectorfile").option("kind", "fvecs").load(path)   ->   idx long, vector array<float>
 
 Every record of an .fvecs, .bvecs or .ivecs file begins with its length as a little-endian int32; the
-first record's counts for all, so records lie at multiples of one size and tasks read ranges of them.
+first record's counts for all of its file, so records lie at multiples of one size and tasks read ranges of them. A
+folder is read as its files one after another.
 """
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +30,21 @@ def _open(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path.removeprefix("file:"))
 
 
+def _files(files: pafs.FileSystem, path: str, kind: str) -> list[pafs.FileInfo]:
+    """The file itself, or a folder's files of a kind in order of name, which is the order of writing."""
+    info = files.get_file_info(path)
+    if info.type is pafs.FileType.Directory:
+        return sorted((f for f in files.get_file_info(pafs.FileSelector(path)) if f.is_file and f.base_name.endswith(f".{kind}") and f.base_name[0] not in "._"), key=lambda f: f.base_name)
+    if info.type is pafs.FileType.NotFound:
+        raise FileNotFoundError(path)
+    return [info]
+
+
 class _Range(InputPartition):
-    def __init__(self, first: int, last: int, record: int, dim: int):
-        self.first, self.last, self.record, self.dim = first, last, record, dim
+    """Records first to last of a file, whose own first record has the number ``base``."""
+
+    def __init__(self, path: str, base: int, first: int, last: int, record: int, dim: int):
+        self.path, self.base, self.first, self.last, self.record, self.dim = path, base, first, last, record, dim
 
 
 class _Reader(DataSourceReader):
@@ -39,52 +54,81 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         files, path = _open(self.path)
         head, number, _ = KINDS[self.kind]
-        size, dim = files.get_file_info(path).size, self.dim
-        if head:
-            if size < head:
-                raise ValueError("file too small")
-            with files.open_input_file(path) as f:
-                dim = int(np.frombuffer(f.read(4), "<i4")[0])
-            if dim <= 0:
-                raise ValueError(f"bad dimension {dim}")
-        record = head + dim * np.dtype(number).itemsize
-        if size % record:
-            raise ValueError(f"partial record: {size % record} trailing bytes")
-        n, step = size // record, max(1, SPLIT_BYTES // record)
-        return [_Range(i, min(n, i + step), record, dim) for i in range(0, n, step)] or [_Range(0, 0, record, dim)]
+        out, base, dim = [], 0, self.dim
+        for info in _files(files, path, self.kind):
+            if head:
+                if info.size < head:
+                    raise ValueError("file too small")
+                with files.open_input_file(info.path) as f:
+                    dim = int(np.frombuffer(f.read(4), "<i4")[0])
+                if dim <= 0:
+                    raise ValueError(f"bad dimension {dim}")
+            record = head + dim * np.dtype(number).itemsize
+            if info.size % record:
+                raise ValueError(f"partial record: {info.size % record} trailing bytes")
+            n, step = info.size // record, max(1, SPLIT_BYTES // record)
+            out += [_Range(info.path, base, i, min(n, i + step), record, dim) for i in range(0, n, step)]
+            base += n
+        return out or [_Range("", 0, 0, 0, 1, 1)]
 
     def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
-        files, path = _open(self.path)
+        if part.first == part.last:
+            return
+        files, _ = _open(self.path)
         head, number, kind = KINDS[self.kind]
         as_type = pa.int32() if kind == "array<int>" else pa.float32()
-        with files.open_input_file(path) as f:
+        with files.open_input_file(part.path) as f:
             for low in range(part.first, part.last, 8192):
                 n = min(8192, part.last - low)
                 f.seek(low * part.record)
                 raw = np.frombuffer(f.read(n * part.record), np.uint8).reshape(n, part.record)
                 values = np.ascontiguousarray(raw[:, head:]).view(number).astype(as_type.to_pandas_dtype())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * part.dim), pa.array(values.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(low, low + n)), lists], ["idx", "vector"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(low, low + n) + part.base), lists], ["idx", "vector"])
+
+
+class _Written(WriterCommitMessage):
+    def __init__(self, staged: str, final: str):
+        self.staged, self.final = staged, final
 
 
 class _Writer(DataSourceArrowWriter):
-    """A file per task, part-<n>.<kind>, in task order."""
+    """A file per task, in task order, after those of earlier writes; tasks write to a folder of the job, and the driver
+    moves what the successful attempts wrote into place."""
 
-    def __init__(self, path: str, kind: str):
-        self.path, self.kind = path, kind
+    def __init__(self, path: str, kind: str, overwrite: bool):
+        self.path, self.kind, self.overwrite = path, kind, overwrite
+        self.job = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         from pyspark import TaskContext
 
         files, path = _open(self.path)
         head, number, _ = KINDS[self.kind]
-        files.create_dir(path, recursive=True)
         task = TaskContext.get()
-        with files.open_output_stream(f"{path}/part-{task.partitionId():05d}.{self.kind}") as f:
+        files.create_dir(f"{path}/_{self.job}", recursive=True)
+        staged = f"{path}/_{self.job}/{task.partitionId():05d}-{task.taskAttemptId()}"
+        with files.open_output_stream(staged) as f:
             for batch in batches:
                 for v in batch.column(batch.schema.get_field_index("vector")).to_pylist():
                     f.write((np.array([len(v)], "<i4").tobytes() if head else b"") + np.array(v).astype(number).tobytes())
-        return WriterCommitMessage()
+        return _Written(staged, f"{path}/part-{self.job}-{task.partitionId():05d}.{self.kind}")
+
+    def commit(self, messages: list[_Written | None]) -> None:
+        files, path = _open(self.path)
+        files.create_dir(path, recursive=True)
+        old = _files(files, path, self.kind) if self.overwrite else []
+        for m in messages:
+            if m is not None and files.get_file_info(m.staged).size:
+                files.move(m.staged, m.final)
+        for info in old:
+            files.delete_file(info.path)
+        self.abort(messages)
+
+    def abort(self, messages: list[_Written | None]) -> None:
+        files, path = _open(self.path)
+        if files.get_file_info(f"{path}/_{self.job}").type is pafs.FileType.Directory:
+            files.delete_dir(f"{path}/_{self.job}")
 
 
 class VectorFile(DataSource):
@@ -99,7 +143,7 @@ class VectorFile(DataSource):
         return _Reader(self.options["path"], self.options.get("kind", "fvecs"), int(self.options.get("dim", 0)))
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return _Writer(self.options["path"], self.options.get("kind", "fvecs"))
+        return _Writer(self.options["path"], self.options.get("kind", "fvecs"), overwrite)
 
 
 def _read(spark: SparkSession, path: str, kind: str, dim: int = 0) -> DataFrame:
@@ -125,7 +169,7 @@ def read_raw(spark: SparkSession, path: str, dim: int) -> DataFrame:
 
 def load_vectors(spark: SparkSession, path: str) -> DataFrame:
     """By file name: .bvecs, or else fvecs."""
-    return _read(spark, path, "bvecs" if path.endswith(".bvecs") else "fvecs")
+    return _read(spark, path, "bvecs" if path.rstrip("/").endswith(".bvecs") else "fvecs")
 
 
 def load_groundtruth(spark: SparkSession, path: str, k: int) -> DataFrame:
@@ -133,7 +177,8 @@ def load_groundtruth(spark: SparkSession, path: str, k: int) -> DataFrame:
     return read_ivecs(spark, path).select(F.col("idx").alias("query_id"), F.transform(F.slice("vector", 1, k), lambda x: F.concat(F.lit("doc_"), x.cast("string"))).alias("ids"))
 
 
-def write_vectors(rows: DataFrame, path: str, kind: str = "raw") -> None:
-    """A column ``vector`` as files of a kind, one per task; order within a task is kept."""
+def write_vectors(rows: DataFrame, path: str, kind: str = "raw", mode: str = "append") -> None:
+    """A column ``vector`` as files of a kind in a folder, one per task, in the order of rows; ``append`` adds files after
+    those that are there, ``overwrite`` puts them in their place."""
     rows.sparkSession.dataSource.register(VectorFile)
-    rows.select("vector").write.format("vectorfile").option("kind", kind).mode("append").save(path)
+    rows.select("vector").write.format("vectorfile").option("kind", kind).mode(mode).save(path)
