@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,25 +20,30 @@ def recall_at_k(truth: Column, result: Column, k: int) -> Column:
     return F.size(F.array_intersect(first(truth), first(result))) / F.lit(float(k))
 
 
-def percentile(samples: DataFrame, column: str, p: float) -> Column:
-    """Nearest rank without interpolation, 0.0 for no samples, as an aggregate Column over ``samples``."""
-    xs = F.sort_array(F.collect_list(column))
-    at = F.round(F.lit(p / 100.0) * (F.count(column) - 1)).cast("int") + 1
-    return F.coalesce(F.when(F.count(column) > 0, F.element_at(xs, F.greatest(at, F.lit(1)))), F.lit(0.0))
+def percentiles(samples: DataFrame, column: str, ps: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """by, p, value: the sorted sample at round(p / 100 * (n - 1)), halves up, without interpolation; 0.0 where a group
+    has no samples (or, without groups, there are none). Counts of distinct values are cumulated in ranges, so no
+    group, whatever its size or ties, is gathered or sorted in one task."""
+    from .oplog import cumulated
 
+    xs = samples.select(*by, F.col(column).cast("double").alias("x"))
+    sizes = xs.groupBy(*by).agg(F.count("x").alias("n"))
+    wanted = sizes.select(*by, "n", F.explode(F.array(*[F.lit(float(p)) for p in ps])).alias("p"))
+    wanted = wanted.withColumn("place", F.floor(F.col("p") / 100.0 * (F.col("n") - 1) + 0.5))
+    placed = cumulated(xs.where("x IS NOT NULL"), "x", by).withColumnsRenamed({"n": "ties", **{c: f"{c}_" for c in by}})
+    return _looked_up(wanted, placed, by)
 
-def percentiles(samples: DataFrame, column: str, ps: tuple[float, ...]) -> DataFrame:
-    """p, value (nearest rank) for each p of a column of any size: a value's rank range comes from counts of
-    distinct values, cumulated in sorted ranges, so nothing is gathered in one array."""
-    from .oplog import numbered  # a place in sorted order, numbered side by side
 
-    xs = samples.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"))
-    n = xs.count()
-    wanted = samples.sparkSession.createDataFrame([(float(p), int(p / 100.0 * (n - 1) + 0.5)) for p in ps], "p double, place long")
-    if not n:
-        return wanted.select("p", F.lit(0.0).alias("value"))
-    placed = numbered(xs, "x", "place")
-    return placed.join(F.broadcast(wanted), "place").select("p", F.col("x").alias("value"))
+def _looked_up(wanted: DataFrame, placed: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The value whose rows cover each wanted place."""
+    here = (F.col("place") >= F.col("start")) & (F.col("place") < F.col("start") + F.col("ties"))
+    for c in by:
+        here = here & F.col(c).eqNullSafe(F.col(f"{c}_"))
+    found = placed.join(wanted if by else F.broadcast(wanted), here).select(*by, "p", "x")
+    keys = [*by, "p"]
+    same = [F.col(f"w.{c}").eqNullSafe(F.col(f"f.{c}")) for c in keys]
+    met = wanted.alias("w").join(found.alias("f"), reduce(lambda a, b: a & b, same), "left")
+    return met.select(*[F.col(f"w.{c}").alias(c) for c in keys], F.coalesce("f.x", F.lit(0.0)).alias("value"))
 
 
 def query_subset(queries: DataFrame, n: int, seed: int, id: str = "query_id") -> DataFrame:
@@ -48,6 +56,12 @@ def multiplicity(vectors: DataFrame, vector: str = "vector") -> DataFrame:
     return vectors.groupBy(vector).agg(F.count("*").alias("n"))
 
 
-def latency_summary(samples: DataFrame, column: str = "seconds") -> DataFrame:
-    """avg, p50, p95, p99 of latencies."""
-    return samples.agg(F.coalesce(F.avg(column), F.lit(0.0)).alias("avg"), *[percentile(samples, column, p).alias(f"p{p}") for p in (50, 95, 99)])
+def latency_summary(samples: DataFrame, column: str = "seconds", by: Sequence[str] = ()) -> DataFrame:
+    """by, avg, p50, p95, p99 of latencies; 0.0 without samples."""
+    spread = percentiles(samples, column, (50.0, 95.0, 99.0), by)
+    wide = spread.groupBy(*by).agg(*[F.max(F.when(F.col("p") == p, F.col("value"))).alias(f"p{p}") for p in (50, 95, 99)])
+    means = samples.groupBy(*by).agg(F.coalesce(F.avg(column), F.lit(0.0)).alias("avg"))
+    if not by:
+        return means.crossJoin(F.broadcast(wide)).select("avg", "p50", "p95", "p99")  # one row each
+    same = reduce(lambda a, b: a & b, [F.col(f"m.{c}").eqNullSafe(F.col(f"w.{c}")) for c in by])
+    return means.alias("m").join(wide.alias("w"), same).select(*[F.col(f"m.{c}").alias(c) for c in by], "avg", "p50", "p95", "p99")
