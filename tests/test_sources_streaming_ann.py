@@ -23,7 +23,14 @@ def test_vector_files(spark, tmp_path):
     assert V.load_groundtruth(spark, i, 9).orderBy("query_id").first().ids == ["doc_0", "doc_1", "doc_2"]
     out = str(tmp_path / "raw")
     V.write_vectors(V.read_fvecs(spark, f).coalesce(1), out)
-    assert [list(r.vector) for r in V.read_raw(spark, f"{out}/part-00000.raw", 3).orderBy("idx").collect()] == data.tolist()
+    assert [list(r.vector) for r in V.read_raw(spark, out, 3).orderBy("idx").collect()] == data.tolist()
+    V.write_vectors(V.read_fvecs(spark, f).repartitionByRange(3, "idx").sortWithinPartitions("idx"), out)
+    assert [list(r.vector) for r in V.read_raw(spark, out, 3).orderBy("idx").collect()] == data.tolist() * 2, "appended, in order"
+    V.write_vectors(V.read_fvecs(spark, b.replace("bvecs", "fvecs")).limit(2).coalesce(1), out, mode="overwrite")
+    back = V.read_raw(spark, out, 3).orderBy("idx").collect()
+    assert [(r.idx, list(r.vector)) for r in back] == [(i, data[i].tolist()) for i in range(2)]
+    with pytest.raises(Exception, match="nowhere"):
+        V.read_raw(spark, str(tmp_path / "nowhere"), 3).collect()
     open(f, "wb").write(b"12")
     with pytest.raises(Exception, match="file too small"):
         V.read_fvecs(spark, f).collect()
@@ -68,7 +75,12 @@ def test_join_and_index(spark, metric, monkeypatch):
     assert [r.doc_id for r in one] == [r.id for r in got if r.query_id == 3]
     index = ann.fit(df, 6, metric)
     assert ann.recall(index, df, q, 5, 6) == 1.0
-    assert ann.recall(index, df, q, 5, 3) >= 0.6
+    index = ann.calibrated(index, df, 0.95, k=5)
+    many = df.where("doc_id % 4 = 0").select(F.col("doc_id").alias("query_id"), "vector")
+    assert ann.recall(index, df, many, 5, index.nprobe) >= 0.9
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(ann, "QUERY_ROWS", 5)
+    assert ann.recall(index, index.assign(df), q, 5, 6) == 1.0, "lists in several blocks"
 
 
 def test_collection_index_and_post_filter(spark, tmp_path):
@@ -88,6 +100,8 @@ def test_evaluation(spark):
     assert df.select(evaluate.recall_at_k(F.col("t"), F.col("r"), 3).alias("v")).first().v == pytest.approx(2 / 3)
     assert df.select(evaluate.recall_at_k(F.col("t"), F.col("r"), 4).alias("v")).first().v == 0.5
     s = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (5.0,)], "x double")
-    assert s.agg(evaluate.percentile(s, "x", 50).alias("v")).first().v == 3.0
     assert {r.p: r.value for r in evaluate.percentiles(s, "x", (0.0, 50.0, 100.0)).collect()} == {0.0: 1.0, 50.0: 3.0, 100.0: 5.0}
-    assert s.limit(0).agg(evaluate.percentile(s, "x", 50).alias("v")).first().v == 0.0
+    assert evaluate.percentiles(s.limit(0), "x", (50.0,)).first().value == 0.0
+    ties = spark.createDataFrame([("a", v) for v in [0.5] * 700 + [0.1, 0.9, None]] + [("b", None), (None, 0.25), (None, -0.5)], "g string, x double")
+    got = {r.g: (r.p50, r.p95, r.p99) for r in evaluate.latency_summary(ties, "x", ("g",)).collect()}
+    assert got == {"a": (0.5, 0.5, 0.5), "b": (0.0, 0.0, 0.0), None: (0.25, 0.25, 0.25)}

@@ -1,25 +1,33 @@
 """Databases and collections: a mutation log, immutable Parquet segments, and manifests that name a snapshot.
 
     <base>/<collection>/schema.json
-    <base>/<collection>/manifest/<version>.json     published by rename, the highest one counts
-    <base>/<collection>/segments/<uuid>/            Parquet: doc_ord, doc_id, vector, meta, seg_id, internal_id, last_seq
-    <base>/<collection>/dead/<uuid>/                Parquet: seg_id, internal_id of rows that no longer count
-    <base>/<collection>/log/<id>/<first seq>.json   mutations, a file per write, so a batch is atomic
-
-The driver is the only writer. Readers work on the manifest they opened: its files never change.
+    <base>/<collection>/manifest/<version>.json             the highest one counts
+    <base>/<collection>/segments/commit=<uuid>/bucket=<n>/  Parquet: doc_ord, doc_id, vector, meta, seg_id, internal_id, last_seq, list
+    <base>/<collection>/dead/commit=<uuid>/bucket=<n>/      Parquet: seg_id, internal_id of rows that no longer count
+    <base>/<collection>/index/<uuid>.json                   centroids and the number of lists to probe
+    <base>/<collection>/log/<id>/<first seq>.json           mutations, a file per write, so a batch is atomic
+
+Rows lie in the bucket of their document's hash, so what a mutation touches is looked up in the touched buckets only,
+and are sorted by index list in their files, so a search that probes some lists skips the pages of the others.
+
+A commit names the version it was made from and fails if another one was published since; mutations are then applied
+again to the new snapshot, and merges and index builds, whose rows are written already, are fitted to it. Readers
+work on the manifest they opened: its files never change.
 """
 
 from __future__ import annotations
 
 import base64
 import json
+import threading
 import time
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +37,17 @@ from .plans import planner
 from .plans.filters import Filter, compile
 from .types import CollectionSchema, SearchHit, Timestamp, WriteToken, check_dimension, micros
 
+ATTEMPTS = 50
+"""Times that a commit is tried while others get in first."""
+DEAD_FILES = 8
+"""Folders of tombstones that a manifest names before they are made one."""
+_DEAD = "seg_id int, internal_id long, bucket int"
+
+
+class Conflict(RuntimeError):
+    """Another writer has published since the snapshot that a commit was made from."""
+
+
 UpsertEntry = tuple[str, Sequence[float], dict[str, Any] | None]
 
 
@@ -63,6 +82,13 @@ class Manifest:
         d["segments"] = [Segment(**s) for s in d["segments"]]
         return cls(**d)
 
+    def copy(self) -> Manifest:
+        return Manifest.from_json(self.to_json())
+
+    @property
+    def paths(self) -> list[str]:
+        return sorted({p for s in self.segments for p in s.paths})
+
     @property
     def live(self) -> int:
         return sum(s.num_vectors - s.tombstones for s in self.segments)
@@ -78,7 +104,7 @@ class Database:
         root = self.files.at(schema.name)
         if self.files.exists(f"{root}/schema.json"):
             raise ValueError(f"collection '{schema.name}' already exists")
-        for folder in ("manifest", "segments", "dead", "log/000001"):
+        for folder in ("manifest", "segments", "dead", "index", "log/000001"):
             self.files.mkdirs(f"{root}/{folder}")
         self.files.publish(f"{root}/manifest/{0:012d}.json", Manifest().to_json())
         self.files.publish(f"{root}/schema.json", schema.to_json())  # last: from here on it exists
@@ -97,6 +123,9 @@ class Collection:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.files = spark, Files(spark, root)
         self.schema = CollectionSchema.from_json(self.files.read(self.files.at("schema.json")))
+        self._lock = threading.RLock()
+        self._busy: set[int] = set()
+        self._indexes: dict[str, ann.Index] = {}
         self.manifest = self._latest()
         logs = self.files.list(self.files.at("log"))
         self._wal = int(logs[-1]) + 1 if logs else 1
@@ -139,9 +168,29 @@ class Collection:
                 T.StructField("last_seq", T.LongType()),
                 T.StructField("seg_id", T.IntegerType()),
                 T.StructField("internal_id", T.LongType()),
+                T.StructField("list", T.IntegerType()),
+                T.StructField("bucket", T.IntegerType()),
             ]
         )
 
+    def _bucket(self, doc_id: str = "doc_id") -> Column:
+        return F.pmod(F.xxhash64(F.col(doc_id)), F.lit(self.schema.segment_params.buckets)).cast("int")
+
+    def _write(self, rows: DataFrame, path: str) -> None:
+        """Rows by bucket, sorted by index list, in files of a size that AQE chooses and pages of some lists."""
+        placed = rows.withColumn("bucket", self._bucket()).select(*self._row_type.names)
+        placed.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "list", "doc_id").write.option("parquet.page.row.count.limit", 2000).partitionBy("bucket").parquet(path)
+
+    def _fresh(self, folder: str) -> str:
+        """A folder of a commit, which readers of several take for a partition."""
+        return self.files.at(folder, f"commit={uuid.uuid4().hex}")
+
+    def _stored(self, paths: Sequence[str]) -> DataFrame:
+        return self.spark.read.schema(self._row_type).option("basePath", self.files.at("segments")).parquet(*paths).select(*self._row_type.names)
+
+    def _buried(self, paths: Sequence[str]) -> DataFrame:
+        return self.spark.read.schema(_DEAD).option("basePath", self.files.at("dead")).parquet(*paths).select("seg_id", "internal_id", "bucket")
+
     # ---- writes ----
 
     def _validated(self, vector: Sequence[float] | None, metadata: dict[str, Any] | None, where: str = "") -> dict[str, Any] | None:
@@ -161,6 +210,10 @@ class Collection:
 
     def _append(self, ops: list[dict[str, Any]]) -> WriteToken:
         """One file, renamed into place: all of a write or nothing of it."""
+        with self._lock:
+            return self._append_one(ops)
+
+    def _append_one(self, ops: list[dict[str, Any]]) -> WriteToken:
         first = self.next_seq
         lines = [json.dumps({"seq": first + i, **op}) for i, op in enumerate(ops)]
         last = first + len(ops) - 1
@@ -248,49 +301,60 @@ class Collection:
         return self.manifest.applied_seq
 
     def apply_ops(self, ops: DataFrame) -> None:
-        """Idempotent: ops up to the applied sequence number are skipped."""
-        ops = ops.where(F.col("seq") > self.manifest.applied_seq).persist()
+        """Idempotent: ops up to the applied sequence number are skipped. If another commit gets in first, they are
+        applied to the snapshot that it made."""
+        for _ in range(ATTEMPTS):
+            base = self.manifest
+            try:
+                return self._apply_to(base, ops)
+            except Conflict:
+                self.refresh()
+        raise Conflict(f"not applied in {ATTEMPTS} attempts")
+
+    def _apply_to(self, base: Manifest, ops: DataFrame) -> None:
+        ops = ops.where(F.col("seq") > base.applied_seq).persist()
         try:
             last = ops.agg(F.max("seq")).first()[0]
             if last is None:
                 return
-            now = self.rows()
-            touched = now.join(ops.select("doc_id").distinct(), "doc_id", "left_semi").persist()
+            buckets = [r[0] for r in ops.select(self._bucket()).distinct().collect()]  # at most SegmentParams.buckets
+            touched = self.rows(base, buckets).join(ops.select("doc_id").distinct(), "doc_id", "left_semi").persist()
             flat = lambda d, *more: d.select("seq", "op", "doc_id", "vector", *[F.col(f"meta.`{f}`").alias(f"m_{i}") for i, f in enumerate(self._fields)], *more)
-            before = flat(touched.withColumn("seq", F.lit(0).cast("long")).withColumn("op", F.lit("upsert")), F.col("doc_ord").alias("old"), F.col("last_seq").alias("was"))
+            before = flat(touched.withColumn("seq", F.lit(0).cast("long")).withColumn("op", F.lit("upsert")), F.col("doc_ord").alias("old"))
             every = before.unionByName(flat(ops), allowMissingColumns=True)
             held = touched.count()
-            start = flat(touched.withColumn("seq", F.lit(0).cast("long")).withColumn("op", F.lit("upsert")))
             # Documents that live already are born at 0, so births of this pass are numbered after them.
-            born = oplog.births(flat(ops).unionByName(start)).where("seq > 0").select("doc_id", F.col("seq").alias("birth"), (F.col("doc_ord") - held + self.manifest.next_ord).alias("fresh")).persist()
+            start = touched.select(F.lit(0).cast("long").alias("seq"), F.lit("upsert").alias("op"), "doc_id")
+            births = oplog.births(ops.select("seq", "op", "doc_id").unionByName(start)).where("seq > 0")
+            born = births.select("doc_id", F.col("seq").alias("birth"), (F.col("doc_ord") - held + base.next_ord).alias("fresh")).persist()
             n_born = born.count()
             folded = oplog.fold(every, "vector", [f"m_{i}" for i in range(len(self._fields))], ["old"])
             folded = folded.join(born, ["doc_id", "birth"], "left")
             meta = F.struct(*[F.col(f"m_{i}").alias(f) for i, f in enumerate(self._fields)], F.lit(None).cast("boolean").alias("_"))
             # A document that only ops without effect touched keeps its row.
             changed = folded.where(F.col("last_seq") > 0).select(F.coalesce("fresh", "old").alias("doc_ord"), "doc_id", "vector", meta.alias("meta"), "last_seq")
-            self._commit(changed, touched.select("seg_id", "internal_id"), last, n_born)
+            gone = touched.select("doc_id", "seg_id", "internal_id", "bucket")
+            self._commit(base, changed, gone, last, n_born)
             touched.unpersist()
             born.unpersist()
         finally:
             ops.unpersist()
 
-    def _commit(self, added: DataFrame, dead: DataFrame, applied: int, n_born: int) -> None:
+    def _commit(self, base: Manifest, added: DataFrame, dead: DataFrame, applied: int, n_born: int) -> None:
         """Adds rows to the writable segment, sealing it whenever it is full, and publishes."""
-        m = Manifest.from_json(self.manifest.to_json())
+        m = base.copy()
         m.segments.sort(key=lambda s: s.seg_id)
         capacity = self.schema.segment_params.segment_capacity
         open_ = next(s for s in m.segments if not s.sealed)
-        staged = self.files.at("segments", uuid.uuid4().hex)
+        staged = self._fresh("segments")
         numbered = oplog.numbered(added, "last_seq", "place")
-        base, first, fresh = open_.num_vectors, open_.seg_id, m.next_seg
-        place = F.col("place") + base
+        held, first, fresh = open_.num_vectors, open_.seg_id, m.next_seg
+        place = F.col("place") + held
         hop = F.floor(place / capacity)
         seg = F.when(hop == 0, F.lit(first)).otherwise(F.lit(fresh - 1) + hop).cast("int")
-        rows = numbered.withColumn("seg_id", seg).withColumn("internal_id", place % capacity).select(*self._row_type.names)
-        rows.write.parquet(staged)
-        stored = self.spark.read.schema(self._row_type).parquet(staged)
-        counts = {r["seg_id"]: r["count"] for r in stored.groupBy("seg_id").count().collect()}  # one row for each new segment
+        rows = numbered.withColumn("seg_id", seg).withColumn("internal_id", place % capacity)
+        self._write(self._listed(rows, m.index), staged)
+        counts = {r["seg_id"]: r["count"] for r in self._stored([staged]).groupBy("seg_id").count().collect()}  # one row for each new segment
         for seg_id in sorted(counts):
             s = next((x for x in m.segments if x.seg_id == seg_id), None)
             if s is None:
@@ -305,21 +369,49 @@ class Collection:
         if all(s.sealed for s in m.segments):
             m.segments.append(Segment(m.next_seg))
             m.next_seg += 1
-        gone = self.files.at("dead", uuid.uuid4().hex)
-        dead.write.parquet(gone)
-        by = {r["seg_id"]: r["count"] for r in self.spark.read.schema("seg_id int, internal_id long").parquet(gone).groupBy("seg_id").count().collect()}
+        path = self._bury(dead.select("seg_id", "internal_id", "bucket"))
+        by = {r["seg_id"]: r["count"] for r in self._buried([path]).groupBy("seg_id").count().collect()}  # segments
         if by:
-            m.dead.append(gone)
+            m.dead.append(path)
         for s in m.segments:
             s.tombstones += by.get(s.seg_id, 0)
-        m.applied_seq, m.next_ord = applied, m.next_ord + (n_born)
+        if len(m.dead) > DEAD_FILES:
+            m.dead = [self._bury(self.tombstones(m))]
+        m.applied_seq, m.next_ord = applied, m.next_ord + n_born
         self._publish(m)
 
+    def _bury(self, dead: DataFrame) -> str:
+        path = self._fresh("dead")
+        dead.select("seg_id", "internal_id", "bucket").hint("rebalance", F.col("bucket")).write.partitionBy("bucket").parquet(path)
+        return path
+
+    def refresh(self) -> Manifest:
+        """Takes up the latest snapshot, whoever published it."""
+        with self._lock:
+            found = self._latest()
+            if found.version > self.manifest.version:
+                self.manifest = found
+            return self.manifest
+
     def _publish(self, m: Manifest) -> None:
-        m.version = self.manifest.version + 1
-        if not self.files.publish(self.files.at("manifest", f"{m.version:012d}.json"), m.to_json()):
-            raise RuntimeError("another writer has published this version")
-        self.manifest = m
+        """``m``, a changed copy of a snapshot, becomes the next version of that snapshot or of none."""
+        m.version += 1
+        with self._lock:
+            if not self.files.publish(self.files.at("manifest", f"{m.version:012d}.json"), m.to_json()):
+                raise Conflict(f"version {m.version} has been published by another writer")
+            self.manifest = m
+
+    def _amend(self, change) -> Manifest:
+        """Publishes ``change(copy of the latest snapshot)``, again on a newer one if another commit gets in first."""
+        for _ in range(ATTEMPTS):
+            m = self.refresh().copy()
+            change(m)
+            try:
+                self._publish(m)
+                return m
+            except Conflict:
+                time.sleep(0.01)
+        raise Conflict(f"not published in {ATTEMPTS} attempts")
 
     def _truncate_log(self) -> None:
         """Drops closed log segments whose every op is applied, and applied files of the open one."""
@@ -360,38 +452,39 @@ class Collection:
 
     # ---- reads ----
 
-    def rows(self, manifest: Manifest | None = None) -> DataFrame:
-        """Live rows of a snapshot."""
+    def rows(self, manifest: Manifest | None = None, buckets: Iterable[int] | None = None) -> DataFrame:
+        """Live rows of a snapshot, or of some of its buckets."""
         m = manifest or self.manifest
-        paths = sorted({p for s in m.segments for p in s.paths})
-        if not paths:
+        if not m.paths:
             return self.spark.createDataFrame([], self._row_type)
-        stored = self.spark.read.schema(self._row_type).parquet(*paths)
-        stored = stored.where(F.col("seg_id").isin([s.seg_id for s in m.segments if s.paths]))
+        here = F.lit(True) if buckets is None else F.col("bucket").isin(list(buckets))
+        stored = self._stored(m.paths).where(F.col("seg_id").isin([s.seg_id for s in m.segments if s.paths]) & here)
         if not m.dead:
             return stored
-        dead = self.spark.read.schema("seg_id int, internal_id long").parquet(*m.dead)
-        return stored.join(dead, ["seg_id", "internal_id"], "left_anti")
+        return stored.join(self.tombstones(m).where(here), ["seg_id", "internal_id", "bucket"], "left_anti").select(*self._row_type.names)
 
     def segment_rows(self) -> DataFrame:
         """seg_id, level, dead of every stored row."""
         m = self.manifest
-        paths = sorted({p for s in m.segments for p in s.paths})
         levels = F.create_map(*[x for s in m.segments for x in (F.lit(s.seg_id), F.lit(s.level))])
-        stored = self.spark.read.schema(self._row_type).parquet(*paths).where(F.col("seg_id").isin([s.seg_id for s in m.segments]))
-        dead = self.tombstones().withColumn("dead", F.lit(True))
+        stored = self._stored(m.paths).where(F.col("seg_id").isin([s.seg_id for s in m.segments]))
+        dead = self.tombstones().drop("bucket").withColumn("dead", F.lit(True))
         return stored.select("seg_id", "internal_id", levels[F.col("seg_id")].alias("level")).join(dead, ["seg_id", "internal_id"], "left").withColumn("dead", F.coalesce("dead", F.lit(False)))
 
-    def tombstones(self) -> DataFrame:
-        m = self.manifest
-        return self.spark.read.schema("seg_id int, internal_id long").parquet(*m.dead) if m.dead else self.spark.createDataFrame([], "seg_id int, internal_id long")
+    def tombstones(self, manifest: Manifest | None = None) -> DataFrame:
+        """seg_id, internal_id, bucket of stored rows that no longer count."""
+        m = manifest or self.manifest
+        if not m.dead:
+            return self.spark.createDataFrame([], _DEAD)
+        return self._buried(m.dead).where(F.col("seg_id").isin([s.seg_id for s in m.segments]))
 
     def count(self) -> int:
         return self.manifest.live
 
     def get(self, doc_id: str) -> SearchHit | None:
-        """Point read: an equality filter that prunes row groups."""
-        r = self.rows().where(F.col("doc_id") == doc_id).select("vector", self._shown().alias("metadata")).first()
+        """Point read: the document's bucket only, and there an equality filter that prunes row groups."""
+        bucket = self.spark.range(1).select(F.lit(doc_id).alias("doc_id")).select(self._bucket()).first()[0]
+        r = self.rows(buckets=[bucket]).where(F.col("doc_id") == doc_id).select("vector", self._shown().alias("metadata")).first()
         return r and SearchHit(doc_id, 0.0, self._plain(r["metadata"]), list(r["vector"]))
 
     def _shown(self):
@@ -408,21 +501,34 @@ class Collection:
         return out
 
     def matching(self, filter: Filter) -> DataFrame:
+        return self.rows().where(self._compiled(filter))
+
+    def _compiled(self, filter: Filter) -> Column:
         if self.schema.metadata_schema is None:
             raise ValueError("collection has no metadata schema")
-        return self.rows().where(compile(filter, self.schema.metadata_schema))
+        return compile(filter, self.schema.metadata_schema)
 
     def search_df(self, query: Sequence[float], k: int, filter: Filter | None = None, include_metadata: bool = False, include_vector: bool = False, strategy: str = "auto") -> DataFrame:
         """doc_id, score, metadata, vector: at most k rows, nearest first."""
         check_dimension(self.schema.dimension, len(query))
-        base = self.rows() if filter is None else self.matching(filter)
+        m = self.manifest
+        base = self.rows(m)
+        wanted = None if filter is None else self._compiled(filter)
         if strategy == "auto":
-            count = planner.matched(base) if filter is not None and self.manifest.index else None
-            strategy = planner.strategy(has_filter=filter is not None, matches=count, rows=self.manifest.live, has_index=self.manifest.index is not None)
-        if strategy != "exact" and self.manifest.index:
-            base = self._probed(query, k, base)
-        columns = ["doc_id", "vector", *(["meta"] if include_metadata else [])]
-        hits = search.nearest(base.select(*columns), query, k, self.schema.metric)
+            count = planner.matched(base.where(wanted)) if wanted is not None and m.index else None
+            strategy = planner.strategy(has_filter=wanted is not None, matches=count, rows=m.live, has_index=m.index is not None)
+        indexed = strategy != "exact" and m.index is not None
+        if indexed:
+            base = self._probed(m, query, base)
+        if wanted is not None and not (indexed and strategy == "post_filter"):
+            base = base.where(wanted)
+        columns = ["doc_id", "vector", *(["meta"] if include_metadata or wanted is not None else [])]
+        if wanted is not None and indexed and strategy == "post_filter":
+            # More candidates than asked for, then those of them that match.
+            hits = search.nearest(base.select(*columns), query, planner.over_fetch(k), self.schema.metric)
+            hits = hits.where(wanted).orderBy("score", "doc_id").limit(max(0, k))
+        else:
+            hits = search.nearest(base.select(*columns), query, k, self.schema.metric)
         shown = self._shown() if include_metadata else F.lit(None)
         kept = F.col("vector") if include_vector else F.lit(None).cast("array<float>")
         return hits.select("doc_id", "score", shown.alias("metadata"), kept.alias("vector"))
@@ -440,24 +546,51 @@ class Collection:
 
     # ---- index ----
 
-    def build_index(self, n_lists: int = 64, seed: int = 1) -> None:
-        """An inverted-file index over the snapshot's rows; rows written later are searched exactly."""
-        model = ann.fit(self.rows().select("doc_id", "vector"), n_lists, self.schema.metric, seed)
-        path = self.files.at("segments", f"index-{uuid.uuid4().hex}")
-        model.assign(self.rows().select("seg_id", "internal_id", "vector")).select("seg_id", "internal_id", "list").write.partitionBy("list").parquet(path)
-        self.files.publish(f"{path}/_centroids", model.to_json())
-        m = Manifest.from_json(self.manifest.to_json())
-        m.index = path
-        self._publish(m)
-
-    def _probed(self, query: Sequence[float], k: int, base: DataFrame) -> DataFrame:
-        path = self.manifest.index
-        model = ann.Index.from_json(self.files.read(f"{path}/_centroids"))
-        assigned = self.spark.read.parquet(path)
-        probes = model.probe(query, max(1, self.schema.segment_params.ef_search // 4))
-        # Rows of the probed lists, and rows that the index has not seen.
-        other = assigned.where(~F.col("list").isin(probes)).select("seg_id", "internal_id")
-        return base.join(other, ["seg_id", "internal_id"], "left_anti")
+    def _index(self, path: str) -> ann.Index:
+        if path not in self._indexes:
+            self._indexes[path] = ann.Index.from_json(self.files.read(path))
+        return self._indexes[path]
+
+    def _listed(self, rows: DataFrame, index: str | None) -> DataFrame:
+        """``rows`` with their list of the index, null without one."""
+        rows = rows.drop("list")
+        return self._index(index).assign(rows) if index else rows.withColumn("list", F.lit(None).cast("int"))
+
+    def build_index(self, n_lists: int | None = None, seed: int = 1, recall: float = 0.95) -> None:
+        """An inverted-file index: centroids, and every row's list with the row, so a search reads the probed lists
+        only. Later writes get their list as they are applied, and merges keep it. ``n_lists`` is the root of the
+        number of rows unless given; ef_construction bounds the training rows for each list and m the rounds of
+        training; the number of lists to probe is the least that finds ``recall`` of the true neighbours of a sample
+        of rows. Rows that were written meanwhile are listed before the snapshot with the index is published."""
+        params, now = self.schema.segment_params, self.rows().select("doc_id", "vector")
+        lists = n_lists or max(1, round(self.count() ** 0.5))
+        model = ann.calibrated(ann.fit(now, lists, self.schema.metric, seed, rounds=params.m, per_list=params.ef_construction), now, recall)
+        path = self.files.at("index", f"{uuid.uuid4().hex}.json")
+        self.files.publish(path, model.to_json())
+        made: dict[str, str] = {}
+        for _ in range(ATTEMPTS):
+            m = self.refresh().copy()
+            if todo := [p for p in m.paths if p not in made]:
+                new = self._fresh("segments")
+                self._write(self._listed(self._stored(todo), path), new)
+                made.update(dict.fromkeys(todo, new))
+            for s in m.segments:
+                s.paths = sorted({made[p] for p in s.paths})
+            m.index = path
+            try:
+                return self._publish(m)
+            except Conflict:
+                continue
+        raise Conflict(f"no index published in {ATTEMPTS} attempts")
+
+    def drop_index(self) -> None:
+        self._amend(lambda m: setattr(m, "index", None))
+
+    def _probed(self, m: Manifest, query: Sequence[float], base: DataFrame) -> DataFrame:
+        """The rows of the lists nearest to ``query``, and rows that the index has not seen."""
+        model = self._index(m.index)
+        probes = model.probe(query, max(model.nprobe, -(-self.schema.segment_params.ef_search // 16)))
+        return base.where(F.col("list").isin(probes) | F.col("list").isNull())
 
     # ---- maintenance ----
 
@@ -465,50 +598,94 @@ class Collection:
         rows = [(s.seg_id, s.level, s.num_vectors, s.tombstones) for s in self.manifest.segments if s.sealed]
         return maintenance.with_ratio(self.spark.createDataFrame(rows, "seg_id int, level int, num_vectors long, tombstones long"))
 
+    def eligible(self) -> dict[int, set[int]]:
+        """Level -> segments to merge, of the levels that no merge is at work on."""
+        picked = maintenance.candidates(self.stats(), self.schema.compaction_params, self.schema.segment_params.segment_capacity).collect()  # segments
+        chosen: dict[int, set[int]] = {}
+        for r in picked:
+            chosen.setdefault(r["level"], set()).add(r["seg_id"])
+        dead = {s.seg_id: s.tombstones for s in self.manifest.segments}
+        return {level: c for level, c in chosen.items() if level not in self._busy and (len(c) > 1 or any(dead[i] for i in c))}
+
     def compact(self) -> int:
-        """Merges segments level by level until no level is eligible; returns the merges made."""
-        done, params = 0, self.schema.compaction_params
-        for _ in range(4 * params.num_levels):
-            picked = maintenance.candidates(self.stats(), params, self.schema.segment_params.segment_capacity).collect()  # segments
-            level = min((r["level"] for r in picked), default=None)
-            if level is None:
-                break
-            chosen = {r["seg_id"] for r in picked if r["level"] == level}
-            if len(chosen) == 1 and all(s.tombstones == 0 for s in self.manifest.segments if s.seg_id in chosen):
+        """Merges segments until no level is eligible, levels side by side; returns the merges made. Writes go on."""
+        done = 0
+        for _ in range(4 * self.schema.compaction_params.num_levels):
+            made = self.compact_once()
+            if not made:
                 break
-            self._merge(chosen, params.output(level))
-            done += 1
+            done += made
         return done
 
-    def _merge(self, chosen: set[int], level: int) -> None:
-        """Live rows of some segments become one at the output level; a new snapshot replaces them at once."""
-        m = Manifest.from_json(self.manifest.to_json())
-        new = m.next_seg
-        path = self.files.at("segments", uuid.uuid4().hex)
-        live = self.rows().where(F.col("seg_id").isin(sorted(chosen)))
-        oplog.numbered(live, "doc_ord", "place").withColumn("seg_id", F.lit(new)).withColumn("internal_id", F.col("place")).select(*self._row_type.names).write.parquet(path)
-        n = self.spark.read.schema(self._row_type).parquet(path).count()
-        m.segments = [s for s in m.segments if s.seg_id not in chosen]
-        if n:
-            m.segments.append(Segment(new, level, True, n, 0, [path]))
-        m.next_seg += 1
-        gone = self.files.at("dead", uuid.uuid4().hex)
-        kept = self.tombstones().where(~F.col("seg_id").isin(sorted(chosen)))
-        kept.write.parquet(gone)
-        m.dead = [gone] if any(s.tombstones for s in m.segments) else []
-        m.index = None
-        self._publish(m)
+    def compact_once(self) -> int:
+        """One merge on each eligible level, all at once; a level takes one at a time."""
+        with self._lock:
+            todo = self.eligible()
+            self._busy |= set(todo)
+        if not todo:
+            return 0
+        with ThreadPoolExecutor(len(todo)) as pool:  # levels; Spark runs the jobs of several threads side by side
+            return sum(pool.map(lambda level: self._merge_level(level, todo[level]), sorted(todo)))
+
+    def _merge_level(self, level: int, chosen: set[int]) -> bool:
+        try:
+            return self._merge(chosen, self.schema.compaction_params.output(level))
+        finally:
+            with self._lock:
+                self._busy.discard(level)
+
+    def _merge(self, chosen: set[int], level: int) -> bool:
+        """Live rows of some segments become one at the output level; False if another merge took one of them.
+
+        The rows are written from the snapshot at hand. When they are published, documents that were written or
+        deleted since are tombstones of the merged segments; those move with their rows to the new one.
+        """
+        reserved = self._amend(lambda m: setattr(m, "next_seg", m.next_seg + 1))
+        new, base, ids = reserved.next_seg - 1, reserved, sorted(chosen)
+        path, moved = self._fresh("segments"), self.files.at("segments", f"moved-{uuid.uuid4().hex}")
+        live = self.rows(base).where(F.col("seg_id").isin(ids)).withColumnsRenamed({"seg_id": "old_seg", "internal_id": "old_id"})
+        placed = oplog.numbered(live, "doc_ord", "internal_id").withColumn("seg_id", F.lit(new))
+        self._write(placed, path)
+        # Where each row went: its ordinal is its own, so both sides are read back rather than kept.
+        was = live.select("doc_ord", "old_seg", "old_id")
+        self._stored([path]).select("doc_ord", "internal_id", "bucket").join(was, "doc_ord").select("old_seg", "old_id", "internal_id", "bucket").write.parquet(moved)
+        n = self._stored([path]).count()
+
+        def change(m: Manifest) -> None:
+            if not chosen <= {s.seg_id for s in m.segments}:
+                raise LookupError
+            late = 0
+            kept = self.tombstones(m).where(~F.col("seg_id").isin(ids))
+            if m.dead != base.dead:
+                since = self.tombstones(m).where(F.col("seg_id").isin(ids)).join(self.tombstones(base), ["seg_id", "internal_id", "bucket"], "left_anti")
+                gone = since.select(F.col("seg_id").alias("old_seg"), F.col("internal_id").alias("old_id"))
+                gone = self.spark.read.parquet(moved).join(gone, ["old_seg", "old_id"], "left_semi").select(F.lit(new).alias("seg_id"), "internal_id", "bucket")
+                kept, late = kept.unionByName(gone), gone.count()
+            m.segments = [s for s in m.segments if s.seg_id not in chosen]
+            if n:
+                m.segments.append(Segment(new, level, True, n, late, [path]))
+            m.dead = [self._bury(kept)] if any(s.tombstones for s in m.segments) else []
+
+        try:
+            self._amend(change)
+        except LookupError:
+            return False
+        finally:
+            self.files.delete(moved)
+        return True
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Deletes manifests but the last ``keep``, and files that none of those names; returns the files deleted."""
+    def vacuum(self, keep: int = 1, grace: float = 3600.0) -> int:
+        """Deletes manifests but the last ``keep``, and files that none of those names and that are older than
+        ``grace`` seconds, as a commit under way has written files that no manifest names yet. Returns the files deleted."""
         names = [n for n in self.files.list(self.files.at("manifest")) if not n.startswith(".")]
         kept = [Manifest.from_json(self.files.read(self.files.at("manifest", n))) for n in names[-keep:]]
-        used = {p for m in kept for p in [*m.dead, *([m.index] if m.index else []), *(q for s in m.segments for q in s.paths)]}
+        used = {p for m in kept for p in [*m.dead, *([m.index] if m.index else []), *m.paths]}
         gone = 0
-        for folder in ("segments", "dead"):
+        for folder in ("segments", "dead", "index"):
             for n in self.files.list(self.files.at(folder)):
-                if self.files.at(folder, n) not in used:
-                    self.files.delete(self.files.at(folder, n))
+                path = self.files.at(folder, n)
+                if path not in used and self.files.age(path) >= grace:
+                    self.files.delete(path)
                     gone += 1
         for n in names[:-keep]:
             self.files.delete(self.files.at("manifest", n))

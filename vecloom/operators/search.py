@@ -1,7 +1,7 @@
 """Exact k-nearest-neighbour search and join.
 
-Scoring runs over Arrow batches in numpy; each batch gives back its k best rows, and a global
-TakeOrderedAndProject or a window over k rows per batch and query finishes. Ties go to the smaller
+Scoring runs over Arrow batches in numpy; each task gives back its k best rows, and a global
+TakeOrderedAndProject or a window over k rows per task and query finishes. Ties go to the smaller
 id, and ranks use unrounded scores.
 """
 
@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -76,7 +77,27 @@ def _joined(metric: Metric, k: int, q_ids: list, q: np.ndarray, ids: pa.Array, x
         rows.append(np.full(len(b), i))
         cols.append(b)
     r, c = np.concatenate(rows), np.concatenate(cols)
-    return pa.table({"query_id": pa.array([q_ids[i] for i in r]), "id": ids.take(pa.array(c)), "score": pa.array(s[r, c])})
+    return pa.table({"query_id": pa.array(q_ids).take(pa.array(r)), "id": ids.take(pa.array(c)), "score": pa.array(s[r, c])})
+
+
+def _pruned(found: pa.Table, k: int) -> pa.Table:
+    """The k best rows of each query, ties to the smaller id."""
+    found = found.sort_by([("query_id", "ascending"), ("score", "ascending"), ("id", "ascending")]).combine_chunks()
+    q = found.column("query_id").combine_chunks()
+    fresh = np.flatnonzero(np.concatenate([[True], pc.not_equal(q[1:], q[:-1]).to_numpy(zero_copy_only=False)])) if len(q) else np.zeros(0, int)
+    place = np.arange(len(q)) - np.repeat(fresh, np.diff([*fresh, len(q)]))
+    return found.filter(pa.array(place < k))
+
+
+def _task_best(k: int, n_queries: int, parts: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+    """Of what a task finds, batch by batch, the k best for each query."""
+    held: list[pa.Table] = []
+    for part in parts:
+        held.append(part)
+        if sum(t.num_rows for t in held) > 4 * k * n_queries + 4096:
+            held = [_pruned(pa.concat_tables(held), k)]
+    if held:
+        yield from _pruned(pa.concat_tables(held), k).to_batches()
 
 
 def nearest_join(queries: DataFrame, corpus: DataFrame, k: int, metric: Metric | str = Metric.L2, id: str = "doc_id", vector: str = "vector", query_id: str = "query_id", query_vector: str = "vector") -> DataFrame:
@@ -96,24 +117,40 @@ def nearest_join(queries: DataFrame, corpus: DataFrame, k: int, metric: Metric |
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, qm = shared.value
-            for batch in batches:
-                if batch.num_rows:
-                    yield from _joined(metric, k, ids, qm, batch.column(0), matrix(batch.column(1), qm.shape[1])).to_batches()
+            parts = (_joined(metric, k, ids, qm, b.column(0), matrix(b.column(1), qm.shape[1])) for b in batches if b.num_rows)
+            yield from _task_best(k, len(ids), parts)
 
         found = c.mapInArrow(run, schema)
     else:
-        n_q, n_c = (-(-d.count() // n) for d, n in ((q, QUERY_ROWS), (c, BLOCK_ROWS)))
-        pack = lambda d, key, n, b: d.groupBy(F.pmod(F.xxhash64(key), F.lit(max(1, n))).cast("int").alias(b)).agg(F.collect_list(F.struct(*d.columns)).alias(f"{b}_rows"))
-        left = pack(q, "query_id", n_q, "qb").withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(max(0, n_c - 1)))))
-        right = pack(c, "id", n_c, "cb").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(max(0, n_q - 1)))))
-
-        def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for qs, cs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    qm, xm = np.array([r["q"] for r in qs]), np.array([r["x"] for r in cs])
-                    yield from _joined(metric, k, [r["query_id"] for r in qs], qm, pa.array([r["id"] for r in cs]), xm).to_batches()
-
-        found = left.join(right, ["qb", "cb"]).select("qb_rows", "cb_rows").mapInArrow(cells, schema)
+        n_q, n_c = (max(1, -(-d.count() // n)) for d, n in ((q, QUERY_ROWS), (c, BLOCK_ROWS)))
+        left = packed(q, "qb", F.pmod(F.xxhash64("query_id"), F.lit(n_q))).withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_c - 1).cast("long"))))
+        right = packed(c, "cb", F.pmod(F.xxhash64("id"), F.lit(n_c))).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))))
+        found = left.join(right, ["qb", "cb"]).select("qb_rows", "cb_rows").mapInArrow(cells(metric, k), schema)
+    return ranked(found, k)
+
+
+def packed(rows: DataFrame, name: str, block: Column, *more: str) -> DataFrame:
+    """A row for each block (and ``more`` keys): an array of its rows; blocks are of bounded size."""
+    return rows.withColumn(name, block).groupBy(*more, name).agg(F.collect_list(F.struct(*[c for c in rows.columns if c not in more])).alias(f"{name}_rows"))
+
+
+def cells(metric: Metric, k: int):
+    """A mapInArrow function: (array of (query_id, q), array of (id, x)) -> each query's k best in the cell."""
+
+    def vectors(rows: pa.StructArray) -> tuple[pa.Array, np.ndarray]:
+        ids, lists = rows.flatten()
+        return ids, matrix(lists, len(lists.flatten()) // max(1, len(lists)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (q_ids, q), (ids, x) = (vectors(batch.column(c)[i].values) for c in (0, 1))
+                yield from _joined(metric, k, q_ids.to_pylist(), q, ids, x).to_batches()
+
+    return run
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy("score", "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -6,21 +6,24 @@ The corpus is ``embeddings`` with metadata from ``documents`` and ``labels``; th
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from . import workloads
 from .database import Collection, Database
+from .fs import Files
+from .fs import shared_folder as _shared_folder
 from .functions.distance import distance, rounded
 from .operators import ann, evaluate, maintenance, oplog, search
 from .plans import planner
 from .plans.filters import And, Eq, Exists, Filter, In, Range, compile
 from .sources import vectorfiles
 from .streaming import apply as stream
-from .types import CollectionSchema, CompactionParams, FieldSchema, FieldType, MetadataSchema, Metric, SegmentParams
+from .types import CollectionSchema, CompactionParams, FieldSchema, FieldType, MetadataSchema, Metric, SegmentParams, WriteToken
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,7 +36,9 @@ META = MetadataSchema(
         FieldSchema(4, "toxic", FieldType.INT64, True),
     )
 )
-K, JOIN_QUERIES = 10, 20
+K = 10
+ASKED = "vec_id % 100 = 0"
+"""The query set of joins and index searches, against all rows."""
 CAPACITY = 256
 COMPACTION = CompactionParams(num_levels=4, level_count_multiplier=2, tombstone_threshold=0.2)
 
@@ -47,9 +52,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, embedding and the metadata fields, null where missing."""
+    return _with_metadata(spark, sf_dir, _table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def _with_metadata(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "lang", "source", "n_chars")
     labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("vec_id"), F.col("quality").cast("long").alias("quality"), F.col("toxic").cast("long").alias("toxic"))
-    return _table(spark, sf_dir, "embeddings").select("vec_id", "embedding").join(docs, "vec_id", "left").join(labels, "vec_id", "left")
+    return rows.join(docs, "vec_id", "left").join(labels, "vec_id", "left")
 
 
 def ops(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,11 +79,6 @@ def _query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[flo
     return list(_table(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()[0])
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="vecloom-")
-    return f"{root}/vecloom-{uuid.uuid4().hex}"
-
-
 # ---- search ----
 
 
@@ -96,8 +100,9 @@ def _knn_sql_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knn_include_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = search.nearest(corpus(spark, sf_dir), _query_vector(spark, sf_dir), K, Metric.L2, "vec_id", "embedding")
-    return hits.select("vec_id", rounded(F.col("score")).alias("score"), *[f.name for f in META.fields])
+    """The K nearest first, then the metadata of those."""
+    hits = search.nearest(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), _query_vector(spark, sf_dir), K, Metric.L2, "vec_id", "embedding")
+    return _with_metadata(spark, sf_dir, F.broadcast(hits.select("vec_id", "score"))).select("vec_id", rounded(F.col("score")).alias("score"), *[f.name for f in META.fields])
 
 
 def knn_include_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,21 +133,20 @@ FILTERS: dict[str, tuple[Filter, str]] = {
 
 
 def filter_match_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matches of each filter, and the strategy the planner takes where there is an index."""
-    base = corpus(spark, sf_dir)
-    out = None
-    for name, (expr, _) in FILTERS.items():
-        one = base.where(compile(expr, META, None)).agg(F.count("*").alias("n_matched")).withColumn("name", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    chosen = F.when(F.col("n_matched") <= planner.EXACT_LIMIT, "exact").otherwise("post_filter")
-    return out.select("name", "n_matched", chosen.alias("strategy"))
+    """Matches of each filter, all counted in one pass, and the strategy the planner takes where there is an index."""
+    counts = corpus(spark, sf_dir).drop("embedding").agg(*[F.count_if(compile(expr, META, None)).alias(name) for name, (expr, _) in FILTERS.items()])
+    each = counts.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("n_matched")) for n in FILTERS])).alias("x")).select("x.*")
+    return each.select("name", "n_matched", F.when(F.col("n_matched") <= planner.EXACT_LIMIT, "exact").otherwise("post_filter").alias("strategy"))
+
+
+def _queries(vectors: DataFrame) -> DataFrame:
+    return vectors.where(ASKED).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 def _knn_join(metric: Metric) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-        queries = vectors.where(F.col("vec_id") < JOIN_QUERIES).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-        found = search.nearest_join(queries, vectors, K, metric, "vec_id", "embedding")
+        found = search.nearest_join(_queries(vectors), vectors, K, metric, "vec_id", "embedding")
         return found.select("query_id", F.col("id").alias("vec_id"), F.col("rank").cast("long").alias("rank"), rounded(F.col("score")).alias("score"))
 
     return run
@@ -153,21 +157,49 @@ def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select("vec_id", F.posexplode("embedding").alias("pos", "val")).select("vec_id", F.col("pos").cast("long").alias("pos"), F.col("val").cast("double").alias("val"))
 
 
+def _indexed(spark: SparkSession, sf_dir: str, ef_search: int = 50) -> Collection:
+    """A collection of all vectors with their metadata, and an index."""
+    c = _filled(spark, sf_dir, SegmentParams(segment_capacity=300, ef_search=ef_search))
+    c.build_index()
+    return c
+
+
 def ann_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Index search of the join's queries: 16 of 32 lists, re-ranked exactly."""
-    vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
-    queries = vectors.where(F.col("doc_id") < JOIN_QUERIES).select(F.col("doc_id").alias("query_id"), "vector")
-    index = ann.fit(vectors, 32, Metric.L2)
-    return ann.search_many(index, vectors, queries, K, 16).select("query_id", "id", "rank", rounded(F.col("score")).alias("score"))
+    """Index search of the join's queries, all lists probed and re-ranked: the exact neighbours."""
+    c = _indexed(spark, sf_dir)
+    index = c._index(c.manifest.index)
+    queries = _queries(_table(spark, sf_dir, "embeddings"))
+    found = ann.search_many(index, c.rows().select("doc_id", "vector", "list"), queries, 2 * K, len(index.centroids))
+    placed = found.select("query_id", F.col("id").cast("long").alias("vec_id"), "score")
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id")  # ids of a collection are text: ties in order of number
+    return placed.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= K).select("query_id", "vec_id", "rank", rounded(F.col("score")).alias("score"))
+
+
+def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the lists that the index chooses to probe find 0.9 of the true neighbours."""
+    c = _indexed(spark, sf_dir)
+    index, queries, rows = c._index(c.manifest.index), _queries(_table(spark, sf_dir, "embeddings")), c.rows()
+    true = search.nearest_join(queries, rows.select("doc_id", "vector"), K, Metric.L2)
+    found = ann.search_many(index, rows.select("doc_id", "vector", "list"), queries, K, index.nprobe)
+    hits = found.select("query_id", "id", F.lit(1).alias("hit"))
+    return true.join(hits, ["query_id", "id"], "left").agg(F.count_distinct("query_id").alias("n_queries"), (F.count("hit") >= 0.9 * F.count("*")).alias("recall_is_enough"))
 
 
 def ann_post_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Index candidates, over-fetched, semi-joined with a filter's matches."""
-    vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
-    queries = vectors.where(F.col("doc_id") == 0).select(F.col("doc_id").alias("query_id"), "vector")
-    found = ann.search_many(ann.fit(vectors, 32, Metric.L2), vectors, queries, planner.over_fetch(K), 32)
-    match = corpus(spark, sf_dir).where(compile(FILTERS["filter_eq"][0], META, None)).select(F.col("vec_id").alias("id"))
-    return found.join(match, "id", "left_semi").orderBy("score", "id").limit(K).select("query_id", F.col("id").alias("vec_id"), rounded(F.col("score")).alias("score"))
+    """Index candidates, over-fetched from all lists, of which those that match a filter stay."""
+    c = _indexed(spark, sf_dir, ef_search=16 * 10**6)
+    hits = c.search_df(_query_vector(spark, sf_dir), K, FILTERS["filter_eq"][0], strategy="post_filter")
+    return hits.select(F.col("doc_id").cast("long").alias("vec_id"), rounded(F.col("score")).alias("score"))
+
+
+def index_after_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with a list of the index after an index build, merges and later writes: all of them."""
+    c = _indexed(spark, sf_dir)
+    rows = _table(spark, sf_dir, "embeddings").where("label % 2 = 0").select(F.concat(F.lit("again_"), F.col("vec_id")).alias("doc_id"), F.col("embedding").alias("vector"))
+    c.ingest(rows)
+    c.compact()
+    c.ingest(rows)
+    return c.rows().agg(F.count("*").alias("n_rows"), F.count("list").alias("n_listed"))
 
 
 # ---- mutations ----
@@ -251,10 +283,11 @@ def compaction_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recall of a search that sees only even ids, against the true neighbours."""
-    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    queries = vectors.where(F.col("vec_id") < JOIN_QUERIES).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    found = [evaluate.hits_to_ids(search.nearest_join(queries, c, K, Metric.L2, "vec_id", "embedding")).withColumnRenamed("ids", n) for c, n in ((vectors, "truth"), (vectors.where("vec_id % 2 = 0"), "result"))]
+    """Recall of a search that a filter narrows, against the neighbours among all."""
+    base = corpus(spark, sf_dir)
+    expr, _ = FILTERS["filter_eq"]
+    queries = _queries(base)
+    found = [evaluate.hits_to_ids(search.nearest_join(queries, c, K, Metric.L2, "vec_id", "embedding")).withColumnRenamed("ids", n) for c, n in ((base, "truth"), (base.where(compile(expr, META, None)), "result"))]
     return found[0].join(found[1], "query_id", "left").select("query_id", F.round(evaluate.recall_at_k(F.col("truth"), F.coalesce("result", F.array().cast("array<bigint>")), K), 6).alias("recall"))
 
 
@@ -264,7 +297,7 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def latency_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _table(spark, sf_dir, "events")
-    return e.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("avg"), *[evaluate.percentile(e, "value", p).alias(f"p{p}") for p in (50, 95, 99)])
+    return evaluate.latency_summary(e, "value", ("event_type",)).withColumn("avg", F.round("avg", 6))
 
 
 def vector_multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,24 +308,243 @@ def vector_multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- end to end ----
 
 
+def _long(rows: DataFrame, kind: str = "double") -> DataFrame:
+    """idx, vector -> vec_id, pos, val."""
+    return rows.select("idx", F.posexplode("vector").alias("pos", "val")).select(F.col("idx").alias("vec_id"), F.col("pos").cast("long").alias("pos"), F.col("val").cast(kind).alias("val"))
+
+
+def _in_order(spark: SparkSession, sf_dir: str, vector: Column) -> DataFrame:
+    """A column ``vector`` of all embeddings in order of vec_id: tasks write files in the order of ranges."""
+    return _table(spark, sf_dir, "embeddings").select("vec_id", vector.alias("vector")).orderBy("vec_id")
+
+
 def fvecs_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{_shared_folder(spark)}/x.fvecs"
+    vectorfiles.write_vectors(_in_order(spark, sf_dir, F.col("embedding")), path, "fvecs")
+    return _long(vectorfiles.load_vectors(spark, path))
+
+
+def bvecs_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components in steps of 1/100 as bytes, written and read by file name."""
+    path = f"{_shared_folder(spark)}/x.bvecs"
+    step = F.transform("embedding", lambda x: F.floor((x.cast("double") + 1) * 100).cast("int"))
+    vectorfiles.write_vectors(_in_order(spark, sf_dir, step), path, "bvecs")
+    return _long(vectorfiles.load_vectors(spark, path), "long")
+
+
+def ivecs_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{_shared_folder(spark)}/x.ivecs"
+    vectorfiles.write_vectors(_in_order(spark, sf_dir, F.array("vec_id", -F.col("vec_id"), "label").cast("array<int>")), path, "ivecs")
+    return _long(vectorfiles.read_ivecs(spark, path), "long")
+
+
+def raw_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headerless vectors, written twice: the second write's rows come after the first's."""
     path = _shared_folder(spark)
-    rows = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector")).orderBy("vec_id").coalesce(1)  # one file, in order
-    vectorfiles.write_vectors(rows, path, "fvecs")
-    back = vectorfiles.read_fvecs(spark, f"{path}/part-00000.fvecs")
-    return back.select("idx", F.posexplode("vector").alias("pos", "val")).select(F.col("idx").alias("vec_id"), F.col("pos").cast("long").alias("pos"), F.col("val").cast("double").alias("val"))
+    rows = _in_order(spark, sf_dir, F.col("embedding"))
+    for _ in range(2):
+        vectorfiles.write_vectors(rows, path)
+    return _long(vectorfiles.read_raw(spark, path, len(_query_vector(spark, sf_dir))))
+
+
+def groundtruth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The true neighbours of all queries as an ivecs file, of which the first five are read as document ids."""
+    path = f"{_shared_folder(spark)}/x.ivecs"
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    near = evaluate.hits_to_ids(search.nearest_join(_queries(vectors), vectors, K, Metric.L2, "vec_id", "embedding"))
+    vectorfiles.write_vectors(near.orderBy("query_id").select(F.col("ids").cast("array<int>").alias("vector")), path, "ivecs")
+    return vectorfiles.load_groundtruth(spark, path, 5).select("query_id", F.posexplode("ids").alias("pos", "doc_id")).select("query_id", F.col("pos").cast("long").alias("pos"), "doc_id")
+
+
+def query_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A subset of queries by seed: as many as asked for, each one once, and the same again."""
+    q = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"))
+    one, two = (evaluate.query_subset(q, 50, 42) for _ in range(2))
+    return one.join(two.withColumn("again", F.lit(1)), "query_id", "left").agg(F.count("*").alias("n"), F.count_distinct("query_id").alias("n_distinct"), F.count("again").alias("n_again"))
+
+
+def _collection(spark: SparkSession, dim: int, meta: MetadataSchema, base: str | None = None, **params) -> Collection:
+    schema = CollectionSchema("c", dim, Metric.L2, **{"segment_params": SegmentParams(segment_capacity=300), "metadata_schema": meta, **params})
+    return Database(spark, base or _shared_folder(spark)).create_collection(schema)
+
+
+def _filled(spark: SparkSession, sf_dir: str, segments: SegmentParams | None = None, base: str | None = None) -> Collection:
+    """All vectors with their metadata, in a new collection."""
+    c = _collection(spark, len(_query_vector(spark, sf_dir)), META, base, segment_params=segments or SegmentParams(segment_capacity=300), compaction_params=CompactionParams(num_levels=3, level_count_multiplier=1))
+    c.ingest(corpus(spark, sf_dir).withColumnRenamed("embedding", "vector").withColumn("doc_id", F.col("vec_id").cast("string")))
+    return c
+
+
+def _shown(c: Collection) -> DataFrame:
+    """Live rows: doc_id, the vector's first component, metadata."""
+    return c.rows().select("doc_id", F.col("vector")[0].cast("double").alias("v0"), *[f"meta.{f}" for f in c._fields])
+
+
+def reopened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection as another database object opens it."""
+    base = _shared_folder(spark)
+    _filled(spark, sf_dir, base=base)
+    return _shown(Database(spark, base).collection("c")).select(F.col("doc_id").cast("long").alias("vec_id"), "v0", *[f.name for f in META.fields])
+
+
+def ingested_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A headerless file as documents doc_0, doc_1 and so on, searched."""
+    path, q = _shared_folder(spark), _query_vector(spark, sf_dir)
+    vectorfiles.write_vectors(_in_order(spark, sf_dir, F.col("embedding")), path)
+    c = _collection(spark, len(q), META)
+    c.ingest_file(path)
+    return c.search_df(q, K).select("doc_id", rounded(F.col("score")).alias("score"))
+
+
+NATIONS = MetadataSchema((FieldSchema(0, "name", FieldType.STRING), FieldSchema(1, "region", FieldType.INT64), FieldSchema(2, "size", FieldType.FLOAT64)))
+
+
+def _nations(spark: SparkSession, sf_dir: str) -> list[Row]:
+    return _table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()  # a table of 25 rows
+
+
+def _written(spark: SparkSession, sf_dir: str, base: str | None = None, **params) -> tuple[Collection, WriteToken]:
+    """All nations upserted in one batch, then deleted (region 0), renamed (region 1) or written again (region 2) one by one."""
+    c, rows = _collection(spark, 2, NATIONS, base, **params), _nations(spark, sf_dir)
+    c.upsert_batch([(str(r.n_nationkey), [float(r.n_nationkey), 1.0], {"name": r.n_name, "region": int(r.n_regionkey)}) for r in rows])
+    token = WriteToken(1)
+    for r in rows:
+        if r.n_regionkey == 0:
+            token = c.delete(str(r.n_nationkey))
+        elif r.n_regionkey == 1:
+            token = c.update_metadata(str(r.n_nationkey), {"name": r.n_name.lower()})
+        elif r.n_regionkey == 2:
+            token = c.upsert(str(r.n_nationkey), [float(-r.n_nationkey), 2.0], {"size": 0.5})
+    return c, token
+
+
+def log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as written, before anything is applied."""
+    c, _ = _written(spark, sf_dir)
+    return c.pending().select("seq", "op", F.col("doc_id").cast("long").alias("n_nationkey"), F.col("vector")[0].cast("long").alias("v0"), "meta.name", "meta.region", "meta.size")
+
+
+def log_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mutations that were logged and never applied, replayed as the collection is opened again."""
+    base = _shared_folder(spark)
+    _written(spark, sf_dir, base)
+    return _shown(Database(spark, base).collection("c")).select(F.col("doc_id").cast("long").alias("n_nationkey"), F.col("v0").cast("long").alias("v0"), "name", "region", "size")
+
+
+def write_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last write's token, and what is visible before and after waiting for it."""
+    c, token = _written(spark, sf_dir)
+    before = c.visible_seq
+    c.wait_visible(token)
+    return spark.createDataFrame([(token.value, before, c.visible_seq, c.count())], "token long, visible_before long, visible_after long, n_live long")
+
+
+def log_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log segments of 512 bytes: several before applying, the open one after."""
+    c, _ = _written(spark, sf_dir, wal_segment_bytes=512)
+    before = c.wal_segment_count
+    c.apply()
+    return spark.createDataFrame([(before > 1, c.wal_segment_count, c.pending() is None)], "rotated boolean, n_after long, nothing_pending boolean")
+
+
+def metadata_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the schema says of metadata in which, by region, the name is right, a number, beside an unknown field, not
+    finite, or missing; and the ids of the names it knows."""
+    def judged(r: Row) -> tuple[int, str, str]:
+        meta: dict = {0: {"name": r.n_name}, 1: {"name": int(r.n_nationkey)}, 2: {"name": r.n_name, "nation": 1}, 3: {"size": float("nan")}}.get(r.n_regionkey, {})
+        try:
+            NATIONS.validate(meta)
+            said = "ok"
+        except (TypeError, ValueError) as e:
+            said = type(e).__name__
+        return r.n_nationkey, said, ",".join(str(i) for i in sorted(NATIONS.names_to_ids(meta)))
+
+    return spark.createDataFrame([judged(r) for r in _nations(spark, sf_dir)], "n_nationkey int, said string, field_ids string")
+
+
+def compaction_under_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live rows after merges during which documents were deleted and written again: no write is lost."""
+    c = _filled(spark, sf_dir, SegmentParams(segment_capacity=64))
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    n = c.next_seq
+    meta = F.lit(None).cast(c._meta_type).alias("meta")
+    rows = vectors.where("label IN (1, 2)").select((F.col("vec_id") + n).alias("seq"), F.when(F.col("label") == 1, "delete").otherwise("upsert").alias("op"), F.col("vec_id").cast("string").alias("doc_id"), F.when(F.col("label") == 2, F.transform("embedding", lambda x: -x)).alias("vector"), meta)
+    merge = c._merge
+
+    def late(chosen: set[int], level: int) -> bool:
+        """The writes land between a merge's snapshot and its publication."""
+        write, number = c._write, []
+
+        def after(frame: DataFrame, path: str) -> None:
+            write(frame, path)
+            if not number:
+                number.append(1)
+                Database(spark, c.files.root.rpartition("/")[0]).collection("c").apply_ops(rows)
+
+        c._write = after
+        try:
+            return merge(chosen, level)
+        finally:
+            c._write = write
+
+    c._merge = late
+    c.compact_once()
+    c._merge = merge
+    c.compact()
+    return c.rows().select(F.col("doc_id").cast("long").alias("vec_id"), F.col("vector")[0].cast("double").alias("v0"))
+
+
+def compaction_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts before and after merging everything that is eligible, with a third of the labels deleted."""
+    c = _filled(spark, sf_dir, SegmentParams(segment_capacity=64))
+    gone = _table(spark, sf_dir, "embeddings").where("label < 4").select((F.col("vec_id") + c.next_seq).alias("seq"), F.lit("delete").alias("op"), F.col("vec_id").cast("string").alias("doc_id"), F.lit(None).cast("array<float>").alias("vector"), F.lit(None).cast(c._meta_type).alias("meta"))
+    c.apply_ops(gone)
+    before, segments = c.count(), len(c.manifest.segments)
+    c.compact()
+    fewer = len(c.manifest.segments) < segments
+    worst = max(s.tombstones / max(1, s.num_vectors) for s in c.manifest.segments if s.sealed)
+    return c.rows().agg(F.lit(before).cast("long").alias("n_before"), F.count("*").alias("n_after"), F.lit(c.count()).cast("long").alias("n_counted"), F.lit(fewer).alias("fewer_segments"), F.lit(worst <= c.schema.compaction_params.tombstone_threshold).alias("below_threshold"))
+
+
+def _files(spark: SparkSession, sf_dir: str) -> tuple[str, list[str]]:
+    """A folder with all vectors as base.fvecs, the queries' as query.fvecs, and their true neighbours as truth.ivecs."""
+    folder = _shared_folder(spark)
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    near = evaluate.hits_to_ids(search.nearest_join(_queries(vectors), vectors, K, Metric.L2, "vec_id", "embedding"))
+    for rows, name in ((vectors.orderBy("vec_id").select(F.col("embedding").alias("vector")), "base.fvecs"), (_queries(vectors).orderBy("query_id"), "query.fvecs"), (near.orderBy("query_id").select(F.col("ids").cast("array<int>").alias("vector")), "truth.ivecs")):
+        vectorfiles.write_vectors(rows, f"{folder}/{name}", name.partition(".")[2])
+    return folder, ["--base-file", f"{folder}/base.fvecs", "--query-file", f"{folder}/query.fvecs"]
+
+
+def verify_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verification run against the ground truth: exact search is right, index search nearly."""
+    folder, files = _files(spark, sf_dir)
+    out = workloads.run(spark, ["verify", *files, "--ground-truth-file", f"{folder}/truth.ivecs", "--num-queries", "5", "--segment-capacity", "300"])
+    return spark.createDataFrame([(out["exact_recall"], len(out["exact_below_one"]), out["index_recall"] >= 0.9)], "exact_recall double, n_below_one long, index_is_enough boolean")
 
 
-def _collection(spark: SparkSession, dim: int, meta: MetadataSchema) -> Collection:
-    return Database(spark, _shared_folder(spark)).create_collection(CollectionSchema("c", dim, Metric.L2, SegmentParams(segment_capacity=300), metadata_schema=meta))
+def verify_mutation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inserts, updates and deletes of base vectors, ties among them, each checked by search."""
+    _, files = _files(spark, sf_dir)
+    out = workloads.run(spark, ["verify", "--mode", "mutation", *files, "--num-mutations", "60", "--concurrency", "4", "--segment-capacity", "300"])
+    return spark.createDataFrame([(out["checked"], out["passed"])], "checked long, passed boolean")
+
+
+def bench_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search and a write benchmark, with their summary read back from JSON."""
+    _, files = _files(spark, sf_dir)
+    rows = []
+    for mode, more in (("search", ["--num-queries", "4", "--warmup-queries", "0"]), ("write", ["--num-writes", "20"])):
+        kept = Files(spark, _shared_folder(spark))
+        out = workloads.run(spark, ["bench", "--mode", mode, *files, *more, "--segment-capacity", "300", "--save-summary", kept.at("summary.json")])
+        back = json.loads(kept.read(kept.at("summary.json")))
+        rows.append((back["mode"], back["n"] if mode == "search" else back["write"]["n"], back == out, back.get("recall")))
+    return spark.createDataFrame(rows, "mode string, n long, saved boolean, recall double")
 
 
 def collection_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bulk ingest with metadata into segments, then a filtered search of the snapshot."""
-    q = _query_vector(spark, sf_dir)
-    c = _collection(spark, len(q), META)
-    c.ingest(corpus(spark, sf_dir).withColumnRenamed("embedding", "vector").withColumn("doc_id", F.col("vec_id").cast("string")))
-    hits = c.search_df(q, K, FILTERS["filter_and"][0], include_metadata=True)
+    hits = _filled(spark, sf_dir).search_df(_query_vector(spark, sf_dir), K, FILTERS["filter_and"][0], include_metadata=True)
     return hits.select(F.col("doc_id").cast("long").alias("vec_id"), rounded(F.col("score")).alias("score"), "metadata.n_chars", "metadata.quality")
 
 
@@ -328,7 +580,9 @@ QUERIES: dict[str, Query] = {
     "knn_join_dot": _knn_join(Metric.DOT),
     "point_lookup": point_lookup,
     "ann_ivf": ann_ivf,
+    "ann_recall": ann_recall,
     "ann_post_filter": ann_post_filter,
+    "index_after_compaction": index_after_compaction,
     "live_state_after_ops": live_state_after_ops,
     "live_count": live_count,
     "deleted_ids": deleted_ids,
@@ -345,7 +599,24 @@ QUERIES: dict[str, Query] = {
     "latency_by_type": latency_by_type,
     "vector_multiplicity": vector_multiplicity,
     "fvecs_roundtrip": fvecs_roundtrip,
+    "bvecs_roundtrip": bvecs_roundtrip,
+    "ivecs_roundtrip": ivecs_roundtrip,
+    "raw_append": raw_append,
+    "groundtruth": groundtruth,
+    "query_subset": query_subset,
     "collection_search": collection_search,
+    "reopened": reopened,
+    "ingested_file": ingested_file,
+    "log_scan": log_scan,
+    "log_recovery": log_recovery,
+    "write_visibility": write_visibility,
+    "log_truncation": log_truncation,
+    "metadata_checks": metadata_checks,
+    "compaction_under_writes": compaction_under_writes,
+    "compaction_result": compaction_result,
+    "verify_recall": verify_recall,
+    "verify_mutation": verify_mutation,
+    "bench_modes": bench_modes,
     "streaming_apply": streaming_apply,
 }
 
@@ -369,7 +640,7 @@ def _top(metric: Metric, base: str = _E, where: str = "true", query: str = "SELE
 
 
 def _join_sql(metric: Metric) -> str:
-    return f"""WITH a AS ({_E}), q AS ({_E} WHERE vec_id < {JOIN_QUERIES}),
+    return f"""WITH a AS ({_E}), q AS ({_E} WHERE {ASKED}),
 s AS (SELECT q.vec_id AS query_id, a.vec_id, {_SCORE[metric]} AS s FROM a, q),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s, vec_id) AS rank FROM s)
 SELECT query_id, vec_id, rank, round(s, 6) + 0.0 AS score FROM r WHERE rank <= {K}"""
@@ -404,6 +675,13 @@ def _live_sql(last: str) -> str:
     return _fold_sql(v, "SELECT 1").removesuffix("\nSELECT 1") + ", " + _LIVE + "\n" + last
 
 
+_WRITTEN = """WITH b AS (SELECT *, row_number() OVER (ORDER BY n_nationkey) AS seq FROM nation),
+l AS (SELECT *, row_number() OVER (ORDER BY n_nationkey) + (SELECT count(*) FROM nation) AS seq FROM nation WHERE n_regionkey <= 2),
+o AS (SELECT seq, 'upsert' AS op, n_nationkey::BIGINT AS n_nationkey, n_nationkey::BIGINT AS v0, n_name AS name, n_regionkey::BIGINT AS region, NULL::DOUBLE AS size FROM b
+  UNION ALL SELECT seq, CASE n_regionkey WHEN 0 THEN 'delete' WHEN 1 THEN 'update_metadata' ELSE 'upsert' END, n_nationkey, CASE WHEN n_regionkey = 2 THEN -n_nationkey END,
+  CASE WHEN n_regionkey = 1 THEN lower(n_name) END, NULL, CASE WHEN n_regionkey = 2 THEN 0.5 END FROM l)"""
+
+
 ORACLE: dict[str, str] = {
     "knn_l2": _top(Metric.L2),
     "knn_cosine": _top(Metric.COSINE),
@@ -437,16 +715,39 @@ p AS (SELECT level, seg_id, ratio, coalesce(sum(live) OVER w, 0) AS before, row_
   FROM st WHERE level IN (SELECT level FROM el) WINDOW w AS (PARTITION BY level ORDER BY ratio DESC, seg_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 c AS (SELECT *, count(*) OVER (PARTITION BY level) AS n FROM p WHERE before < fill OR rk = 1)
 SELECT level, seg_id FROM c WHERE n >= 2 OR ratio > 0""",
-    "recall_at_k": f"""WITH a AS ({_E}), q AS ({_E} WHERE vec_id < {JOIN_QUERIES}), s AS (SELECT q.vec_id AS query_id, a.vec_id, list_distance(a.e, q.e) AS s FROM a, q),
+    "recall_at_k": f"""WITH a AS ({_E}), q AS ({_E} WHERE {ASKED}), s AS (SELECT q.vec_id AS query_id, a.vec_id, list_distance(a.e, q.e) AS s FROM a, q),
 t AS (SELECT query_id, vec_id FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s, vec_id) <= {K}),
-r AS (SELECT query_id, vec_id FROM s WHERE vec_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s, vec_id) <= {K})
+r AS (SELECT query_id, vec_id FROM s WHERE vec_id IN (SELECT doc_id FROM documents WHERE lang = 'en') QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s, vec_id) <= {K})
 SELECT t.query_id, round(count(r.vec_id) / {K}.0, 6)::DOUBLE AS recall FROM t LEFT JOIN r ON r.query_id = t.query_id AND r.vec_id = t.vec_id GROUP BY t.query_id""",
     "latency_percentiles": """WITH r AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events WHERE value IS NOT NULL)
 SELECT p::DOUBLE AS p, value FROM (VALUES (50.0), (95.0), (99.0)) v(p) JOIN r ON i = floor(p / 100.0 * (n - 1) + 0.5)""",
     "latency_by_type": """WITH g AS (SELECT event_type, list_sort(list(value)) AS xs, count(value) AS n, avg(value) AS a FROM events GROUP BY event_type)
 SELECT event_type, round(a, 6) AS avg, xs[floor(0.5 * (n - 1) + 0.5)::INT + 1] AS p50, xs[floor(0.95 * (n - 1) + 0.5)::INT + 1] AS p95, xs[floor(0.99 * (n - 1) + 0.5)::INT + 1] AS p99 FROM g""",
     "vector_multiplicity": _live_sql("SELECT n AS held_by, count(*) AS n_vectors FROM (SELECT e, count(*) AS n FROM l GROUP BY e) GROUP BY n"),
+    "ann_ivf": _join_sql(Metric.L2),
+    "ann_recall": f"SELECT count(*) AS n_queries, true AS recall_is_enough FROM embeddings WHERE {ASKED}",
+    "ann_post_filter": f"WITH a AS ({_CORPUS}), q AS (SELECT e FROM a WHERE vec_id = 0), s AS (SELECT a.vec_id, lang, {_SCORE[Metric.L2]} AS s FROM a, q ORDER BY s, a.vec_id::VARCHAR LIMIT {planner.over_fetch(K)}) SELECT vec_id, round(s, 6) + 0.0 AS score FROM s WHERE lang = 'en' ORDER BY s, vec_id::VARCHAR LIMIT {K}",
+    "index_after_compaction": "SELECT count(*) + count(*) FILTER (WHERE label % 2 = 0) AS n_rows, count(*) + count(*) FILTER (WHERE label % 2 = 0) AS n_listed FROM embeddings",
     "fvecs_roundtrip": "SELECT vec_id, unnest(range(len(embedding)))::BIGINT AS pos, unnest(embedding)::DOUBLE AS val FROM embeddings",
+    "bvecs_roundtrip": "SELECT vec_id, unnest(range(len(embedding)))::BIGINT AS pos, unnest(list_transform(embedding, lambda x: floor((x::DOUBLE + 1) * 100)::BIGINT)) AS val FROM embeddings",
+    "ivecs_roundtrip": "SELECT vec_id, unnest([0, 1, 2])::BIGINT AS pos, unnest([vec_id, -vec_id, label::BIGINT]) AS val FROM embeddings",
+    "raw_append": "SELECT vec_id + half * (SELECT count(*) FROM embeddings) AS vec_id, unnest(range(len(embedding)))::BIGINT AS pos, unnest(embedding)::DOUBLE AS val FROM embeddings, (VALUES (0), (1)) h(half)",
+    "groundtruth": f"WITH j AS ({_join_sql(Metric.L2)}), n AS (SELECT *, dense_rank() OVER (ORDER BY query_id) - 1 AS i FROM j) SELECT i AS query_id, rank - 1 AS pos, 'doc_' || vec_id AS doc_id FROM n WHERE rank <= 5",
+    "query_subset": "SELECT least(50, count(*)) AS n, least(50, count(*)) AS n_distinct, least(50, count(*)) AS n_again FROM embeddings",
+    "reopened": f"SELECT vec_id, e[1] AS v0, lang, source, n_chars, quality, toxic FROM ({_CORPUS})",
+    "ingested_file": f"WITH t AS ({_top(Metric.L2)}) SELECT 'doc_' || vec_id AS doc_id, score FROM t",
+    "log_scan": f"{_WRITTEN} SELECT seq, op, n_nationkey, v0, name, region, size FROM o",
+    "log_recovery": """SELECT n_nationkey::BIGINT AS n_nationkey, (CASE WHEN n_regionkey = 2 THEN -n_nationkey ELSE n_nationkey END)::BIGINT AS v0,
+  CASE WHEN n_regionkey = 1 THEN lower(n_name) ELSE n_name END AS name, n_regionkey::BIGINT AS region, CASE WHEN n_regionkey = 2 THEN 0.5::DOUBLE END AS size FROM nation WHERE n_regionkey <> 0""",
+    "write_visibility": f"{_WRITTEN} SELECT max(seq) + 1 AS token, 1 AS visible_before, max(seq) + 1 AS visible_after, (SELECT count(*) FROM nation WHERE n_regionkey <> 0) AS n_live FROM o",
+    "log_truncation": "SELECT true AS rotated, 1::BIGINT AS n_after, true AS nothing_pending",
+    "metadata_checks": """SELECT n_nationkey, CASE n_regionkey WHEN 1 THEN 'TypeError' WHEN 2 THEN 'ValueError' WHEN 3 THEN 'ValueError' ELSE 'ok' END AS said,
+  CASE WHEN n_regionkey <= 2 THEN '0' WHEN n_regionkey = 3 THEN '2' ELSE '' END AS field_ids FROM nation""",
+    "compaction_under_writes": "SELECT vec_id, (CASE WHEN label = 2 THEN -embedding[1] ELSE embedding[1] END)::DOUBLE AS v0 FROM embeddings WHERE label <> 1",
+    "compaction_result": "SELECT count(*) AS n_before, count(*) AS n_after, count(*) AS n_counted, true AS fewer_segments, true AS below_threshold FROM embeddings WHERE label >= 4",
+    "verify_recall": "SELECT 1.0::DOUBLE AS exact_recall, 0::BIGINT AS n_below_one, true AS index_is_enough",
+    "verify_mutation": "SELECT 60::BIGINT AS checked, true AS passed",
+    "bench_modes": "SELECT * FROM (VALUES ('search', 4::BIGINT, true, 1.0::DOUBLE), ('write', 20::BIGINT, true, NULL)) v(mode, n, saved, recall)",
     "collection_search": _top(Metric.L2, _CORPUS, FILTERS["filter_and"][1], columns=", n_chars, quality"),
     "streaming_apply": _fold_sql("(CASE WHEN op = 'upsert' THEN seq % 1000 END)", "SELECT doc_id, v, kind, amount FROM f"),
 }

@@ -116,14 +116,15 @@ class MetadataSchema:
 
 @dataclass(frozen=True)
 class SegmentParams:
-    """m, ef_construction and ef_search are kept with the schema and advise the index (nprobe is at
-    least ef_search / 16)."""
+    """m, ef_construction and ef_search advise the index: rounds of training, training rows for each list, and at
+    least ef_search / 16 lists to probe. ``buckets`` is the number of document buckets that rows lie in."""
 
     m: int = 16
     ef_construction: int = 200
     ef_search: int = 50
     segment_capacity: int = 500_000
     insert_batch_size: int = 2048
+    buckets: int = 16
 
 
 @dataclass(frozen=True)

@@ -11,9 +11,7 @@ from __future__ import annotations
 import argparse
 import json
 import math
-import os
 import random
-import tempfile
 import time
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -22,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .database import Collection, Database
+from .fs import Files, shared_folder
 from .operators import evaluate, search
 from .sources import vectorfiles
 from .types import CollectionSchema, CompactionParams, FieldSchema, FieldType, MetadataSchema, Metric, SegmentParams
@@ -40,9 +39,16 @@ def summary(seconds: Sequence[float], wall: float) -> dict[str, float]:
     return {"n": len(ms), "avg_ms": sum(ms) / len(ms) if ms else 0.0, **{f"p{p}_ms": nearest_rank(ms, p) for p in (50, 95, 99)}, "per_second": len(ms) / wall if wall else 0.0}
 
 
+def _save(spark: SparkSession, path: str, what: dict) -> None:
+    """JSON in place of what the path had, on whatever file system it names."""
+    files = Files(spark, path)
+    files.delete(path)
+    files.publish(path, json.dumps(what))
+
+
 def opened(spark: SparkSession, args: argparse.Namespace, dimension: int) -> tuple[Collection, bool]:
     """The collection, and whether it was there already; compaction parameters count only with a data folder."""
-    base = args.data_dir or tempfile.mkdtemp(prefix="vecloom-")
+    base = args.data_dir or shared_folder(spark)
     db = Database(spark, base)
     try:
         return db.collection("work"), True
@@ -77,28 +83,28 @@ def verify_recall(spark: SparkSession, args: argparse.Namespace) -> dict:
 
 
 def verify_mutation(spark: SparkSession, args: argparse.Namespace) -> dict:
-    """Inserts, updates and deletes, then a search for each vector with k its multiplicity, so ties are safe."""
+    """Inserts and updates with vectors of the base file, and deletes, then a search for each vector with k its
+    multiplicity: a vector that several documents hold ties with itself, so each of them must be among as many."""
     c, base = loaded(spark, args)
     rng, n = random.Random(args.seed), args.num_mutations
-    total = c.count()
+    total = base.count()
     picked = rng.sample(range(total), min(total, n - n // 3))
-    rows = {r["idx"]: list(r["vector"]) for r in base.where(F.col("idx").isin(picked)).collect()}  # num_mutations rows
+    taken = [rng.randrange(total) for _ in range(2 * (n // 3))]
+    rows = {r["idx"]: list(r["vector"]) for r in base.where(F.col("idx").isin([*picked, *taken])).collect()}  # at most 2 * num_mutations
     updates, deletes = picked[: n // 3], picked[n // 3 :]
-    written: dict[str, tuple[list[float], dict | None]] = {}
-    token = None
-    for i in range(n // 3):
-        v = [rng.random() for _ in range(c.schema.dimension)]
-        written[f"new_doc_{i}"] = (v, {"idx": i, "label": f"insert_{i}"})
-        token = c.upsert(f"new_doc_{i}", v, written[f"new_doc_{i}"][1])
-    for i in updates:
-        v = [rng.random() for _ in range(c.schema.dimension)]
-        written[f"doc_{i}"] = (v, {"idx": i, "label": f"update_{i}"})
-        token = c.upsert(f"doc_{i}", v, written[f"doc_{i}"][1])
-    for i in deletes:
-        token = c.delete(f"doc_{i}")
-        written[f"doc_{i}"] = (rows[i], None)
-    if token:
-        c.wait_visible(token)
+    jobs = [("upsert", f"new_doc_{i}", taken[i], {"idx": i, "label": f"insert_{i}"}) for i in range(n // 3)]
+    jobs += [("upsert", f"doc_{i}", taken[n // 3 + at], {"idx": i, "label": f"update_{i}"}) for at, i in enumerate(updates)]
+    jobs += [("delete", f"doc_{i}", i, None) for i in deletes]
+
+    def one(job: tuple[str, str, int, dict | None]):
+        op, d, vector, meta = job
+        return c.upsert(d, rows[vector], meta) if op == "upsert" else c.delete(d)
+
+    with ThreadPoolExecutor(max(1, args.concurrency)) as pool:
+        tokens = list(pool.map(one, jobs))
+    written = {d: (rows[vector], meta) for _, d, vector, meta in jobs}
+    if tokens:
+        c.wait_visible(max(tokens))
     asked = spark.createDataFrame([(d, [float(x) for x in v]) for d, (v, _) in written.items()], "query_id string, vector array<double>")
     live = c.rows().select("doc_id", F.col("vector").cast("array<double>").alias("vector"), c._shown().alias("metadata")).cache()
     copies = {r["query_id"]: r["n"] for r in asked.select("query_id", F.transform("vector", lambda x: x.cast("float").cast("double")).alias("vector")).join(evaluate.multiplicity(live), "vector", "left").collect()}
@@ -139,13 +145,14 @@ def bench_search(spark: SparkSession, args: argparse.Namespace) -> dict:
     out["batch_queries_per_second"] = len(rows) / (time.time() - t)
     if not args.no_recall:
         path = args.load_exact_results or (f"{args.data_dir}/exact_results.json" if args.data_dir else None)
-        if path and os.path.exists(path):
-            exact = {int(k): v for k, v in json.load(open(path)).items()}
+        files = Files(spark, path or ".")
+        if path and files.exists(path):
+            exact = {int(k): v for k, v in json.loads(files.read(path)).items()}
         else:
             exact = {r["query_id"]: list(r["ids"]) for r in evaluate.hits_to_ids(c.search_many(queries, args.k)).collect()}
             save = args.save_exact_results or path
             if save:
-                json.dump(exact, open(save, "w"))
+                _save(spark, save, exact)
         out["recall"] = sum(len(set(found[i][: args.k]) & set(exact[i][: args.k])) / args.k for i in found) / max(1, len(found))
     return out
 
@@ -208,8 +215,7 @@ def run(spark: SparkSession, argv: Sequence[str]) -> dict:
     jobs = {("verify", "recall"): verify_recall, ("verify", "mutation"): verify_mutation, ("bench", "search"): bench_search, ("bench", "write"): bench_write, ("bench", "mix"): lambda s, a: bench_write(s, a, True)}
     out = jobs[args.command, args.mode](spark, args)
     if args.save_summary:
-        with open(args.save_summary, "w") as f:
-            json.dump(out, f)
+        _save(spark, args.save_summary, out)
     return out
 
 
