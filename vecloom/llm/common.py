@@ -14,6 +14,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 """A word of the mixing and quality contracts, as a Java, Python and RE2 pattern."""
 
 
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(spark: SparkSession) -> None:
+    """Arrow batches end at BATCH_BYTES, unless the session has its own bound: by rows alone, a batch of long texts has
+    as many bytes as they have, several times over in the JVM and its Python worker."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def pick(df: DataFrame, **names: str) -> DataFrame:
     """``pick(df, doc_id="id")`` selects column ``id`` as ``doc_id``.
 
@@ -21,6 +32,7 @@ def pick(df: DataFrame, **names: str) -> DataFrame:
     further columns whose names clash, also by case only, never make a reference ambiguous.
     A wanted column that is missing reads as null.
     """
+    bounded(df.sparkSession)
     have = df.columns
     plain = df.toDF(*[f"_c{i}" for i in range(len(have))])
     out = []
@@ -36,9 +48,11 @@ def documents(docs: DataFrame) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The shared folder for intermediate tables: spark.checkpoint.dir, or in local mode (tests) one of our own where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
         root = "file://" + tempfile.mkdtemp(prefix="vecloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
