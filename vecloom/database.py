@@ -314,10 +314,10 @@ class Collection:
     def _apply_to(self, base: Manifest, ops: DataFrame) -> None:
         ops = ops.where(F.col("seq") > base.applied_seq).persist()
         try:
-            last = ops.agg(F.max("seq")).first()[0]
+            seen = ops.agg(F.max("seq").alias("last"), F.count("*").alias("n"), F.collect_set(self._bucket()).alias("buckets")).first()  # at most SegmentParams.buckets
+            last, buckets = seen["last"], sorted(seen["buckets"])
             if last is None:
                 return
-            buckets = [r[0] for r in ops.select(self._bucket()).distinct().collect()]  # at most SegmentParams.buckets
             touched = self.rows(base, buckets).join(ops.select("doc_id").distinct(), "doc_id", "left_semi").persist()
             flat = lambda d, *more: d.select("seq", "op", "doc_id", "vector", *[F.col(f"meta.`{f}`").alias(f"m_{i}") for i, f in enumerate(self._fields)], *more)
             before = flat(touched.withColumn("seq", F.lit(0).cast("long")).withColumn("op", F.lit("upsert")), F.col("doc_ord").alias("old"))
@@ -325,7 +325,7 @@ class Collection:
             held = touched.count()
             # Documents that live already are born at 0, so births of this pass are numbered after them.
             start = touched.select(F.lit(0).cast("long").alias("seq"), F.lit("upsert").alias("op"), "doc_id")
-            births = oplog.births(ops.select("seq", "op", "doc_id").unionByName(start)).where("seq > 0")
+            births = oplog.births(ops.select("seq", "op", "doc_id").unionByName(start), seen["n"] + held).where("seq > 0")
             born = births.select("doc_id", F.col("seq").alias("birth"), (F.col("doc_ord") - held + base.next_ord).alias("fresh")).persist()
             n_born = born.count()
             folded = oplog.fold(every, "vector", [f"m_{i}" for i in range(len(self._fields))], ["old"])
@@ -333,21 +333,21 @@ class Collection:
             meta = F.struct(*[F.col(f"m_{i}").alias(f) for i, f in enumerate(self._fields)], F.lit(None).cast("boolean").alias("_"))
             # A document that only ops without effect touched keeps its row.
             changed = folded.where(F.col("last_seq") > 0).select(F.coalesce("fresh", "old").alias("doc_ord"), "doc_id", "vector", meta.alias("meta"), "last_seq")
-            gone = touched.select("doc_id", "seg_id", "internal_id", "bucket")
-            self._commit(base, changed, gone, last, n_born)
+            gone = touched.select("seg_id", "internal_id", "bucket") if held else None
+            self._commit(base, changed, gone, last, n_born, seen["n"])
             touched.unpersist()
             born.unpersist()
         finally:
             ops.unpersist()
 
-    def _commit(self, base: Manifest, added: DataFrame, dead: DataFrame, applied: int, n_born: int) -> None:
-        """Adds rows to the writable segment, sealing it whenever it is full, and publishes."""
+    def _commit(self, base: Manifest, added: DataFrame, dead: DataFrame | None, applied: int, n_born: int, most: int) -> None:
+        """Adds rows, ``most`` of them at most, to the writable segment, sealing it whenever it is full, and publishes."""
         m = base.copy()
         m.segments.sort(key=lambda s: s.seg_id)
         capacity = self.schema.segment_params.segment_capacity
         open_ = next(s for s in m.segments if not s.sealed)
         staged = self._fresh("segments")
-        numbered = oplog.numbered(added, "last_seq", "place")
+        numbered = oplog.numbered(added, "last_seq", "place", most)
         held, first, fresh = open_.num_vectors, open_.seg_id, m.next_seg
         place = F.col("place") + held
         hop = F.floor(place / capacity)
@@ -369,10 +369,10 @@ class Collection:
         if all(s.sealed for s in m.segments):
             m.segments.append(Segment(m.next_seg))
             m.next_seg += 1
-        path = self._bury(dead.select("seg_id", "internal_id", "bucket"))
-        by = {r["seg_id"]: r["count"] for r in self._buried([path]).groupBy("seg_id").count().collect()}  # segments
-        if by:
-            m.dead.append(path)
+        by: dict[int, int] = {}
+        if dead is not None:
+            m.dead.append(self._bury(dead))
+            by = {r["seg_id"]: r["count"] for r in self._buried(m.dead[-1:]).groupBy("seg_id").count().collect()}  # segments
         for s in m.segments:
             s.tombstones += by.get(s.seg_id, 0)
         if len(m.dead) > DEAD_FILES:
@@ -439,7 +439,7 @@ class Collection:
         ops.write.parquet(staged)
         stored = self.spark.read.schema(ops.schema).parquet(staged)
         self.next_seq = first + n
-        self.apply_ops(oplog.numbered(stored, "at", "place").withColumn("seq", F.col("place") + first).drop("at", "place"))
+        self.apply_ops(oplog.numbered(stored, "at", "place", n).withColumn("seq", F.col("place") + first).drop("at", "place"))
         self.files.delete(staged)
         return n
 
@@ -644,7 +644,8 @@ class Collection:
         new, base, ids = reserved.next_seg - 1, reserved, sorted(chosen)
         path, moved = self._fresh("segments"), self.files.at("segments", f"moved-{uuid.uuid4().hex}")
         live = self.rows(base).where(F.col("seg_id").isin(ids)).withColumnsRenamed({"seg_id": "old_seg", "internal_id": "old_id"})
-        placed = oplog.numbered(live, "doc_ord", "internal_id").withColumn("seg_id", F.lit(new))
+        most = sum(s.num_vectors for s in base.segments if s.seg_id in chosen)
+        placed = oplog.numbered(live, "doc_ord", "internal_id", most).withColumn("seg_id", F.lit(new))
         self._write(placed, path)
         # Where each row went: its ordinal is its own, so both sides are read back rather than kept.
         was = live.select("doc_ord", "old_seg", "old_id")

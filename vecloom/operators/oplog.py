@@ -55,9 +55,13 @@ def fold(ops: DataFrame, vector: str = "vector", fields: Sequence[str] = (), car
     )
 
 
-def ranged(rows: DataFrame, key: str, name: str) -> DataFrame:
+def ranged(rows: DataFrame, key: str, name: str, n: int | None = None) -> DataFrame:
     """``name``: a range of the key with about PART_ROWS rows, by splitters from a quantile sketch, so neither gaps nor
-    crowds nor the width of a range matter; a single value is never cut."""
+    crowds nor the width of a range matter; a single value is never cut. Rows that are known to be no more than
+    PART_ROWS (``n``, at most) are one range, without a look at them."""
+    if n is not None and n <= PART_ROWS:
+        return rows.withColumn(name, F.lit(0))
+
     def sketch(parts: int) -> Row:
         at = F.array(*[F.lit(i / parts) for i in range(1, parts)])
         return rows.agg(F.count("*").alias("n"), F.percentile_approx(key, at, F.lit(10 * parts)).alias("e")).first()
@@ -70,24 +74,27 @@ def ranged(rows: DataFrame, key: str, name: str) -> DataFrame:
     return rows.withColumn(name, sum(((F.col(key) >= F.lit(e).cast(kind)).cast("int") for e in sorted(set(edges))), F.lit(0)))
 
 
-def births(ops: DataFrame) -> DataFrame:
+def births(ops: DataFrame, n: int | None = None) -> DataFrame:
     """doc_id, seq, doc_ord of every birth: an upsert of a document that did not exist. Ordinals count births in order
-    of seq and are never used again. An op is compared with the one before it of its document, which is looked up
+    of seq and are never used again. There are ``n`` ops at most, if that is known. An op is compared with the one before it of its document, which is looked up
     within a range of seq, or else is the last of an earlier range: no document's ops are sorted in one task."""
-    moved = ranged(ops.where(F.col("op").isin("upsert", "delete")).select("doc_id", "seq", "op"), "seq", "_range")
+    moved = ranged(ops.where(F.col("op").isin("upsert", "delete")).select("doc_id", "seq", "op"), "seq", "_range", n)
     last = moved.groupBy("doc_id", "_range").agg(F.max_by("op", "seq").alias("last"))
     earlier = Window.partitionBy("doc_id").orderBy("_range")  # a row for each range at most
     carried = last.select("doc_id", "_range", F.lag("last").over(earlier).alias("carried"))
     within = Window.partitionBy("doc_id", "_range").orderBy("seq")
     known = moved.withColumn("before", F.lag("op").over(within)).join(carried, ["doc_id", "_range"])
     born = known.where((F.col("op") == "upsert") & (F.coalesce("before", "carried", F.lit("delete")) == "delete")).select("doc_id", "seq")
-    return numbered(born, "seq", "doc_ord")
+    return numbered(born, "seq", "doc_ord", n)
 
 
-def numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
+def numbered(rows: DataFrame, key: str, name: str, n: int | None = None) -> DataFrame:
     """``name``: the row's place, from 0, in the order of a numeric ``key`` whose values differ; ranges are counted,
     then numbered side by side."""
-    cut = ranged(rows, key, "_part")
+    cut = ranged(rows, key, "_part", n)
+    if n is not None and n <= PART_ROWS:
+        place = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
+        return cut.select(*rows.columns, place.cast("long").alias(name))
     counts = cut.groupBy("_part").agg(F.count("*").alias("n"))
     before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # at most MOST_PARTS rows
     starts = counts.select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))

@@ -21,7 +21,8 @@ from ..types import Metric
 
 BROADCAST_BYTES = 64 << 20
 """Queries of a join up to this size go to every task; beyond it they meet the corpus block by block."""
-BLOCK_ROWS, QUERY_ROWS = 4096, 512
+BLOCK_ROWS, QUERY_ROWS, PART = 8192, 4096, 256
+"""Corpus rows and queries of a cell, so often is either side sent; queries that a cell scores at once."""
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, dimension: int) -> np.ndarray:
@@ -145,7 +146,8 @@ def cells(metric: Metric, k: int):
         for batch in batches:
             for i in range(batch.num_rows):
                 (q_ids, q), (ids, x) = (vectors(batch.column(c)[i].values) for c in (0, 1))
-                yield from _joined(metric, k, q_ids.to_pylist(), q, ids, x).to_batches()
+                for low in range(0, len(q), PART):
+                    yield from _joined(metric, k, q_ids[low : low + PART].to_pylist(), q[low : low + PART], ids, x).to_batches()
 
     return run
 

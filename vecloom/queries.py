@@ -23,6 +23,7 @@ from .plans import planner
 from .plans.filters import And, Eq, Exists, Filter, In, Range, compile
 from .sources import vectorfiles
 from .streaming import apply as stream
+from .streaming.compactor import Compactor
 from .types import CollectionSchema, CompactionParams, FieldSchema, FieldType, MetadataSchema, Metric, SegmentParams, WriteToken
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -506,6 +507,16 @@ def compaction_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.rows().agg(F.lit(before).cast("long").alias("n_before"), F.count("*").alias("n_after"), F.lit(c.count()).cast("long").alias("n_counted"), F.lit(fewer).alias("fewer_segments"), F.lit(worst <= c.schema.compaction_params.tombstone_threshold).alias("below_threshold"))
 
 
+def background_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deletes while a background thread merges: what lives, and whether it merged without an error."""
+    c = _filled(spark, sf_dir, SegmentParams(segment_capacity=64))
+    gone = _table(spark, sf_dir, "embeddings").where("label < 4").select((F.col("vec_id") + c.next_seq).alias("seq"), F.lit("delete").alias("op"), F.col("vec_id").cast("string").alias("doc_id"), F.lit(None).cast("array<float>").alias("vector"), F.lit(None).cast(c._meta_type).alias("meta"))
+    with Compactor(c, interval=0.05) as worker:
+        c.apply_ops(gone)
+        worker.wait_idle(300)
+    return c.rows().agg(F.count("*").alias("n_live"), F.sum(F.col("doc_id").cast("long")).alias("sum_of_ids"), F.lit(worker.merges > 0).alias("merged"), F.lit(len(worker.errors)).cast("long").alias("n_errors"))
+
+
 def _files(spark: SparkSession, sf_dir: str) -> tuple[str, list[str]]:
     """A folder with all vectors as base.fvecs, the queries' as query.fvecs, and their true neighbours as truth.ivecs."""
     folder = _shared_folder(spark)
@@ -614,6 +625,7 @@ QUERIES: dict[str, Query] = {
     "metadata_checks": metadata_checks,
     "compaction_under_writes": compaction_under_writes,
     "compaction_result": compaction_result,
+    "background_compaction": background_compaction,
     "verify_recall": verify_recall,
     "verify_mutation": verify_mutation,
     "bench_modes": bench_modes,
@@ -745,6 +757,7 @@ SELECT event_type, round(a, 6) AS avg, xs[floor(0.5 * (n - 1) + 0.5)::INT + 1] A
   CASE WHEN n_regionkey <= 2 THEN '0' WHEN n_regionkey = 3 THEN '2' ELSE '' END AS field_ids FROM nation""",
     "compaction_under_writes": "SELECT vec_id, (CASE WHEN label = 2 THEN -embedding[1] ELSE embedding[1] END)::DOUBLE AS v0 FROM embeddings WHERE label <> 1",
     "compaction_result": "SELECT count(*) AS n_before, count(*) AS n_after, count(*) AS n_counted, true AS fewer_segments, true AS below_threshold FROM embeddings WHERE label >= 4",
+    "background_compaction": "SELECT count(*) AS n_live, sum(vec_id)::BIGINT AS sum_of_ids, true AS merged, 0::BIGINT AS n_errors FROM embeddings WHERE label >= 4",
     "verify_recall": "SELECT 1.0::DOUBLE AS exact_recall, 0::BIGINT AS n_below_one, true AS index_is_enough",
     "verify_mutation": "SELECT 60::BIGINT AS checked, true AS passed",
     "bench_modes": "SELECT * FROM (VALUES ('search', 4::BIGINT, true, 1.0::DOUBLE), ('write', 20::BIGINT, true, NULL)) v(mode, n, saved, recall)",
