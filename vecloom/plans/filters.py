@@ -1,7 +1,7 @@
 """The filter algebra: conjunctions of equality, membership, inclusive range and existence.
 
-A filter compiles to a Column that is never null, over a struct column of metadata, so Catalyst can
-push it to the Parquet scan. Fields are addressed by id; an unknown id is false. A literal of
+A filter compiles to a Column that is never null (each condition asks for the field first, and false AND null is
+false), over a struct column of metadata, in conjunctions that Catalyst can push to the Parquet scan. Fields are addressed by id; an unknown id is false. A literal of
 another type equals nothing; a range over one, over Bool or Bytes, or with NaN, is an error.
 """
 
@@ -57,10 +57,6 @@ def _literal(value: Any) -> Column:
     return F.lit(bytearray(value)) if isinstance(value, bytes) else F.lit(value)
 
 
-def _known(column: Column) -> Column:
-    return F.coalesce(column, F.lit(False))
-
-
 def _checked(f: FieldSchema, value: Any) -> Any:
     if type_of(value) is FieldType.FLOAT64 and math.isnan(value):
         raise ValueError(f"field '{f.name}': NaN cannot be compared")
@@ -78,10 +74,10 @@ def compile(expr: Filter, schema: MetadataSchema, meta: str | None = "meta") ->
     if isinstance(expr, Exists):
         return column.isNotNull()
     if isinstance(expr, Eq):
-        return _known(column == _literal(_checked(f, expr.value))) if type_of(expr.value) is f.type else F.lit(False)
+        return column.isNotNull() & (column == _literal(_checked(f, expr.value))) if type_of(expr.value) is f.type else F.lit(False)
     if isinstance(expr, In):
         same = [_checked(f, v) for v in expr.values if type_of(v) is f.type]
-        return _known(column.isin([_literal(v) for v in same])) if same else F.lit(False)
+        return column.isNotNull() & column.isin([_literal(v) for v in same]) if same else F.lit(False)
     out = column.isNotNull()
     for bound, keep in ((expr.gte, column.__ge__), (expr.lte, column.__le__)):
         if bound is None:
@@ -90,4 +86,4 @@ def compile(expr: Filter, schema: MetadataSchema, meta: str | None = "meta") ->
             got = type_of(bound)
             raise TypeError(f"field '{f.name}': range over {f.type.value} cannot take {got.value if got else type(bound).__name__}")
         out = out & keep(_literal(_checked(f, bound)))
-    return _known(out)
+    return out
