@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -29,6 +30,31 @@ def test_sizes_are_near_equal_with_a_hot_text_and_long_ones(spark):
     assert len(hot) <= 24 * 1500 * 148 / total + 2, "equal texts are neighbours"
 
 
+def test_groups_of_equal_texts_stay_whole_and_splitters_are_nearest(spark):
+    """Against brute force over the same order of rows: every splitter is the group edge nearest to its target, and only
+    a group as large as a shard is cut."""
+    rng = random.Random(5)
+    texts = [f"{rng.random()} " * rng.randrange(1, 60) for _ in range(500)]
+    rows = [(i, t) for i, t in enumerate(t for t in texts for _ in range(rng.choice([1, 1, 2, 5])))] + [(9000 + i, "one very hot text " * 20) for i in range(400)]
+    got = shard(spark.createDataFrame(rows, "doc_id long, text string"), 12).collect()
+    by = check(rows, got, 12, "bytes")
+    order = [r for s in range(12) for r in sorted(by[s], key=lambda r: r.slot)]
+    total = sum(r.size for r in order)
+    groups, edges, seen = defaultdict(int), [0], 0
+    for i, r in enumerate(order):
+        groups[r.text_crc32] += r.size
+        seen += r.size
+        if i + 1 == len(order) or order[i + 1].text_crc32 != r.text_crc32:
+            edges.append(seen)
+    small = 0.998 * total / 12
+    for crc, size in groups.items():
+        assert size >= small or len({r.shard for r in got if r.text_crc32 == crc}) == 1, (crc, size, small)
+    starts = [sum(r.size for r in order if r.shard < j) for j in range(1, 12)]
+    for j, at in enumerate(starts, 1):
+        target = total * j / 12
+        assert abs(at - target) <= min(abs(e - target) for e in edges) + 0.001 * total / 12, j
+
+
 def test_counts_are_at_most_one_apart(spark):
     rows = [(i % 7, "x" * (i % 11)) for i in range(1003)]
     by = check(rows, shard(spark.createDataFrame(rows, "doc_id long, text string"), 10, law="rows").collect(), 10, "rows")

@@ -1,10 +1,12 @@
 """Sharding by histogram sort, DataFrame functions only.
 
-Rows are ordered by a 120-bit key, text hash first, so equal texts are neighbours and a group of
-copies larger than a shard is still cut by the second hash. Splitters are found without sorting:
-each pass counts the exact bytes below a grid of candidate boundaries (4,096 per open splitter) in
-every partition, adds the partial counts up, and opens a finer grid only in the bin that holds a
-target, until each splitter is within the tolerance. Then the rows are exchanged once.
+Rows are ordered by a 120-bit key, text hash first, so equal texts are neighbours: one group. Splitters are
+found without sorting: each pass counts the exact bytes below a grid of candidate boundaries (4,096 per
+open splitter) in every partition, adds the partial counts up, and opens a finer grid only in the bin that holds a
+target, until each splitter is within the tolerance or its bin holds one group only. That group stays whole, the
+splitter going to its nearer edge, unless it is as large as a shard: then it is cut by the second hash. With law
+``rows``, where counts are at most one apart, groups are cut wherever a target falls. Then the rows are exchanged
+once, to tasks that number them by shard and part of a shard.
 
 Defined cases: null text has 0 bytes and a null checksum; null doc_ids are rows like others;
 repeated rows are told apart by a row number frozen before the first count; an empty table gives no
@@ -51,13 +53,13 @@ def _boundary(digits: tuple[int, ...]) -> tuple[int, int] | None:
     return _signed(digits[:LEVELS]), _signed(digits[LEVELS:])
 
 
-def find_splitters(keys: DataFrame, n_shards: int, tolerance: float) -> list[tuple[int, int] | None]:
-    """n_shards - 1 boundaries over (k1, k2, weight), each within ``tolerance`` (a share of a
-    shard) of its target, or at the row edge nearest to it."""
+def find_splitters(keys: DataFrame, n_shards: int, tolerance: float, whole: bool) -> list[tuple[int, int] | None]:
+    """n_shards - 1 boundaries over (k1, k2, weight), each within ``tolerance`` (a share of a shard) of its target, or
+    at the edge nearest to it: of a row or, if ``whole``, of a group of equal k1 smaller than a shard."""
     total = keys.agg(F.sum("weight")).first()[0] or 0
     slack = tolerance * total / n_shards
     open_ = {j: ((), 0) for j in range(1, n_shards)}  # splitter: leading digits, weight below them
-    found: dict[int, tuple[int, ...]] = {}
+    found: dict[int, tuple[int, int] | None] = {}
     for level in range(2 * LEVELS):
         if not open_ or not total:
             break
@@ -73,32 +75,36 @@ def find_splitters(keys: DataFrame, n_shards: int, tolerance: float) -> list[tup
             counted = near.withColumn("which", which).where("which is not null")
         else:
             counted = keys.withColumn("which", which)
-        rows = counted.groupBy("which", _digit(level).alias("digit")).agg(F.sum("weight").alias("w")).collect()
-        bins: dict[int, list[tuple[int, int]]] = {}
+        rows = counted.groupBy("which", _digit(level).alias("digit")).agg(F.sum("weight").alias("w"), F.count("*").alias("n"), F.min("k1").alias("low"), F.max("k1").alias("high")).collect()
+        bins: dict[int, list] = {}
         for r in rows:  # at most 4,096 for each open splitter
-            bins.setdefault(r["which"], []).append((r["digit"], r["w"]))
+            bins.setdefault(r["which"], []).append(r)
         for v in bins.values():
-            v.sort()
+            v.sort(key=lambda r: r["digit"])
         for j, (prefix, below) in list(open_.items()):
             target = total * j / n_shards
             seen, choice = below, None
-            for digit, w in bins[prefixes.index(prefix)]:
-                if seen + w >= target:
-                    choice = digit, seen, w
+            for r in bins[prefixes.index(prefix)]:
+                if seen + r["w"] >= target:
+                    choice = r
                     break
-                seen += w
+                seen += r["w"]
             if choice is None:  # rounding: the target is the end of the prefix
-                found[j] = (*prefix, 2**BITS)
+                found[j] = _boundary((*prefix, 2**BITS))
                 del open_[j]
                 continue
-            digit, seen, w = choice
-            low, high = target - seen, seen + w - target
-            if min(low, high) <= slack or level == 2 * LEVELS - 1:
-                found[j] = (*prefix, digit + (high < low))
-                del open_[j]
+            low, high = target - seen, seen + choice["w"] - target
+            one = level < LEVELS and choice["low"] == choice["high"]
+            if one and whole and choice["w"] < (1 - 2 * tolerance) * total / n_shards:
+                edge = choice["low"] - (_KEPT if high < low else 0)  # the next key, or the group's own
+                found[j] = (edge, _TOP) if edge < 2**63 else None
+            elif min(low, high) <= slack or choice["n"] == 1 or level == 2 * LEVELS - 1:
+                found[j] = _boundary((*prefix, choice["digit"] + (high < low)))
             else:
-                open_[j] = ((*prefix, digit), seen)
-    return [_boundary(found[j]) if j in found else None for j in range(1, n_shards)]
+                open_[j] = ((*prefix, choice["digit"]), seen)
+                continue
+            del open_[j]
+    return [found.get(j) for j in range(1, n_shards)]
 
 
 def shard(
@@ -127,7 +133,7 @@ def shard(
     )
     slim = slim.withColumn("weight", F.col("size") if law == "bytes" else F.lit(1).cast("long")).withColumn("d0", _digit(0))
     keys = Table(slim, "shard").df
-    splitters = find_splitters(keys.select("k1", "k2", "weight", "d0"), n_shards, tolerance if law == "bytes" else 0.0)
+    splitters = find_splitters(keys.select("k1", "k2", "weight", "d0"), n_shards, tolerance if law == "bytes" else 0.0, law == "bytes")
     place = F.lit(0)
     for at in splitters:
         if at is not None:
