@@ -52,6 +52,27 @@ TEMPLATES: list[tuple[str, str, str]] = [
     ("cc-by-nc", "creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
     ("proprietary", "copyright all rights reserved", "all rights reserved"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", "endorse or promote products derived from this software"),
+    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at", "you may not use this file except in compliance with the license"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty", "distributed in the hope that it will be useful"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "all copies or substantial portions of the software"),
+    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software", "altered source versions must be plainly marked"),
+    ("boost", "distributed under the boost software license version 1 0", "boost software license"),
+    ("epl", "made available under the terms of the eclipse public license", "eclipse public license"),
+    ("cddl", "subject to the terms of the common development and distribution license", "common development and distribution license"),
+    ("eupl", "licensed under the european union public licence", "european union public licence"),
+    ("artistic", "under the terms of the artistic license 2 0", "the artistic license"),
+    ("ofl", "this font software is licensed under the sil open font license version 1 1", "sil open font license"),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", "gnu free documentation license"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "waived all copyright and related or neighboring rights"),
+    ("cc-by-sa", "creative commons attribution sharealike 4 0 international license", "creative commons attribution sharealike"),
+    ("cc-by", "creative commons attribution 4 0 international license", "creative commons attribution 4 0"),
+    ("odbl", "made available under the open database license", "open database license"),
+    ("postgresql", "without fee and without a written agreement is hereby granted", "without a written agreement is hereby granted"),
+    ("psf", "python software foundation license version 2", "python software foundation license"),
+    ("sspl", "under the terms of the server side public license version 1", "server side public license"),
+    ("busl", "licensed under the business source license 1 1", "business source license"),
+    ("wtfpl", "do what the fuck you want to public license", "do what the fuck you want to"),
 ]
 
 VOCABULARY = sorted({w for _, t, _ in TEMPLATES for w in t.split()} | {w for p in BASE_PHRASES.values() for w in p.split()})
