@@ -48,3 +48,9 @@ def test_odd_tables(spark):
     df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     assert Q.ledger(df.limit(0)).count() == 0
     assert Q.ledger(df.select("doc_id", "text", df.doc_id.alias("N_WORDS"), df.doc_id.alias("Text"))).first().n_words == 1
+
+
+def test_very_long_texts(spark):
+    text = "one two three four five six\n" * 20_000 + "#" * 1000
+    got = Q.stored(spark.createDataFrame([(1, text, "x")], "doc_id long, text string, rule_bits string")).first()
+    assert (got.n_words, got.n_symbols, got.n_dup_lines, got.n_repeat_words) == (120_001, 1000, 19_999, 120_000)

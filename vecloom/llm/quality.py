@@ -1,7 +1,7 @@
 """Quality rules kept as a ledger of failure bits.
 
 Every rule is evaluated once for each document: its measurement is stored, and bit ``r`` of
-``rule_bits`` is set where rule ``r`` fails. A policy is a versioned set of rules, so it is applied
+``rule_bits`` is set where rule ``r`` fails. The ledger is stored. A policy is a versioned set of rules, so it is applied
 to the ledger with one bitwise AND, without reading a text again, and an ablation (what would come
 back without one rule) is a count over the masked bits, of which there are at most 2**len(RULES)
 distinct values, summed on the map side.
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import Table, documents
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower")
 _SCHEMA = "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES)
@@ -115,6 +115,11 @@ def ledger(docs: DataFrame) -> DataFrame:
     return measured.withColumn("rule_bits", bits.cast("long"))
 
 
+def stored(docs: DataFrame) -> DataFrame:
+    """The ledger, written once to the shared folder: policies and ablations read it and no text again."""
+    return Table(ledger(docs), "ledger").df
+
+
 def apply_policy(rows: DataFrame, policy: Policy, column: str = "kept") -> DataFrame:
     """Adds the verdict of one policy version."""
     return rows.withColumn(column, F.col("rule_bits").bitwiseAND(F.lit(policy.mask)) == 0)

@@ -43,15 +43,23 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .quality import BASE, POLICIES, apply_policy, ledger
+    from .quality import BASE, POLICIES, apply_policy, stored
 
-    rows = apply_policy(ledger(_docs(spark, sf_dir)), POLICIES["2"])
+    rows = apply_policy(stored(_docs(spark, sf_dir)), POLICIES["2"])
     failed = F.col("rule_bits").bitwiseAND(F.lit(BASE.mask)) != 0
     return rows.withColumn("base_failed", failed).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule_bits"
     )
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both policy versions over one stored ledger: what each rule drops, and what it alone drops."""
+    from .quality import POLICIES, ablations, stored
+
+    rows = stored(_docs(spark, sf_dir))
+    return ablations(rows, POLICIES["base"]).union(ablations(rows, POLICIES["2"]))
+
+
 def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repeats import remove
 
@@ -90,25 +98,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_pii": op9_pii,
     "op10_quality_rules": op10_quality_rules,
+    "quality_ablations": quality_ablations,
 }
 
-ORACLE: dict[str, str] = {
-    "op8_exact_top_k": """
-WITH e AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-), n AS (
-  SELECT *, row_number() OVER () AS rid FROM e
-), p AS (
-  SELECT q.rid, q.vec_id AS query_id, c.vec_id,
-         coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])), 0)::BIGINT AS score
-  FROM n q, n c WHERE q.vec_id % 50 = 0 AND q.rid <> c.rid
-), r AS (
-  SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM p
-)
-SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
-""",
-    "op10_quality_rules": r"""
+_LEDGER = r"""
 WITH d AS (
   SELECT doc_id, row_number() OVER () AS k, coalesce(text, '') AS text FROM documents
 ), w AS (
@@ -129,12 +122,40 @@ WITH d AS (
          length(text) - length(regexp_replace(text, '[a-z]', '', 'g')) AS n_lower
   FROM w LEFT JOIN r USING (k)
 ), f AS (
-  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m
+  SELECT *, ((n_words < 10)::INT + 2 * (100 * n_repeat_words > 20 * n_words)::INT + 4 * (10 * n_symbols > n_words AND n_words > 0)::INT
+            + 8 * (word_chars < 2 * n_words)::INT + 16 * (word_chars > 20 * n_words)::INT + 32 * (100 * n_dup_lines > 50 * n_lines)::INT
+            + 64 * (10 * n_upper > 6 * (n_upper + n_lower) AND n_upper + n_lower > 20)::INT)::BIGINT AS rule_bits FROM m
+)"""
+"""One row for each document, with the bits of its failed rules."""
+
+ORACLE: dict[str, str] = {
+    "op8_exact_top_k": """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), n AS (
+  SELECT *, row_number() OVER () AS rid FROM e
+), p AS (
+  SELECT q.rid, q.vec_id AS query_id, c.vec_id,
+         coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])), 0)::BIGINT AS score
+  FROM n q, n c WHERE q.vec_id % 50 = 0 AND q.rid <> c.rid
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM p
+)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    "op10_quality_rules": _LEDGER
+    + """
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, rule_bits & 3 <> 0 AS base_failed, rule_bits = 0 AS kept, rule_bits FROM f
+""",
+    "quality_ablations": _LEDGER
+    + """, rules AS (
+  SELECT * FROM (VALUES ('few_words', 1), ('repeat_words', 2), ('symbols', 4), ('short_words', 8), ('long_words', 16), ('dup_lines', 32), ('shouting', 64)) r(rule, bit)
+), p AS (
+  SELECT * FROM (VALUES ('base', 3), ('2', 127)) p(version, mask)
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR (10 * n_symbols > n_words AND n_words > 0) OR word_chars < 2 * n_words
-            OR word_chars > 20 * n_words OR 100 * n_dup_lines > 50 * n_lines
-            OR (10 * n_upper > 6 * (n_upper + n_lower) AND n_upper + n_lower > 20)) AS kept
-FROM f
+SELECT version, rule, count(*) FILTER (WHERE rule_bits & bit <> 0) AS n_failed, count(*) FILTER (WHERE rule_bits & mask = bit) AS n_only,
+       count(*) AS n_documents
+FROM f, rules, p WHERE bit & mask <> 0 GROUP BY version, rule
 """,
 }
