@@ -1,5 +1,7 @@
 import random
+import unicodedata
 
+import numpy as np
 from pyspark.sql import functions as F
 from vecloom.llm import langid
 
@@ -53,3 +55,37 @@ def test_a_text_counts_whole(spark):
     model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     pred, _, _ = model.predict(["the of and ing " * 10 + "der ungkeit schein " * 5000])
     assert pred == ["de"]
+
+
+def brute(model, text):
+    """The prediction from n-grams one by one: mean of their rows, softmax, best."""
+    p = [ord(c) if unicodedata.category(c)[0] == "L" else 0 for c in f" {text.lower()} "]
+    if not any(p):
+        return "und", 0.0
+    rows = []
+    for i in range(len(p)):
+        for n in range(1, 5):
+            gram = p[i : i + n]
+            ok = {1: lambda: p[i], 2: lambda: any(gram), 3: lambda: len(gram) > 1 and gram[1], 4: lambda: len(gram) > 2 and gram[1] and gram[2]}[n]()
+            if not ok:
+                continue
+            gram += [0] * (n - len(gram))
+            h = n
+            for j, c in enumerate(gram):
+                h = (h * 31 + c) * int(langid._PRIMES[j]) % 2**64
+            rows.append(model.table[(h * int(langid._SPREAD) % 2**64) >> 49])
+    z = (np.mean(np.array(rows, float), axis=0) + model.bias) / model.temperature
+    e = np.exp(z - z.max())
+    best = int(e.argmax())
+    return model.languages[best], e[best] / e.sum()
+
+
+def test_predictions_equal_brute_force_however_texts_are_batched(spark):
+    rows = corpus(300) + [(9000 + i, t, "en") for i, t in enumerate(["a", "é", "x 1 y", "  ", "7", "ÜBER straße", "日本 go", "the", "the", "in-the", "word " * 3000])]
+    df = spark.createDataFrame([(*r, str(r[0])) for r in rows], "doc_id long, text string, lang string, TEXT string")
+    model = langid.train(df)
+    for parts in (1, 7):
+        got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(df.repartition(parts), model).collect()}
+        for i, t, _ in rows:
+            lang, score = brute(model, t)
+            assert got[i][0] == lang and abs(got[i][1] - score) < 1e-5, (t[:50], got[i], lang, score)

@@ -32,7 +32,7 @@ from .common import Table, pick
 
 BUCKETS = 1 << 15
 DIMENSIONS = 16
-CHUNK_CHARS = 500_000
+CHUNK_CHARS = 200_000
 BROADCAST_LANGUAGES = 10_000
 _PRIMES = np.array([1, 1000003, 19260817, 122949823], np.uint64)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -45,17 +45,16 @@ def _letters() -> np.ndarray:
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(buckets of all n-grams text by text, number of n-grams of each text, number of letters of each)."""
-    joined = " ".join(t.lower() for t in texts) + " "
-    lengths = np.array([len(t.lower()) + 1 for t in texts])
-    points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    low = [f" {t.lower()} " for t in texts]  # spaces of its own on both sides: no n-gram reaches into a neighbour
+    lengths = np.array([len(t) for t in low])
+    points = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = _letters()[points]
-    letter[np.cumsum(lengths) - 1] = False  # the space between texts
     p = np.where(letter, points, 0).astype(np.uint64)
     pad = np.concatenate([p, np.zeros(3, np.uint64)])
     solid = np.concatenate([letter, np.zeros(3, bool)])
     n = len(p)
     keep = [letter, solid[:n] | solid[1 : n + 1], solid[1 : n + 1], solid[1 : n + 1] & solid[2 : n + 2]]
-    # An n-gram belongs to the text of its first place; none holds a space inside, so none spans two texts.
+    # An n-gram belongs to the text of its first place; none has two characters in a row that are no letters.
     where, buckets = [], []
     for size in range(4):
         at = np.flatnonzero(keep[size])
