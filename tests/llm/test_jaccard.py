@@ -94,3 +94,53 @@ def test_odd_tables(spark):
     assert [(r.class_id, r.n_links, r.n_copies) for r in got] == [(7, 3, 4)] * 4
     assert sum(r.kept for r in got) == 1 and next(r.doc_id for r in got if r.kept) == 7
     assert J.join(df.limit(0)).count() == 0
+
+
+def test_recall_at_the_threshold_with_production_constants(spark):
+    """Pairs of similarity 0.8 to 0.86, each alone in the table, beside a group of 700 copies that differ by a word."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    rows, want = [], {}
+    while len(want) < 400:
+        base = [word() for _ in range(150)]
+        other = list(base)
+        for at in rng.sample(range(150), rng.choice([2, 3])):
+            other[at] = word()
+        a, b = words(" ".join(base)), words(" ".join(other))
+        if 8 * len(a | b) <= 10 * len(a & b) <= 8.6 * len(a | b):
+            want[len(rows)] = len(rows) + 1
+            rows += [" ".join(base), " ".join(other)]
+    base = [word() for _ in range(200)]
+    first = len(rows)
+    for _ in range(700):
+        w = list(base)
+        w[rng.randrange(200)] = word()
+        rows.append(" ".join(w))
+    got = {r.doc_id: r for r in J.join(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    found = sum(got[a].class_id == got[b].class_id and got[a].n_links == got[b].n_links == 1 for a, b in want.items())
+    assert found >= 0.99 * len(want)
+    assert {(got[i].class_id, got[i].n_links) for i in range(first, len(rows))} == {(first, 699)}
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    rng = random.Random(3)
+    long = " ".join(f"w{rng.randrange(5000)}" for _ in range(60_000))
+    rows = [(1, long, "x"), (2, long + " and an end", "y"), (3, None, None), (4, "", ""), (5, "short", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id string").selectExpr("*", "text AS TEXT", "doc_id AS th", "doc_id AS node")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in J.join(df).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 0), 4: (4, 0), 5: (5, 0)}
+
+
+def test_runs_reach_the_target_recall():
+    """Against a simulation of the chosen paths that two sets of similarity 0.8 share."""
+    assert J.RUNS == 16 and J.runs_for(0.9) < J.runs_for(0.999) < J.RUNS
+    rng = random.Random(1)
+
+    def meets(level):
+        if level == J.LEVELS:
+            return True
+        paths = 1 + (rng.random() < 1 / J.THRESHOLD - 1)
+        return any([rng.random() < 0.8 and meets(level + 1) for _ in range(paths)])
+
+    runs = J.runs_for(0.9)
+    assert sum(any(meets(0) for _ in range(runs)) for _ in range(4000)) / 4000 >= 0.89

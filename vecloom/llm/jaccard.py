@@ -21,8 +21,8 @@ at the threshold fails once in a million, and a node gives no more rows than it
 they link is settled exactly: the sets of a proposed component meet whole, in cells of at most two
 blocks of BLOCK sets, every pair of a cell is counted from its true intersection, and the links of
 similarity THRESHOLD or more are summed for each document and give the classes. A component of n
-blocks takes n * (n + 1) / 2 cells in as many tasks; no pair of rows is ever emitted. With 16 runs a
-pair at exactly the threshold is proposed with probability 1 - 1e-5 on five levels; above it, more.
+blocks takes n * (n + 1) / 2 cells in as many tasks; no pair of rows is ever emitted. Runs are repeated until a
+pair at exactly the threshold is proposed with probability RECALL (``runs_for``); above it, with more.
 
 Words are what white space separates in the lower-cased text; a text of 1 to WIDTH - 1 words is
 one shingle. Defined cases: a text without words, or null, is linked to nothing; a null doc_id is
@@ -33,6 +33,7 @@ read. Sets are named by 64-bit hashes of all their shingles.
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Iterator
 
@@ -46,9 +47,22 @@ from .common import Table, allot, documents, drop_all
 from .graph import components, roots, stars
 
 WIDTH, THRESHOLD = 5, 0.8
-T, RUNS, LEVELS = 64, 16, 5
+T, LEVELS, RECALL = 64, 5, 0.99999
 SMALL, BLOCK = 8192, 256
 LOOSE = 35
+
+
+def runs_for(recall: float, similarity: float = THRESHOLD, levels: int = LEVELS) -> int:
+    """Runs until a pair of a similarity has met with probability ``recall``: its common nodes are a branching process, of
+    one or two chosen coordinates a node, each shared with probability ``similarity``; the runs are independent."""
+    two, dead = 1 / THRESHOLD - 1, 0.0
+    for _ in range(levels):
+        lost = 1 - similarity + similarity * dead
+        dead = (1 - two) * lost + two * lost * lost
+    return math.ceil(math.log(1 - recall) / math.log(dead))
+
+
+RUNS = runs_for(RECALL)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _MASK = (1 << 64) - 1
