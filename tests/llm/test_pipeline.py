@@ -66,3 +66,38 @@ def test_run_equals_the_stages(spark, docs, tmp_path):
 def test_empty_table(spark, docs, tmp_path):
     docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert C.run(spark, str(tmp_path)).count() == 0
+
+
+EXTRA = ["TEXT", "N_CHARS", "Source", "did", "th", "id", "email", "more", "score", "rejected", "c0", "kind"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, empty and very long texts, ties, repeated rows, and further columns that clash."""
+    rng = random.Random(8)
+    words = ["the", "station", "winter", "and", "of", "garden", "letters", "walking", "over", "quiet"]
+    rows = [(i, " ".join(rng.choice(words) + rng.choice(["", "s", "ed"]) for _ in range(40)), "en", "ab"[i % 2], 9) for i in range(60)]
+    rows += [rows[3], rows[3], (None, rows[4][1], "en", "a", 1), (None, None, None, None, None), (70, "", "en", "a", 0), (71, "one two", None, None, None)]
+    rows += [(80, " ".join(rng.choice(words) for _ in range(60_000)) + " write to me@mail.example.com", "en", "b", 5)]
+    return spark.createDataFrame([(*r, *(f"{e}:{r[0]}" for e in EXTRA)) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{e} string" for e in EXTRA))
+
+
+@pytest.mark.parametrize("name, stage", C.STAGES)
+def test_each_stage_on_odd_tables(spark, odd, name, stage):
+    out = stage(spark, odd, "")
+    rows = out.collect()
+    if name == "tokenised":
+        assert len(rows) == odd.count() and all(r.exact for r in rows)
+        assert {r.doc_id for r in rows if r.n_tokens == 0} == {None, 70} and max(r.n_tokens for r in rows) > 60_000
+    else:
+        assert out.columns == odd.columns
+        have = {(r[0], e) for r in odd.collect() for e in r[5:]}
+        assert rows and all((r[0], e) in have for r in rows for e in r[5:]), "further columns stay with their rows"
+        assert {r[0] for r in rows} >= {0, 80}, "ordinary and long texts stay"
+    if name == "personal_data":
+        assert len(rows) == odd.count()
+        assert all(r[4] == len(r[1] or "") for r in rows) and next(r[1] for r in rows if r[0] == 80).endswith("write to <EMAIL>")
+    if name == "near_duplicates":
+        kept = [r[0] for r in rows]
+        assert kept.count(3) == 1 and kept.count(4) == 1 and kept.count(None) == 1
+    assert stage(spark, odd.limit(0), "").count() == 0
