@@ -69,3 +69,24 @@ def test_every_key_phrase_opens_the_gate(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, TEXT string")
     assert L.scan(df).count() == 0
+
+
+def test_labels_equal_brute_force(spark):
+    """A label for every template whose key phrase stands anywhere, word by word, and no other."""
+    rng = random.Random(6)
+    keys = [k for _, _, k in L.TEMPLATES]
+    rows = []
+    for i in range(300):
+        parts = []
+        for _ in range(rng.randrange(0, 7)):
+            k = rng.choice(keys).split()
+            if rng.random() < 0.4:  # broken: a word less, or two the other way round
+                at = rng.randrange(len(k))
+                k = k[:at] + k[at + 1 :] if rng.random() < 0.5 else k[:at] + k[at:][::-1]
+            parts.append(rng.choice([" ", "-", "\n"]).join(w.upper() if rng.random() < 0.2 else w for w in k))
+        rows.append((i, rng.choice([" filler ", ". ", " x "]).join(parts)))
+    got = {r.doc_id: r for r in L.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        words = f" {' '.join(WORD.findall(t.lower()))} "
+        want = {label for label, _, k in L.TEMPLATES if f" {k} " in words} | {label for label, k in L.BASE_PHRASES.items() if f" {k} " in words}
+        assert set(filter(None, got[i].labels.split(","))) == want, t
