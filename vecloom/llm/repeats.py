@@ -273,7 +273,9 @@ def repeats(docs: DataFrame, of: Lengths = Lengths()) -> DataFrame:
     """did, th, start, end: stretches of bytes to remove, overlapping as they come."""
     keyed = _keyed(docs)
     every = Table(keyed.select("did", "th", "raw").mapInArrow(_cut(of), _PIECES), "pieces")
-    distinct = Table(every.df.groupBy("akey", "ckey").agg(F.sum("n").alias("n"), F.min(F.struct("did", "th", "s", "e", "place")).alias("m")).select("akey", "ckey", "n", "m.*"), "distinct")
+    # Any of equal pieces stands for all. The firsts are of one row, as all are set and merged together.
+    one = [F.first(c).alias(c) for c in ("did", "th", "s", "e", "place")]
+    distinct = Table(every.df.groupBy("akey", "ckey").agg(F.sum("n").alias("n"), *one), "distinct")
     buckets = Table(distinct.df.groupBy("akey").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
     whole = every.df.join(distinct.df.where("n > 1").select("akey", "ckey").hint("merge"), ["akey", "ckey"]).select("did", "th", F.col("s").alias("start"), F.col("upto").alias("end"))
     whole = Table(whole, "whole")
