@@ -1,3 +1,4 @@
+import hashlib
 import random
 import zlib
 from collections import defaultdict
@@ -31,28 +32,29 @@ def test_sizes_are_near_equal_with_a_hot_text_and_long_ones(spark):
 
 
 def test_groups_of_equal_texts_stay_whole_and_splitters_are_nearest(spark):
-    """Against brute force over the same order of rows: every splitter is the group edge nearest to its target, and only
-    a group as large as a shard is cut."""
+    """Against brute force over the sorted rows: every splitter is at the edge nearest to its target, of a group or, where
+    that is as large as a shard, of a row."""
     rng = random.Random(5)
     texts = [f"{rng.random()} " * rng.randrange(1, 60) for _ in range(500)]
-    rows = [(i, t) for i, t in enumerate(t for t in texts for _ in range(rng.choice([1, 1, 2, 5])))] + [(9000 + i, "one very hot text " * 20) for i in range(400)]
-    got = shard(spark.createDataFrame(rows, "doc_id long, text string"), 12).collect()
-    by = check(rows, got, 12, "bytes")
-    order = [r for s in range(12) for r in sorted(by[s], key=lambda r: r.slot)]
-    total = sum(r.size for r in order)
-    groups, edges, seen = defaultdict(int), [0], 0
-    for i, r in enumerate(order):
-        groups[r.text_crc32] += r.size
-        seen += r.size
-        if i + 1 == len(order) or order[i + 1].text_crc32 != r.text_crc32:
+    rows = [(i, t) for i, t in enumerate(t for t in texts for _ in range(rng.choice([1, 1, 2, 5])))] + [(9000 + i, "one very hot text " * 20) for i in range(400)] + [(9500, None), (9501, "")]
+    got = {r.doc_id: r for r in shard(spark.createDataFrame(rows, "doc_id long, text string"), 12, tolerance=0.0).collect()}
+    check(rows, list(got.values()), 12, "bytes")
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    order = sorted((md5(t)[:15] if t is not None else "0" * 15, md5(str(i))[:10], i, 8 + len((t or "").encode())) for i, t in rows)
+    total = sum(x[3] for x in order)
+    held = defaultdict(int)
+    for key, _, _, size in order:
+        held[key] += size
+    edges, seen, starts = [0], 0, {}
+    for at, (key, _, i, size) in enumerate(order):
+        starts[i] = seen
+        seen += size
+        if at + 1 == len(order) or order[at + 1][0] != key or held[key] >= total / 12:
             edges.append(seen)
-    small = 0.998 * total / 12
-    for crc, size in groups.items():
-        assert size >= small or len({r.shard for r in got if r.text_crc32 == crc}) == 1, (crc, size, small)
-    starts = [sum(r.size for r in order if r.shard < j) for j in range(1, 12)]
-    for j, at in enumerate(starts, 1):
-        target = total * j / 12
-        assert abs(at - target) <= min(abs(e - target) for e in edges) + 0.001 * total / 12, j
+    cuts = [min(edges, key=lambda e: (abs(e - total * j / 12), e)) for j in range(1, 12)]
+    assert {i: got[i].shard for i in starts} == {i: sum(c <= start for c in cuts) for i, start in starts.items()}
+    cut = {t for t in {t for _, t in rows} if len({got[i].shard for i, x in rows if x == t}) > 1}
+    assert cut == {"one very hot text " * 20}
 
 
 def test_counts_are_at_most_one_apart(spark):

@@ -36,13 +36,14 @@ def sized(docs: DataFrame) -> DataFrame:
     """doc_id, th (hash of the text), source, size in words, u in [0, 1)."""
     d = pick(docs, doc_id="doc_id", text="text", source="source")
     text = F.col("text").cast("string")
-    h = F.xxhash64(F.lit(7), F.col("doc_id").cast("long"), text)
+    named = F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit("")))
+    h = F.conv(F.substring(F.md5(named.cast("binary")), 1, 13), 16, 10).cast("long")  # 52 bits
     return d.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64(text).alias("th"),
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        ((F.shiftrightunsigned(h, 12) + F.lit(0.5)) / F.lit(float(2**52))).alias("u"),
+        ((h + F.lit(0.5)) / F.lit(float(2**52))).alias("u"),
     )
 
 

@@ -1,10 +1,11 @@
 """Sharding by histogram sort, DataFrame functions only.
 
-Rows are ordered by a 120-bit key, text hash first, so equal texts are neighbours: one group. Splitters are
+Rows are ordered by a 120-bit key, the text's MD5 first, so equal texts are neighbours: one group. Splitters are
 found without sorting: each pass counts the exact bytes below a grid of candidate boundaries (4,096 per
 open splitter) in every partition, adds the partial counts up, and opens a finer grid only in the bin that holds a
 target, until each splitter is within the tolerance or its bin holds one group only. That group stays whole, the
-splitter going to its nearer edge, unless it is as large as a shard: then it is cut by the second hash. With law
+splitter going to its nearer edge, unless it is as large as a shard: then it is cut by the second half of the key,
+from the doc_id's MD5 and a row number. With law
 ``rows``, where counts are at most one apart, groups are cut wherever a target falls. Then the rows are exchanged
 once, to tasks that number them by shard and part of a shard.
 
@@ -28,6 +29,17 @@ _TOP = -(2**63)
 _KEPT = -(2 ** (64 - BITS * LEVELS))  # the lowest bits of a hash take no part
 
 
+def _digest(value: Column) -> Column:
+    """MD5 in hexadecimal; zeros for null."""
+    return F.coalesce(F.md5(value.cast("binary")), F.lit("0" * 32))
+
+
+def _key(digest: Column, digits: int, rest: Column) -> Column:
+    """A long in the order of a digest's first digits, then of ``rest``: 60 bits in all, above 4 that are zero."""
+    first = F.conv(F.substring(digest, 1, digits), 16, 10).cast("long")
+    return F.shiftleft(F.shiftleft(first, 60 - 4 * digits) + rest, 4).bitwiseXOR(F.lit(_TOP))
+
+
 def _digit(level: int) -> Column:
     """Digit ``level`` (0 to 9) of the key, in unsigned order."""
     half, at = divmod(level, LEVELS)
@@ -127,8 +139,8 @@ def shard(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64(text).bitwiseAND(F.lit(_KEPT)).alias("k1"),
-        F.xxhash64("doc_id", F.monotonically_increasing_id()).alias("k2"),
+        _key(_digest(text), 15, F.lit(0)).alias("k1"),
+        _key(_digest(F.col("doc_id").cast("long").cast("string")), 10, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 20))).alias("k2"),
         *names,
     )
     slim = slim.withColumn("weight", F.col("size") if law == "bytes" else F.lit(1).cast("long")).withColumn("d0", _digit(0))
@@ -140,7 +152,7 @@ def shard(
             b1, b2 = at
             place = place + F.when((F.col("k1") > b1) | ((F.col("k1") == b1) & (F.col("k2") >= b2)), 1).otherwise(0)
     # A shard's rows are numbered in parts: at most 16 * (4096 + n_shards) of them, whatever the rows.
-    placed = keys.withColumn("shard", place.cast("int")).withColumn("part", F.col("d0") * 16 + F.shiftrightunsigned("k2", 60))
+    placed = keys.withColumn("shard", place.cast("int")).withColumn("part", F.col("d0") * 16 + F.shiftrightunsigned(F.col("k2").bitwiseXOR(F.lit(_TOP)), 60))
     parts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
