@@ -1,8 +1,9 @@
 """The filter algebra: conjunctions of equality, membership, inclusive range and existence.
 
 A filter compiles to a Column that is never null (each condition asks for the field first, and false AND null is
-false), over a struct column of metadata, in conjunctions that Catalyst can push to the Parquet scan. Fields are addressed by id; an unknown id is false. A literal of
-another type equals nothing; a range over one, over Bool or Bytes, or with NaN, is an error.
+false), over a struct column of metadata, in conjunctions that Catalyst can push to the Parquet scan. Fields are
+addressed by id; an unknown id is false. A literal of another type equals nothing; a range over one, over Bool or
+Bytes, or with NaN, is an error.
 """
 
 from __future__ import annotations
