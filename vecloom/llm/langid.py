@@ -139,8 +139,9 @@ def train(docs: DataFrame, sample_rows: int = 2400, epochs: int = 6, rate: float
     # Texts are hashed where they are. Twice the expected number is taken at most, in order of the hash: that binds only
     # where one id repeats so often that its hash cannot thin it.
     hashed = sample(docs, sample_rows).mapInArrow(_hashed, "u double, lang string, buckets array<int>, counts array<int>")
-    rows = hashed.orderBy("u", F.xxhash64("buckets", "counts")).limit(4 * sample_rows).toPandas()
-    languages = sorted(set(rows["lang"]))
+    rows = hashed.orderBy("u", F.xxhash64("buckets", "counts")).limit(4 * sample_rows).toArrow()
+    langs = rows["lang"].to_pylist()
+    languages = sorted(set(langs))
     if not languages:
         return Model((), np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
     rng = np.random.default_rng(seed)
@@ -148,13 +149,14 @@ def train(docs: DataFrame, sample_rows: int = 2400, epochs: int = 6, rate: float
     out = np.zeros((DIMENSIONS, len(languages)))
     bias = np.zeros(len(languages))
     at = {c: i for i, c in enumerate(languages)}
-    hashed = [(np.asarray(b, np.int32), np.asarray(n, float)) for b, n in zip(rows["buckets"], rows["counts"], strict=True)]
-    order = sorted(range(len(rows)), key=lambda i: (rows["lang"][i], hashed[i][0].tobytes()))  # rows arrive in any order
+    lists = [rows[c].combine_chunks() for c in ("buckets", "counts")]
+    (edges, every), (_, times) = ((x.offsets.to_numpy(), x.values.to_numpy()) for x in lists)  # views of what Arrow holds
+    part = lambda i: slice(edges[i], edges[i + 1])
     data = []
-    for i in order:
-        b, n = hashed[i]
+    for i in sorted(range(len(langs)), key=lambda i: (langs[i], every[part(i)].tobytes())):
+        b, n = every[part(i)], times[part(i)]
         if len(b):
-            data.append((at[rows["lang"][i]], b, n / n.sum()))
+            data.append((at[langs[i]], b, (n / n.sum()).astype(np.float32)))
     folds = rng.permutation(len(data))
     held, learn = folds[: len(data) // 5], folds[len(data) // 5 :]
     steps, step = max(1, epochs * len(learn)), 0
