@@ -3,7 +3,9 @@ from datetime import datetime, timezone
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from vecloom.database import Conflict, Database
+from vecloom.operators import maintenance
 from vecloom.plans.filters import And, Eq, Exists, In, Range
 from vecloom.streaming.compactor import Compactor
 from vecloom.types import CollectionSchema, CompactionParams, FieldSchema, FieldType, MetadataSchema, Metric, SegmentParams, Timestamp
@@ -320,3 +322,57 @@ def test_tombstone_folders_become_one(db):
     for i in range(12):
         c.wait_visible(c.upsert("a", [float(i), 0, 0]))
     assert len(c.manifest.dead) <= 9 and c.tombstones().count() == 11 and c.count() == 1
+
+
+def test_a_level_of_many_segments_is_merged_at_once_until_none_is_eligible(spark, db):
+    """Some hundred segments with tombstones come to rest in a few merges, which fill segments of their level."""
+    c = make(db, dim=1, segment_params=SegmentParams(segment_capacity=2), compaction_params=CompactionParams(num_levels=3, level_count_multiplier=1))
+    c.ingest(spark.range(200).select(F.col("id").cast("string").alias("doc_id"), F.array(F.col("id").cast("float")).alias("vector")))
+    ops = spark.range(0, 200, 5).select((F.col("id") + c.next_seq).alias("seq"), F.lit("delete").alias("op"), F.col("id").cast("string").alias("doc_id"), F.lit(None).cast("array<float>").alias("vector"), F.lit(None).cast(c._meta_type).alias("meta"))
+    c.apply_ops(ops)
+    assert 1 <= c.compact() <= 6
+    sealed = [s for s in c.manifest.segments if s.sealed]
+    assert c.eligible() == {} and all(not s.tombstones and s.num_vectors <= 2 * 2**s.level for s in sealed)
+    assert sum(s.num_vectors for s in sealed) == c.count() == c.rows().count() == 160 and len(sealed) <= 30
+    assert {r.doc_id for r in c.rows().select("doc_id").collect()} == {str(i) for i in range(200) if i % 5}
+    places = c.rows().select("seg_id", "internal_id").distinct()
+    assert places.count() == 160 and places.agg(F.max("internal_id")).first()[0] < 8
+
+
+def test_a_merge_into_several_segments_keeps_deletes_made_meanwhile(spark, db, tmp_path):
+    params = dict(segment_params=SegmentParams(segment_capacity=4), compaction_params=CompactionParams(num_levels=2, level_count_multiplier=1))
+    c = make(db, **params)
+    c.wait_visible(c.upsert_batch([(f"d{i}", [float(i), 0, 0], None) for i in range(40)]))
+    other = Database(spark, str(tmp_path / "db")).collection("c")
+    write, done = c._write, []
+
+    def late(frame, path):
+        write(frame, path)
+        if not done:
+            done.append(1)
+            for i in (3, 20, 39):
+                token = other.delete(f"d{i}")
+            other.wait_visible(token)
+
+    c._write = late
+    assert c.compact_once() == 1
+    sealed = [s for s in c.manifest.segments if s.sealed]
+    assert done and [(s.level, s.num_vectors) for s in sealed] == [(1, 8)] * 5 and sorted(s.tombstones for s in sealed) == [0, 0, 1, 1, 1]
+    assert c.count() == 37 and {r.doc_id for r in c.rows().select("doc_id").collect()} == {f"d{i}" for i in range(40) if i not in (3, 20, 39)}
+
+
+def test_the_plan_begins_with_the_candidates(spark):
+    """On random segments: what the query picks is the first group of the plan, and of a level with one group all of it."""
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 7, 30):
+        params = CompactionParams(num_levels=3, level_count_multiplier=int(rng.integers(1, 3)))
+        segments = [(i, int(rng.integers(3)), int(v), int(rng.integers(v + 1))) for i, v in enumerate(rng.integers(0, 20, n))]
+        stats = maintenance.with_ratio(spark.createDataFrame(segments, "seg_id int, level int, num_vectors long, tombstones long"))
+        picked, plan, rest = {}, maintenance.plan(segments, params, 20), segments
+        while rows := maintenance.candidates(maintenance.with_ratio(spark.createDataFrame(rest, stats.select("seg_id", "level", "num_vectors", "tombstones").schema)), params, 20).collect():
+            for r in rows:
+                picked.setdefault(r.level, set()).add(r.seg_id)
+            taken = {r.seg_id for r in rows}
+            if not (rest := [s for s in rest if s[0] not in taken]):
+                break
+        assert plan == picked

@@ -600,20 +600,15 @@ class Collection:
 
     def eligible(self) -> dict[int, set[int]]:
         """Level -> segments to merge, of the levels that no merge is at work on."""
-        picked = maintenance.candidates(self.stats(), self.schema.compaction_params, self.schema.segment_params.segment_capacity).collect()  # segments
-        chosen: dict[int, set[int]] = {}
-        for r in picked:
-            chosen.setdefault(r["level"], set()).add(r["seg_id"])
-        dead = {s.seg_id: s.tombstones for s in self.manifest.segments}
-        return {level: c for level, c in chosen.items() if level not in self._busy and (len(c) > 1 or any(dead[i] for i in c))}
+        sealed = [(s.seg_id, s.level, s.num_vectors, s.tombstones) for s in self.manifest.segments if s.sealed]
+        chosen = maintenance.plan(sealed, self.schema.compaction_params, self.schema.segment_params.segment_capacity)
+        return {level: c for level, c in chosen.items() if level not in self._busy}
 
     def compact(self) -> int:
-        """Merges segments until no level is eligible, levels side by side; returns the merges made. Writes go on."""
+        """Merges segments until no level is eligible, levels side by side; returns the merges made. Writes go on.
+        Without writes it ends: below the top a merge moves rows up, and at the top it leaves no tombstones."""
         done = 0
-        for _ in range(4 * self.schema.compaction_params.num_levels):
-            made = self.compact_once()
-            if not made:
-                break
+        while made := self.compact_once():
             done += made
         return done
 
@@ -635,36 +630,52 @@ class Collection:
                 self._busy.discard(level)
 
     def _merge(self, chosen: set[int], level: int) -> bool:
-        """Live rows of some segments become one at the output level; False if another merge took one of them.
+        """Live rows of some segments become segments at the output level, as few as hold them and equally full; False
+        if another merge took one of them.
 
         The rows are written from the snapshot at hand. When they are published, documents that were written or
-        deleted since are tombstones of the merged segments; those move with their rows to the new one.
+        deleted since are tombstones of the merged segments; those move with their rows to the new ones.
         """
-        reserved = self._amend(lambda m: setattr(m, "next_seg", m.next_seg + 1))
-        new, base, ids = reserved.next_seg - 1, reserved, sorted(chosen)
+        capacity = self.schema.compaction_params.capacity(level, self.schema.segment_params.segment_capacity)
+
+        def of(m: Manifest) -> list[Segment]:
+            found = [s for s in m.segments if s.seg_id in chosen]
+            if len(found) < len(chosen):
+                raise LookupError
+            return found
+
+        def made(m: Manifest) -> tuple[int, int]:
+            """Live rows and the segments that they fill."""
+            n = sum(s.num_vectors - s.tombstones for s in of(m))
+            return n, max(1, -(-n // capacity))
+
+        try:
+            base = self._amend(lambda m: setattr(m, "next_seg", m.next_seg + made(m)[1]))
+        except LookupError:
+            return False
+        n, parts = made(base)
+        first, size, ids = base.next_seg - parts, max(1, -(-n // parts)), sorted(chosen)
         path, moved = self._fresh("segments"), self.files.at("segments", f"moved-{uuid.uuid4().hex}")
         live = self.rows(base).where(F.col("seg_id").isin(ids)).withColumnsRenamed({"seg_id": "old_seg", "internal_id": "old_id"})
-        most = sum(s.num_vectors for s in base.segments if s.seg_id in chosen)
-        placed = oplog.numbered(live, "doc_ord", "internal_id", most).withColumn("seg_id", F.lit(new))
-        self._write(placed, path)
+        part = F.least(F.floor(F.col("place") / size), F.lit(parts - 1))
+        numbered = oplog.numbered(live, "doc_ord", "place", sum(s.num_vectors for s in of(base)))
+        self._write(numbered.withColumn("seg_id", (part + first).cast("int")).withColumn("internal_id", F.col("place") - part * size), path)
         # Where each row went: its ordinal is its own, so both sides are read back rather than kept.
         was = live.select("doc_ord", "old_seg", "old_id")
-        self._stored([path]).select("doc_ord", "internal_id", "bucket").join(was, "doc_ord").select("old_seg", "old_id", "internal_id", "bucket").write.parquet(moved)
-        n = self._stored([path]).count()
+        self._stored([path]).select("doc_ord", "seg_id", "internal_id", "bucket").join(was, "doc_ord").select("old_seg", "old_id", "seg_id", "internal_id", "bucket").write.parquet(moved)
+        counts = {r["seg_id"]: r["count"] for r in self._stored([path]).groupBy("seg_id").count().collect()}  # one row for each new segment
 
         def change(m: Manifest) -> None:
-            if not chosen <= {s.seg_id for s in m.segments}:
-                raise LookupError
-            late = 0
+            of(m)
+            late: dict[int, int] = {}
             kept = self.tombstones(m).where(~F.col("seg_id").isin(ids))
             if m.dead != base.dead:
                 since = self.tombstones(m).where(F.col("seg_id").isin(ids)).join(self.tombstones(base), ["seg_id", "internal_id", "bucket"], "left_anti")
                 gone = since.select(F.col("seg_id").alias("old_seg"), F.col("internal_id").alias("old_id"))
-                gone = self.spark.read.parquet(moved).join(gone, ["old_seg", "old_id"], "left_semi").select(F.lit(new).alias("seg_id"), "internal_id", "bucket")
-                kept, late = kept.unionByName(gone), gone.count()
+                gone = self.spark.read.parquet(moved).join(gone, ["old_seg", "old_id"], "left_semi").select("seg_id", "internal_id", "bucket")
+                kept, late = kept.unionByName(gone), {r["seg_id"]: r["count"] for r in gone.groupBy("seg_id").count().collect()}
             m.segments = [s for s in m.segments if s.seg_id not in chosen]
-            if n:
-                m.segments.append(Segment(new, level, True, n, late, [path]))
+            m.segments += [Segment(i, level, True, counts[i], late.get(i, 0), [path]) for i in sorted(counts)]
             m.dead = [self._bury(kept)] if any(s.tombstones for s in m.segments) else []
 
         try:

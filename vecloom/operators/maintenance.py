@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -46,3 +48,28 @@ def candidates(stats: DataFrame, params: CompactionParams, base_capacity: int) -
     first = F.row_number().over(level.orderBy(F.desc("ratio"), "seg_id"))
     picked = picked.withColumn("rank", first).where((F.col("before") < _by_level(params, fill)) | (F.col("rank") == 1))
     return picked.withColumn("n", F.count("*").over(level)).where((F.col("n") >= 2) | (F.col("ratio") > 0)).select("level", "seg_id")
+
+
+def plan(segments: Iterable[tuple[int, int, int, int]], params: CompactionParams, base_capacity: int) -> dict[int, set[int]]:
+    """Level -> segments to merge, of (seg_id, level, num_vectors, tombstones): what ``candidates`` picks of a level, and
+    again of what it leaves, until the level is no longer eligible. So a level is merged at once, however many segments it has."""
+    levels: dict[int, list[tuple[float, int, int]]] = {}
+    for seg_id, level, num_vectors, tombstones in segments:
+        levels.setdefault(level, []).append((-tombstones / num_vectors if num_vectors else 0.0, seg_id, max(0, num_vectors - tombstones)))
+    chosen: dict[int, set[int]] = {}
+    for level, left in levels.items():
+        if level >= params.num_levels:
+            continue
+        fill = int(params.capacity(params.output(level), base_capacity) * (1.0 - params.tombstone_threshold))
+        left.sort()
+        at = 0
+        while at < len(left) and ((not params.is_top(level) and len(left) - at >= params.threshold(level)) or -left[at][0] > params.tombstone_threshold):
+            end, live = at + 1, left[at][2]
+            while end < len(left) and live < fill:
+                live += left[end][2]
+                end += 1
+            if end - at < 2 and not left[at][0]:
+                break
+            chosen.setdefault(level, set()).update(seg_id for _, seg_id, _ in left[at:end])
+            at = end
+    return chosen
