@@ -376,3 +376,16 @@ def test_the_plan_begins_with_the_candidates(spark):
             if not (rest := [s for s in rest if s[0] not in taken]):
                 break
         assert plan == picked
+
+
+
+def test_background_compaction_of_many_segments_comes_to_rest_in_few_merges(spark, db):
+    """Deletes get in beside the merges, which are as many as levels, not as segments."""
+    c = make(db, dim=1, segment_params=SegmentParams(segment_capacity=2), compaction_params=CompactionParams(num_levels=3, level_count_multiplier=1))
+    c.ingest(spark.range(120).select(F.col("id").cast("string").alias("doc_id"), F.array(F.col("id").cast("float")).alias("vector")))
+    ops = spark.range(0, 120, 3).select((F.col("id") + c.next_seq).alias("seq"), F.lit("delete").alias("op"), F.col("id").cast("string").alias("doc_id"), F.lit(None).cast("array<float>").alias("vector"), F.lit(None).cast(c._meta_type).alias("meta"))
+    with Compactor(c, interval=0.05) as worker:
+        c.apply_ops(ops)
+        worker.wait_idle(120)
+    assert worker.errors == [] and 1 <= worker.merges <= 8
+    assert c.eligible() == {} and c.count() == c.rows().count() == 80
