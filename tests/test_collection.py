@@ -1,9 +1,11 @@
 import struct
+import threading
 from datetime import datetime, timezone
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from vecloom import database
 from vecloom.database import Conflict, Database
 from vecloom.operators import maintenance
 from vecloom.plans.filters import And, Eq, Exists, In, Range
@@ -389,3 +391,50 @@ def test_background_compaction_of_many_segments_comes_to_rest_in_few_merges(spar
         worker.wait_idle(120)
     assert worker.errors == [] and 1 <= worker.merges <= 8
     assert c.eligible() == {} and c.count() == c.rows().count() == 80
+
+
+def test_merges_without_end_do_not_keep_a_write_from_its_commit(db, monkeypatch):
+    """Another thread publishes, as merges do, far more often than a pass over the log takes."""
+    monkeypatch.setattr(database, "ATTEMPTS", 3)
+    c = make(db)
+    c.wait_visible(c.upsert_batch([("a", A, None), ("b", B, None)]))
+    published, stop, failed = [], threading.Event(), []
+
+    def publish():
+        while not stop.wait(0.02):
+            try:
+                published.append(c._amend(lambda m: setattr(m, "next_seg", m.next_seg + 1)).version)
+            except Conflict as e:
+                failed.append(e)
+
+    worker = threading.Thread(target=publish)
+    worker.start()
+    try:
+        c.wait_visible(c.delete("a"))
+        c.wait_visible(c.upsert("c", C))
+    finally:
+        stop.set()
+        worker.join()
+    assert published and failed == [] and published == sorted(set(published))
+    assert {r.doc_id for r in c.rows().select("doc_id").collect()} == {"b", "c"} and c.count() == 2
+
+
+def test_an_overtaken_pass_leaves_nothing_cached(spark, db, tmp_path):
+    c = make(db)
+    c.wait_visible(c.upsert("a", A))
+    other = Database(spark, str(tmp_path / "db")).collection("c")
+    commit, passes = c._commit, []
+
+    def late(*args):
+        passes.append(1)
+        if len(passes) == 1:
+            other.apply_ops(spark.createDataFrame(rows[:1], c.log_type))
+        commit(*args)
+
+    c._commit = late
+    cache = spark._jsparkSession.sharedState().cacheManager()
+    rows = [(c.next_seq, "upsert", "b", B, None), (c.next_seq + 1, "delete", "a", None, None)]
+    before = cache.numCachedEntries()
+    c.apply_ops(spark.createDataFrame(rows, c.log_type))
+    assert len(passes) == 2 and c.count() == 1
+    assert cache.numCachedEntries() <= before

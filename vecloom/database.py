@@ -124,6 +124,7 @@ class Collection:
         self.spark, self.files = spark, Files(spark, root)
         self.schema = CollectionSchema.from_json(self.files.read(self.files.at("schema.json")))
         self._lock = threading.RLock()
+        self._turn = threading.RLock()  # to publish, taken before _lock: a pass over the log keeps merges from publishing within it
         self._busy: set[int] = set()
         self._indexes: dict[str, ann.Index] = {}
         self.manifest = self._latest()
@@ -302,23 +303,27 @@ class Collection:
 
     def apply_ops(self, ops: DataFrame) -> None:
         """Idempotent: ops up to the applied sequence number are skipped. If another commit gets in first, they are
-        applied to the snapshot that it made."""
+        applied to the snapshot that it made. Merges of this collection object publish before or after a pass, never
+        within it: theirs can be fitted to a newer snapshot, a pass would begin again each time."""
         for _ in range(ATTEMPTS):
-            base = self.manifest
-            try:
-                return self._apply_to(base, ops)
-            except Conflict:
-                self.refresh()
+            with self._turn:
+                base = self.manifest
+                try:
+                    return self._apply_to(base, ops)
+                except Conflict:
+                    self.refresh()
         raise Conflict(f"not applied in {ATTEMPTS} attempts")
 
     def _apply_to(self, base: Manifest, ops: DataFrame) -> None:
         ops = ops.where(F.col("seq") > base.applied_seq).persist()
+        kept = [ops]
         try:
             seen = ops.agg(F.max("seq").alias("last"), F.count("*").alias("n"), F.collect_set(self._bucket()).alias("buckets")).first()  # at most SegmentParams.buckets
             last, buckets = seen["last"], sorted(seen["buckets"])
             if last is None:
                 return
             touched = self.rows(base, buckets).join(ops.select("doc_id").distinct(), "doc_id", "left_semi").persist()
+            kept.append(touched)
             flat = lambda d, *more: d.select("seq", "op", "doc_id", "vector", *[F.col(f"meta.`{f}`").alias(f"m_{i}") for i, f in enumerate(self._fields)], *more)
             before = flat(touched.withColumn("seq", F.lit(0).cast("long")).withColumn("op", F.lit("upsert")), F.col("doc_ord").alias("old"))
             every = before.unionByName(flat(ops), allowMissingColumns=True)
@@ -327,6 +332,7 @@ class Collection:
             start = touched.select(F.lit(0).cast("long").alias("seq"), F.lit("upsert").alias("op"), "doc_id")
             births = oplog.births(ops.select("seq", "op", "doc_id").unionByName(start), seen["n"] + held).where("seq > 0")
             born = births.select("doc_id", F.col("seq").alias("birth"), (F.col("doc_ord") - held + base.next_ord).alias("fresh")).persist()
+            kept.append(born)
             n_born = born.count()
             folded = oplog.fold(every, "vector", [f"m_{i}" for i in range(len(self._fields))], ["old"])
             folded = folded.join(born, ["doc_id", "birth"], "left")
@@ -335,10 +341,9 @@ class Collection:
             changed = folded.where(F.col("last_seq") > 0).select(F.coalesce("fresh", "old").alias("doc_ord"), "doc_id", "vector", meta.alias("meta"), "last_seq")
             gone = touched.select("seg_id", "internal_id", "bucket") if held else None
             self._commit(base, changed, gone, last, n_born, seen["n"])
-            touched.unpersist()
-            born.unpersist()
         finally:
-            ops.unpersist()
+            for frame in reversed(kept):
+                frame.unpersist()
 
     def _commit(self, base: Manifest, added: DataFrame, dead: DataFrame | None, applied: int, n_born: int, most: int) -> None:
         """Adds rows, ``most`` of them at most, to the writable segment, sealing it whenever it is full, and publishes."""
@@ -404,13 +409,15 @@ class Collection:
     def _amend(self, change) -> Manifest:
         """Publishes ``change(copy of the latest snapshot)``, again on a newer one if another commit gets in first."""
         for _ in range(ATTEMPTS):
-            m = self.refresh().copy()
-            change(m)
-            try:
-                self._publish(m)
-                return m
-            except Conflict:
-                time.sleep(0.01)
+            with self._turn:
+                m = self.refresh().copy()
+                change(m)
+                try:
+                    self._publish(m)
+                    return m
+                except Conflict:
+                    pass
+            time.sleep(0.01)
         raise Conflict(f"not published in {ATTEMPTS} attempts")
 
     def _truncate_log(self) -> None:

@@ -11,7 +11,8 @@ from ..database import Collection
 class Compactor:
     """A thread that merges whatever level is eligible, each in its own job, every ``interval`` seconds.
 
-    Commits are optimistic, so nothing waits for a merge. An error is kept in ``errors`` and the level tried again.
+    Commits are optimistic, so nothing waits for a merge's rows. Writes through the same collection object are not made
+    to begin again: a merge publishes before or after them. An error is kept in ``errors`` and the level tried again.
     """
 
     def __init__(self, collection: Collection, interval: float = 1.0):
